@@ -71,9 +71,8 @@ def band(conf, edges, right_closed: bool = True) -> Column:
 def stack_columns(df: DataFrame, id_cols, value_cols, name_col="feature", value_col="value") -> DataFrame:
     """Wide -> long via ``stack`` (single narrow projection, no shuffle)."""
     pairs = ", ".join(f"'{c}', `{c}`" for c in value_cols)
-    ids = ", ".join(f"`{c}`" for c in id_cols)
-    sep = ", " if ids else ""
-    return df.selectExpr(f"{ids}{sep}stack({len(value_cols)}, {pairs}) as ({name_col}, {value_col})")
+    return df.selectExpr(*[f"`{c}`" for c in id_cols],
+                         f"stack({len(value_cols)}, {pairs}) as ({name_col}, {value_col})")
 
 
 def fmt2(c) -> Column:

@@ -28,6 +28,7 @@ exact.  Ties (a third of the rows on one value) end in a single-value bracket.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import defaultdict
 
@@ -55,7 +56,7 @@ def _interp(lo_v: float, hi_v: float, frac: float) -> float:
 def exact_quantiles(df: DataFrame, cols, probs, group_col: str | None = None,
                     small_n: int = 2_000_000, buckets: int = 4096,
                     collect_limit: int = 50_000, max_groups: int = 10_000,
-                    max_passes: int = 64):
+                    max_passes: int = 64, small_bytes: int = 64 << 20):
     """Exact linear quantiles of ``cols`` (nulls ignored), optionally per group.
 
     Returns ``{(group, col): [q(p) for p in probs]}``; ``group`` is ``"__all__"``
@@ -64,13 +65,22 @@ def exact_quantiles(df: DataFrame, cols, probs, group_col: str | None = None,
     cols = list(cols)
     probs = [float(p) for p in probs]
     gexpr = F.col(group_col) if group_col else F.lit(_ALL)
+    base = df.select(gexpr.alias("__g"), *[F.col(c).cast("double").alias(c) for c in cols])
+
+    # ---- fast path: the optimizer's size estimate says the input is small,
+    # so the built-in exact percentile (one aggregate, one job) is safe.
+    est = estimated_bytes(df)
+    if est is not None and est <= small_bytes:
+        res, max_n = _builtin(base, cols, probs, max_groups)
+        if max_n <= small_n:
+            return res
+        # misestimate (e.g. an exploding join): fall through to refinement
 
     # ---- pass 0: count/min/max per (group, col) -------------------------
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count(F.col(c)).alias(f"n{i}"), F.min(F.col(c)).alias(f"lo{i}"),
                  F.max(F.col(c)).alias(f"hi{i}")]
-    base = df.select(gexpr.alias("__g"), *[F.col(c).cast("double").alias(c) for c in cols])
     stats_rows = base.groupBy("__g").agg(*aggs).limit(max_groups + 1).collect()
     if len(stats_rows) > max_groups:
         raise ValueError(f"more than {max_groups} groups for quantiles")
@@ -115,19 +125,55 @@ def exact_quantiles(df: DataFrame, cols, probs, group_col: str | None = None,
     return out
 
 
-def _refine(base: DataFrame, todo, probs, buckets, collect_limit, max_passes):
+def estimated_bytes(df: DataFrame):
+    """Sum of the optimizer's size estimates of the plan's leaf scans.
+
+    No job runs.  Joins without statistics are estimated as products, which is
+    useless here, so we look at what is read instead.  None when unavailable
+    (e.g. Spark Connect) - callers then take the scalable path.
+    """
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            total += int(str(leaves.apply(i).stats().sizeInBytes()))
+        return total
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def _builtin(base: DataFrame, cols, probs, max_groups):
+    parr = F.array(*[F.lit(p) for p in probs])
+    rows = (base.groupBy("__g").agg(*[F.percentile(F.col(c), parr).alias(f"q{i}") for i, c in enumerate(cols)],
+                                    F.count(F.lit(1)).alias("__n"))
+            .limit(max_groups + 1).collect())
+    if len(rows) > max_groups:
+        raise ValueError(f"more than {max_groups} groups for quantiles")
+    out = {}
+    for r in rows:
+        for i, c in enumerate(cols):
+            v = r[f"q{i}"]
+            out[(r["__g"], c)] = [float(x) for x in v] if v is not None else [None] * len(probs)
+    return out, max([r["__n"] for r in rows], default=0)
+
+
+def _refine(base: DataFrame, todo, probs, buckets, collect_limit, max_passes, ranks=None,
+            want_ranks=False):
     # Each target is one rank of one (group, col).  State: bracket [lo, hi],
     # count n inside it, count below it.
     targets = {}
     result_ranks = {}
     for g, c, n, lo, hi in todo:
-        for p in probs:
-            r_lo, r_hi, _ = _positions(n, p)
-            for r in (r_lo, r_hi):
-                targets[(g, c, r)] = {"lo": lo, "hi": hi, "n": n, "below": 0}
+        if ranks is not None:
+            wanted = ranks.get(g, [])
+        else:
+            wanted = [r for p in probs for r in _positions(n, p)[:2]]
+        for r in wanted:
+            targets[(g, c, r)] = {"lo": lo, "hi": hi, "n": n, "below": 0}
         result_ranks[(g, c)] = n
 
     resolved = {}
+    less = {}
     for _ in range(max_passes):
         open_t = {k: s for k, s in targets.items() if k not in resolved}
         if not open_t:
@@ -144,7 +190,9 @@ def _refine(base: DataFrame, todo, probs, buckets, collect_limit, max_passes):
             for hid, (hk, h) in enumerate(fetch.items()):
                 v = sorted(vals.get(hid, []))
                 for r in h["ranks"]:
-                    resolved[(hk[0], hk[1], r)] = float(v[r - h["below"]])
+                    val = float(v[r - h["below"]])
+                    resolved[(hk[0], hk[1], r)] = val
+                    less[(hk[0], hk[1], r)] = h["below"] + bisect.bisect_left(v, val)
         if scan:
             hist_rows = _histogram(base, list(scan), buckets)
             for hid, (hk, h) in enumerate(scan.items()):
@@ -158,11 +206,14 @@ def _refine(base: DataFrame, todo, probs, buckets, collect_limit, max_passes):
                     key = (hk[0], hk[1], r)
                     if bmin == bmax:
                         resolved[key] = float(bmin)
+                        less[key] = below
                     else:
                         targets[key] = {"lo": float(bmin), "hi": float(bmax), "n": cnt, "below": below}
-    else:
+    if any(k not in resolved for k in targets):
         raise RuntimeError("quantile refinement did not converge")
 
+    if want_ranks:
+        return resolved, less
     out = {}
     for (g, c), n in result_ranks.items():
         vals = []
@@ -213,3 +264,37 @@ def quantile_map(df: DataFrame, cols, probs, **kw):
     """Ungrouped convenience: ``{col: [q...]}``."""
     res = exact_quantiles(df, cols, probs, **kw)
     return {c: res.get((_ALL, c), [None] * len(probs)) for c in cols}
+
+
+def rank_values(df: DataFrame, col: str, ranks: dict, group_col: str | None = None,
+                buckets: int = 4096, collect_limit: int = 50_000, max_groups: int = 10_000):
+    """Value at 0-based rank ``r`` of ``col`` (ascending, nulls ignored) per group.
+
+    ``ranks`` maps group -> list of ranks (``"__all__"`` without ``group_col``).
+    Returns ``{(group, r): (value, n_less)}`` where ``n_less`` counts values
+    strictly smaller than ``value`` (so ties at ``value`` can be split exactly).
+    """
+    gexpr = F.col(group_col) if group_col else F.lit(_ALL)
+    base = df.select(gexpr.alias("__g"), F.col(col).cast("double").alias(col))
+    stats = (base.groupBy("__g").agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
+             .limit(max_groups + 1).collect())
+    if len(stats) > max_groups:
+        raise ValueError(f"more than {max_groups} groups")
+    todo, out = [], {}
+    for r in stats:
+        g = r["__g"]
+        want = [x for x in ranks.get(g, []) if 0 <= x < (r["n"] or 0)]
+        if not want:
+            continue
+        if r["lo"] == r["hi"]:
+            for x in want:
+                out[(g, x)] = (float(r["lo"]), 0)
+            continue
+        todo.append((g, col, r["n"], float(r["lo"]), float(r["hi"])))
+    if todo:
+        resolved, less = _refine(base, todo, [], buckets, collect_limit, 64,
+                                 ranks={g: [x for x in ranks.get(g, [])] for g, *_ in todo},
+                                 want_ranks=True)
+        for (g, _c, x), v in resolved.items():
+            out[(g, x)] = (v, less[(g, _c, x)])
+    return out

@@ -1,106 +1,4 @@
-"""Registered queries (Spark) and their DuckDB oracle texts.
+"""All registered queries: importing this module fills the registry."""
 
-Every query reads the driver's tables through the well-log view and runs over
-the whole table.  ``QUERIES[name](spark, sf_dir) -> DataFrame``;
-``ORACLES[name] -> SQL`` where the operator is SQL-expressible.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from .. import config as C
-from ..operators import quality as Q
-from ..sources.testview import KEY, TARGET, VIEW_CONFIG, wells
-from . import oracle as O
-
-FEATS = list(C.FEATURES)
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def register(name, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return deco
-
-
-def _labelled(spark, sf_dir):
-    return Q.drop_null_target(wells(spark, sf_dir), TARGET)
-
-
-def _r6(c):
-    return F.round(c, 6)
-
-
-# ---------------------------------------------------------------------------
-# flagship: null flags + IQR flags + issue text + row score (Q2, Q3, Q9)
-# ---------------------------------------------------------------------------
-
-QUALITY_ROW_SCORE_SQL = O.with_wells(f"""
-, t as (select * from wells where LITH is not null)
-, s as ({O.iqr_cte(FEATS)})
-, a as (
-  select t.*,
-    {' + '.join(O.int_of(f + ' is null') for f in FEATS)} as n_null,
-    {' + '.join(O.int_of(O.iqr_flag(f)) for f in FEATS)} as n_out,
-    concat_ws('; ', {O.null_text(FEATS)},
-      {', '.join(f"case when {O.iqr_flag(f)} then 'Outlier in {f}' end" for f in FEATS)}) as issues
-  from t, s)
-select {O.KEY_SQL},
-  n_null > 0 as Data_Quality_Has_Null_Values,
-  n_out > 0 as Data_Quality_Has_Outliers,
-  issues as Data_Quality_Issues,
-  greatest(0, 100 - (case when n_null > 0 then 30 else 0 end) - (case when n_out > 0 then 20 else 0 end)
-     - least((n_null + n_out) * 10, 50)) as Data_Quality_Score
-from a""")
-
-
-@register("quality_row_score", QUALITY_ROW_SCORE_SQL)
-def quality_row_score(spark, sf_dir):
-    base = _labelled(spark, sf_dir)
-    fences = Q.iqr_fences(base, FEATS)
-    ann = Q.annotate_rows(base, FEATS, {f: fences[f].flag(f) for f in FEATS})
-    return ann.select(*KEY, F.col("Has_Null_Values").alias("Data_Quality_Has_Null_Values"),
-                      F.col("Has_Outliers").alias("Data_Quality_Has_Outliers"),
-                      F.col("Quality_Issues").alias("Data_Quality_Issues"),
-                      F.col("Quality_Score").alias("Data_Quality_Score"))
-
-
-# ---------------------------------------------------------------------------
-# Q1 missing profile (all rows, features + target)
-# ---------------------------------------------------------------------------
-
-_MP_COLS = FEATS + [TARGET]
-MISSING_PROFILE_SQL = O.with_wells(f"""
-, c as (select count(*) as n, {', '.join(f'count(*) - count({c}) as m_{c}' for c in _MP_COLS)} from wells)
-, l as ({' union all '.join(f"select '{c}' as column_name, m_{c} as missing_count, n from c" for c in _MP_COLS)})
-select column_name as "column", cast(missing_count as bigint) as missing_count,
-  round(missing_count * 100.0 / n, 6) as missing_pct,
-  case when missing_count = 0 then '{C.STATUS_OK}' when missing_count * 100.0 / n < 10 then '{C.STATUS_WARN}'
-       else '{C.STATUS_BAD}' end as status
-from l""")
-
-
-@register("missing_profile", MISSING_PROFILE_SQL)
-def missing_profile(spark, sf_dir):
-    out = Q.missing_profile(wells(spark, sf_dir), FEATS, TARGET)
-    return out.withColumn("missing_pct", _r6(F.col("missing_pct")))
-
-
-# ---------------------------------------------------------------------------
-# Q2 null flags (labelled rows)
-# ---------------------------------------------------------------------------
-
-NULL_FLAGS_SQL = O.with_wells(f"""
-select {O.KEY_SQL}, ({O.count_nulls(FEATS)}) > 0 as Has_Null_Values,
-  concat_ws('; ', {O.null_text(FEATS)}) as Null_Issues
-from wells where LITH is not null""")
-
-
-@register("null_flags", NULL_FLAGS_SQL)
-def null_flags(spark, sf_dir):
-    return Q.null_flags(_labelled(spark, sf_dir), FEATS).select(*KEY, "Has_Null_Values", "Null_Issues")
+from . import q_analytics, q_eval, q_models, q_quality  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

@@ -43,9 +43,15 @@ def register_tables(spark: SparkSession, sf_dir: str, names=("lineitem", "part")
 
 
 def wells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The well-log view as a DataFrame (lazy; Catalyst prunes unused columns)."""
+    """The well-log view as a DataFrame (lazy; Catalyst prunes unused columns).
+
+    The ingest conform step (curves as DOUBLE, NaN as NULL) is applied on top:
+    Spark types ``1.0 + p_size/20.0`` as DECIMAL where other engines use DOUBLE.
+    """
+    from ..config import FEATURES
+    from ..operators.quality import clean_curves
     register_tables(spark, sf_dir)
-    return spark.sql(WELLS_SQL)
+    return clean_curves(spark.sql(WELLS_SQL), list(FEATURES) + ["DEPTH_MD"])
 
 
 def oracle_cte(body: str) -> str:

@@ -67,8 +67,9 @@ def compare(spark, name, sf_dir, queries, oracles, con=None, verbose=True):
             print("  spark cols", sc)
             print("  duck  cols", dc)
         else:
-            diff_s = [r for r in sr if r not in set(dr)][:3]
-            diff_d = [r for r in dr if r not in set(sr)][:3]
+            ds, ss = set(dr), set(sr)
+            diff_s = [r for r in sr if r not in ds][:3]
+            diff_d = [r for r in dr if r not in ss][:3]
             print("  spark only", diff_s)
             print("  duck only ", diff_d)
     return ok, len(sr)

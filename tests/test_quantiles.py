@@ -20,7 +20,7 @@ def test_refinement_matches_sorting(spark):
     df = spark.createDataFrame([(v, rnd.choice("ab")) for v in vals], "x double, g string")
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
     fast = quantile_map(df, ["x"], probs)["x"]
-    slow = quantile_map(df, ["x"], probs, small_n=0, collect_limit=500, buckets=16)["x"]
+    slow = quantile_map(df, ["x"], probs, small_n=0, small_bytes=0, collect_limit=500, buckets=16)["x"]
     for p, a, b in zip(probs, fast, slow):
         ref = _pandas_like(vals, p)
         assert abs(a - ref) <= 1e-9 * max(1, abs(ref))
@@ -32,7 +32,7 @@ def test_grouped_refinement(spark):
     rows = [(float(rnd.randint(0, 50)), "hot") for _ in range(9000)] + \
         [(rnd.random(), "cold") for _ in range(3000)]
     df = spark.createDataFrame(rows, "x double, g string")
-    res = exact_quantiles(df, ["x"], [0.25, 0.5, 0.75], group_col="g", small_n=0,
+    res = exact_quantiles(df, ["x"], [0.25, 0.5, 0.75], group_col="g", small_n=0, small_bytes=0,
                           collect_limit=200, buckets=8)
     for g in ("hot", "cold"):
         vals = [x for x, gg in rows if gg == g]
