@@ -148,3 +148,30 @@ def synthetic_logs(spark, sf_dir):
     from ..sources.synthetic import synthetic_logs as gen
     src = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return gen(src, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"])
+
+
+@register("knn_impute")
+def knn_impute(spark, sf_dir):
+    """Exact 5-NN imputation of the labelled view (donors: all labelled rows, size-checked)."""
+    from ..operators.impute import knn_impute as knn
+    lab = labelled_normalized(spark, sf_dir).select(*KEY, *FEATS)
+    return round_doubles(knn(lab, FEATS, k=5))
+
+
+@register("iterative_impute")
+def iterative_impute(spark, sf_dir):
+    """I4: round-robin regression imputation of the labelled view."""
+    from ..operators.impute import iterative_impute as it
+    lab = labelled_normalized(spark, sf_dir).select(*KEY, *FEATS)
+    return round_doubles(it(lab, FEATS, max_iter=10))
+
+
+@register("imputation_bakeoff")
+def imputation_bakeoff(spark, sf_dir):
+    """The four techniques scored on the deterministic 1,000-row sample."""
+    from ..operators.impute import best_technique, imputation_bakeoff as bake
+    lab = labelled_normalized(spark, sf_dir)
+    scores = bake(lab, FEATS, list(KEY), sample_size=1000)
+    best = best_technique(scores)
+    return spark.createDataFrame([(t, float(m), t == best) for t, m in scores],
+                                 "technique string, mse double, is_best boolean")
