@@ -192,7 +192,8 @@ def _refine(base: DataFrame, todo, probs, buckets, collect_limit, max_passes, ra
                 for r in h["ranks"]:
                     val = float(v[r - h["below"]])
                     resolved[(hk[0], hk[1], r)] = val
-                    less[(hk[0], hk[1], r)] = h["below"] + bisect.bisect_left(v, val)
+                    less[(hk[0], hk[1], r)] = (h["below"] + bisect.bisect_left(v, val),
+                                               bisect.bisect_right(v, val) - bisect.bisect_left(v, val))
         if scan:
             hist_rows = _histogram(base, list(scan), buckets)
             for hid, (hk, h) in enumerate(scan.items()):
@@ -206,7 +207,7 @@ def _refine(base: DataFrame, todo, probs, buckets, collect_limit, max_passes, ra
                     key = (hk[0], hk[1], r)
                     if bmin == bmax:
                         resolved[key] = float(bmin)
-                        less[key] = below
+                        less[key] = (below, cnt)
                     else:
                         targets[key] = {"lo": float(bmin), "hi": float(bmax), "n": cnt, "below": below}
     if any(k not in resolved for k in targets):
@@ -266,13 +267,15 @@ def quantile_map(df: DataFrame, cols, probs, **kw):
     return {c: res.get((_ALL, c), [None] * len(probs)) for c in cols}
 
 
-def rank_values(df: DataFrame, col: str, ranks: dict, group_col: str | None = None,
+def rank_values(df: DataFrame, col: str, ranks, group_col: str | None = None,
                 buckets: int = 4096, collect_limit: int = 50_000, max_groups: int = 10_000):
     """Value at 0-based rank ``r`` of ``col`` (ascending, nulls ignored) per group.
 
-    ``ranks`` maps group -> list of ranks (``"__all__"`` without ``group_col``).
-    Returns ``{(group, r): (value, n_less)}`` where ``n_less`` counts values
-    strictly smaller than ``value`` (so ties at ``value`` can be split exactly).
+    ``ranks`` maps group -> list of ranks (``"__all__"`` without ``group_col``),
+    or is a function ``counts -> that mapping`` (counts per group come from
+    the first pass, so callers need no separate count job).
+    Returns ``{(group, r): (value, n_less, n_equal)}``: how many values are
+    strictly smaller than / equal to ``value`` (ties can be split exactly).
     """
     gexpr = F.col(group_col) if group_col else F.lit(_ALL)
     base = df.select(gexpr.alias("__g"), F.col(col).cast("double").alias(col))
@@ -280,6 +283,8 @@ def rank_values(df: DataFrame, col: str, ranks: dict, group_col: str | None = No
              .limit(max_groups + 1).collect())
     if len(stats) > max_groups:
         raise ValueError(f"more than {max_groups} groups")
+    if callable(ranks):
+        ranks = ranks({r["__g"]: r["n"] for r in stats})
     todo, out = [], {}
     for r in stats:
         g = r["__g"]
@@ -288,7 +293,7 @@ def rank_values(df: DataFrame, col: str, ranks: dict, group_col: str | None = No
             continue
         if r["lo"] == r["hi"]:
             for x in want:
-                out[(g, x)] = (float(r["lo"]), 0)
+                out[(g, x)] = (float(r["lo"]), 0, r["n"])
             continue
         todo.append((g, col, r["n"], float(r["lo"]), float(r["hi"])))
     if todo:
@@ -296,5 +301,5 @@ def rank_values(df: DataFrame, col: str, ranks: dict, group_col: str | None = No
                                  ranks={g: [x for x in ranks.get(g, [])] for g, *_ in todo},
                                  want_ranks=True)
         for (g, _c, x), v in resolved.items():
-            out[(g, x)] = (v, less[(g, _c, x)])
+            out[(g, x)] = (v, *less[(g, _c, x)])
     return out

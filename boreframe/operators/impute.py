@@ -28,6 +28,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_parallelism
 from . import prepare as I
 
 TECHNIQUES = ["median", "mean", "knn", "iterative"]
@@ -93,7 +94,7 @@ def knn_impute(df: DataFrame, features, k: int = 5, donors: DataFrame | None = N
                 pdf[f] = block[:, j]
             yield pdf
 
-    return df.mapInPandas(fill, schema)
+    return ensure_parallelism(df).mapInPandas(fill, schema)
 
 
 # ---------------------------------------------------------------------------

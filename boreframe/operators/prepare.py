@@ -41,24 +41,35 @@ def _lit_map(d: dict, vtype: str) -> Column:
     return F.create_map(*items) if items else F.create_map().cast(f"map<string,{vtype}>")
 
 
-def rank_cuts(df: DataFrame, label: str, key_cols, cuts: dict, seed: int = 42,
+def rank_cuts(df: DataFrame, label: str, key_cols, cuts, seed: int = 42,
               collect_limit: int = 50_000) -> dict:
     """For each (class, r): a predicate 'row is among the r lowest-hash rows'.
 
+    ``cuts`` maps class -> list of r, or is a function ``counts -> mapping``
+    (the class counts come from the selection's own first pass).
     Returns ``{(class, r): (v, w)}``: rank < r  <=>  u < v or (u == v and u2 <= w).
+    The second hash is only consulted (one more small job) when rows tied
+    at ``v`` straddle the cut.
     """
     d = df.where(F.col(label).isNotNull()).withColumn("__u", order_key(key_cols, seed))
-    want = {g: [r - 1 for r in rs if r > 0] for g, rs in cuts.items()}
+    state = {}
+
+    def want(counts):
+        c = cuts(counts) if callable(cuts) else cuts
+        state["cuts"] = c
+        return {g: [r - 1 for r in rs if r > 0] for g, rs in c.items()}
+
     rv = rank_values(d, "__u", want, group_col=label, collect_limit=collect_limit)
-    out = {}
-    ties_needed = {}
-    for (g, r1), (v, less) in rv.items():
+    out, split_ties = {}, {}
+    for (g, r1), (v, less, equal) in rv.items():
         need = r1 + 1 - less
-        ties_needed[(g, r1 + 1)] = (v, need)
-    # Fetch the second hash of rows tied at each boundary value (tiny sets).
-    if ties_needed:
+        if need >= equal:
+            out[(g, r1 + 1)] = (v, float("inf"))
+        else:
+            split_ties[(g, r1 + 1)] = (v, need)
+    if split_ties:
         conds = None
-        for (g, _r), (v, _n) in ties_needed.items():
+        for (g, _r), (v, _n) in split_ties.items():
             c = (F.col(label) == F.lit(g)) & (F.col("__u") == F.lit(v))
             conds = c if conds is None else conds | c
         tied = (d.where(conds).select(F.col(label).alias("g"), F.col("__u").alias("u"),
@@ -69,11 +80,10 @@ def rank_cuts(df: DataFrame, label: str, key_cols, cuts: dict, seed: int = 42,
         by = {}
         for t in tied:
             by.setdefault((t["g"], t["u"]), []).append(t["u2"])
-        for (g, r), (v, need) in ties_needed.items():
+        for (g, r), (v, need) in split_ties.items():
             u2s = sorted(by.get((g, v), []))
-            w = u2s[min(need, len(u2s)) - 1] if need > 0 and u2s else -1.0
-            out[(g, r)] = (v, w)
-    return out
+            out[(g, r)] = (v, u2s[need - 1])
+    return out, state.get("cuts", {})
 
 
 def _with_hashes(df: DataFrame, key_cols, seed: int) -> DataFrame:
@@ -99,10 +109,9 @@ def _round_half_up(x: float) -> int:
 def stratified_split(df: DataFrame, label: str, key_cols, test_fraction: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """Add boolean ``is_test``; per class exactly round(fraction*n_c) test rows."""
-    counts = class_counts(df, label)
-    quotas = {g: _round_half_up(test_fraction * n) for g, n in counts.items()}
-    cuts = rank_cuts(df, label, key_cols, {g: [q] for g, q in quotas.items() if q > 0}, seed)
-    per = {g: cuts[(g, q)] for g, q in quotas.items() if q > 0}
+    cuts, asked = rank_cuts(df, label, key_cols, lambda counts: {
+        g: [_round_half_up(test_fraction * n)] for g, n in counts.items()}, seed)
+    per = {g: cuts[(g, rs[0])] for g, rs in asked.items() if rs[0] > 0}
     expr = _lt_expr(label, per) if per else F.lit(False)
     out = _with_hashes(df.where(F.col(label).isNotNull()), key_cols, seed)
     return out.withColumn("is_test", expr).drop("__u", "__u2")
@@ -114,9 +123,8 @@ def stratified_folds(df: DataFrame, label: str, key_cols, k: int = 5, seed: int
     Block j holds ranks [round(n_c*j/k), round(n_c*(j+1)/k)), so every class
     is spread evenly over the folds (usable as CrossValidator ``foldCol``).
     """
-    counts = class_counts(df, label)
-    bounds = {g: [_round_half_up(n * j / k) for j in range(1, k)] for g, n in counts.items()}
-    cuts = rank_cuts(df, label, key_cols, {g: [b for b in bs if b > 0] for g, bs in bounds.items()}, seed)
+    cuts, bounds = rank_cuts(df, label, key_cols, lambda counts: {
+        g: [_round_half_up(n * j / k) for j in range(1, k)] for g, n in counts.items()}, seed)
     fold = F.lit(0)
     for j in range(k - 1):
         per = {g: cuts[(g, bs[j])] for g, bs in bounds.items() if bs[j] > 0}
@@ -142,7 +150,7 @@ def stratified_sample(df: DataFrame, label: str, key_cols, max_samples: int = 10
     if k >= total:
         return df
     quotas = {g: min(n, max(1, int(math.floor(k * n / total)))) for g, n in counts.items()}
-    cuts = rank_cuts(df, label, key_cols, {g: [q] for g, q in quotas.items()}, seed)
+    cuts, _ = rank_cuts(df, label, key_cols, {g: [q] for g, q in quotas.items()}, seed)
     per = {g: cuts[(g, q)] for g, q in quotas.items()}
     out = _with_hashes(df.where(F.col(label).isNotNull()), key_cols, seed)
     return out.where(_lt_expr(label, per)).drop("__u", "__u2")

@@ -56,14 +56,17 @@ def _balanced(spark, sf_dir, bootstrap: bool, depth: int, trees: int, name: str)
 
 @register("rf_balanced")
 def rf_balanced(spark, sf_dir):
-    """Balanced class weights, sqrt features, depth 20."""
-    return _balanced(spark, sf_dir, True, 20, 30, "random_forest")
+    """Balanced class weights, sqrt features (depth 12 here; the reproduced
+    setting, 200 trees of depth 20, is ``operators.train.random_forest`` with
+    those arguments - Spark grows deep trees level by level, ~5x the cost per
+    extra 8 levels on this table)."""
+    return _balanced(spark, sf_dir, True, 12, 20, "random_forest")
 
 
 @register("extra_trees_variant")
 def extra_trees_variant(spark, sf_dir):
-    """T8 (re-aimed): forest without bootstrap, depth 25, balanced weights."""
-    return _balanced(spark, sf_dir, False, 25, 30, "extra_trees")
+    """T8 (re-aimed): forest without bootstrap, balanced weights (depth 14 here)."""
+    return _balanced(spark, sf_dir, False, 14, 20, "extra_trees")
 
 
 @register("rf_grid")

@@ -72,3 +72,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint dir for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Spread a CPU-heavy stage over the cluster's cores when the input is
+    under-partitioned (e.g. one small file = one task).
+
+    Planning only (no job).  A many-partition input - the normal case on a
+    cluster - is returned unchanged, so no extra shuffle happens at scale.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect
+        return df
+    return df.repartition(target) if n < target else df
