@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,9 @@ def outside(c, lo: float, hi: float) -> Column:
 
 
 def pct(num, den) -> Column:
-    """Percentage num/den*100 as double; 0 rows -> NULL instead of an error."""
-    return F.try_divide(num.cast("double") * F.lit(100.0), den.cast("double"))
+    """Percentage (num/den)*100 as double (that operation order, as reported);
+    0 rows -> NULL instead of an error."""
+    return F.try_divide(num.cast("double"), den.cast("double")) * F.lit(100.0)
 
 
 def safe_div(num, den) -> Column:
@@ -75,7 +78,27 @@ def stack_columns(df: DataFrame, id_cols, value_cols, name_col="feature", value_
                          f"stack({len(value_cols)}, {pairs}) as ({name_col}, {value_col})")
 
 
+_FORMATTERS = {}
+
+
+def py_format(c, spec: str) -> Column:
+    """Format a double exactly like Python's ``format(x, spec)``.
+
+    Java's formatter rounds half-up on the shortest decimal form (0.25 ->
+    '0.3', 0.35 -> '0.4'), Python rounds the exact binary value (0.2, 0.3).
+    Only used on aggregated rows (report texts), so the Arrow-batched Python
+    call never sits in a per-row hot path.
+    """
+    if spec not in _FORMATTERS:
+        @F.pandas_udf("string")
+        def _fmt(s: pd.Series) -> pd.Series:
+            return s.map(lambda x: None if x is None or x != x else format(float(x), spec))
+
+        _FORMATTERS[spec] = _fmt
+    col = F.col(c) if isinstance(c, str) else c
+    return _FORMATTERS[spec](col.cast("double"))
+
+
 def fmt2(c) -> Column:
     """Number formatted with 2 decimals (like Python's ``{:.2f}``)."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.format_string("%.2f", col.cast("double"))
+    return py_format(c, ".2f")

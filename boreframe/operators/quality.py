@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import LogConfig
-from ..functions.exprs import count_true, fmt2, nan_to_null, outside, pct, stack_columns
+from ..functions.exprs import count_true, fmt2, nan_to_null, outside, pct, py_format
 from ..functions.quantiles import quantile_map
 
 
@@ -374,7 +374,7 @@ def recommendations(df: DataFrame, columns, target: str | None, cfg: LogConfig =
     order = 0
     for i, c in enumerate(null_cols):
         p = pct(F.col(f"null_{i}"), n)
-        txt = F.format_string("%.1f", p)
+        txt = py_format(p, ".1f")
         sev = (F.when(p > 50, F.lit("high")).when(p > 20, F.lit("moderate")).when(p > 5, F.lit("info")))
         msg = (F.when(p > 50, F.concat(F.lit(f"🔴 {c}: "), txt, F.lit(
                 "% missing values. Consider removing this feature or finding alternative data.")))
@@ -387,7 +387,7 @@ def recommendations(df: DataFrame, columns, target: str | None, cfg: LogConfig =
         order += 1
     for i, c in enumerate(bound_cols):
         p = pct(F.col(f"oob_{i}"), n)
-        txt = F.format_string("%.1f", p)
+        txt = py_format(p, ".1f")
         sev = F.when(p > 10, F.lit("high")).when(p > 1, F.lit("moderate"))
         msg = (F.when(p > 10, F.concat(F.lit(f"🚨 {c}: "), txt, F.lit(
                 "% values outside expected range. Check data calibration and quality.")))

@@ -362,7 +362,7 @@ def _rec_rows_sql():
     parts = []
     order = 0
     for c in ANALYSIS + [TARGET]:
-        p = f"(cast(null_{c} as double) * 100.0 / n)"
+        p = f"((cast(null_{c} as double) / n) * 100)"
         t = f"printf('%.1f', {p})"
         parts.append(
             f"select {order} as rec_order, '{c}' as item, 'missing' as kind, "
@@ -372,7 +372,7 @@ def _rec_rows_sql():
             f"when {p} > 5 then 'ℹ️ {c}: ' || {t} || '% missing values. Consider imputation strategies.' end as message from c")
         order += 1
     for c in ANALYSIS:
-        p = f"(cast(oob_{c} as double) * 100.0 / n)"
+        p = f"((cast(oob_{c} as double) / n) * 100)"
         t = f"printf('%.1f', {p})"
         parts.append(
             f"select {order} as rec_order, '{c}' as item, 'bounds' as kind, "

@@ -132,3 +132,11 @@ def test_threshold_mask(spark):
     assert out == [C.LOW_CONFIDENCE_LABEL, "B"]
     out0 = [r[0] for r in df.select(R.threshold_mask(F.col("p"), F.col("c"), 0.0)).collect()]
     assert out0 == ["A", "B"]
+
+
+def test_py_format_matches_python(spark):
+    from boreframe.functions.exprs import py_format
+    vals = [0.25, 0.35, 0.15, 12.25, 7.85, 2.675, None]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r[0] for r in df.select(py_format("v", ".1f")).collect()]
+    assert got == [None if v is None else format(v, ".1f") for v in vals]
