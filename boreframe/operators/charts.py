@@ -103,11 +103,21 @@ def box_stats(df: DataFrame, label: str, curves, **qkw) -> DataFrame:
 
 
 def correlation(df: DataFrame, curves) -> DataFrame:
-    """V3: Pearson correlation for every ordered pair (pairwise complete), one aggregate."""
-    pairs = [(a, b) for a in curves for b in curves]
-    wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("curve_a"), F.lit(b).alias("curve_b"), F.col(f"c{i}").alias("corr"))
-            for i, (a, b) in enumerate(pairs)]
+    """V3: Pearson correlation for every ordered pair (pairwise complete).
+
+    One aggregate over the distinct unordered pairs (incl. the diagonal);
+    the matrix is mirrored afterwards.
+    """
+    idx = {c: i for i, c in enumerate(curves)}
+    uniq = [(a, b) for a in curves for b in curves if idx[a] <= idx[b]]
+    pos = {p: i for i, p in enumerate(uniq)}
+    wide = df.agg(*[F.corr(a, b).alias(f"c{pos[(a, b)]}") for a, b in uniq])
+    rows = []
+    for a in curves:
+        for b in curves:
+            k = pos[(a, b)] if idx[a] <= idx[b] else pos[(b, a)]
+            rows.append(F.struct(F.lit(a).alias("curve_a"), F.lit(b).alias("curve_b"),
+                                 F.col(f"c{k}").alias("corr")))
     return wide.select(F.inline(F.array(*rows)))
 
 

@@ -19,25 +19,20 @@ def confusion_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def _classes(counts: DataFrame, max_classes: int = 10_000) -> list:
-    rows = (counts.select(F.col("actual").alias("c")).union(counts.select(F.col("predicted").alias("c")))
-            .distinct().limit(max_classes + 1).collect())
-    if len(rows) > max_classes:
+def confusion_matrix(df: DataFrame, actual: str, predicted: str, max_classes: int = 10_000) -> DataFrame:
+    """Full K x K grid (zeros included) over the label vocabulary.
+
+    The scored table is aggregated once (one job, partial aggregation); the
+    <= K^2 counts (K checked) come back as a small local table, so every
+    metric built on top costs no further pass over the scored rows.
+    """
+    rows = confusion_counts(df, actual, predicted).limit(max_classes * max_classes + 1).collect()
+    classes = sorted({r["actual"] for r in rows} | {r["predicted"] for r in rows})
+    if len(classes) > max_classes:
         raise ValueError("too many classes")
-    return sorted(r["c"] for r in rows)
-
-
-def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Full K x K grid (zeros included) over the label vocabulary."""
-    counts = confusion_counts(df, actual, predicted)
-    classes = _classes(counts)
-    arr = F.array(*[F.lit(c) for c in classes])
-    grid = (counts.select(F.explode(arr).alias("actual")).distinct()
-            .select("actual", F.explode(arr).alias("predicted")))
-    if not classes:
-        return counts
-    return (grid.join(F.broadcast(counts), ["actual", "predicted"], "left")
-            .select("actual", "predicted", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
+    got = {(r["actual"], r["predicted"]): r["count"] for r in rows}
+    grid = [(a, p, int(got.get((a, p), 0))) for a in classes for p in classes]
+    return df.sparkSession.createDataFrame(grid, "actual string, predicted string, count bigint")
 
 
 def confusion_normalized(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -100,6 +95,12 @@ def best_model(metrics: DataFrame, by: str = "f1_score", order_col: str | None =
     return metrics.orderBy(*keys).limit(1)
 
 
+def pick_by_accuracy(metrics: DataFrame, preferred: str = "random_forest") -> DataFrame:
+    """The better of the models by accuracy; ties go to ``preferred``."""
+    pref = F.when(F.col("model") == F.lit(preferred), F.lit(0)).otherwise(F.lit(1))
+    return metrics.orderBy(F.desc("accuracy"), pref.asc(), F.asc("model")).limit(1)
+
+
 def model_comparison(metric_rows) -> DataFrame:
     """Union of E1 rows from several models (titled model names)."""
     out = None

@@ -224,3 +224,12 @@ def confidence_histogram(spark, sf_dir):
     "boreframe.plans.q_analytics", fromlist=["_box_sql"])._box_sql("PREDICTED", "scored", ["CONFIDENCE"])))
 def confidence_box(spark, sf_dir):
     return round_doubles(V.box_stats(scored(spark, sf_dir), "PREDICTED", ["CONFIDENCE"]))
+
+
+@register("depth_bins", S("""
+, c as (select WELL, cast(floor(DEPTH_MD / 100.0) as bigint) as depth_bin, PREDICTED as label, count(*) as n
+        from scored group by 1, 2, 3)
+, r as (select *, row_number() over (partition by WELL, depth_bin order by n desc, label desc) as rn from c)
+select WELL, depth_bin, label as mode_label, n as count from r where rn = 1"""))
+def depth_bins(spark, sf_dir):
+    return R.depth_bins(scored(spark, sf_dir), "WELL", "DEPTH_MD", "PREDICTED", 100.0)

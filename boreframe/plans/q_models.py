@@ -178,3 +178,23 @@ def imputation_bakeoff(spark, sf_dir):
     best = best_technique(scores)
     return spark.createDataFrame([(t, float(m), t == best) for t, m in scores],
                                  "technique string, mse double, is_best boolean")
+
+
+@register("model_roundtrip_batch_score")
+def model_roundtrip_batch_score(spark, sf_dir):
+    """Write the view as per-well files, save a run, load the
+    newest run and batch-score all well files in one read and one write."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources.sinks import write_table
+    from ..streaming.scoring import batch_score_files
+    base = shared_dir(spark, f"roundtrip-{uuid.uuid4().hex[:12]}")
+    view = wells(spark, sf_dir)
+    write_table(view, f"{base}/wells", partition_by=("WELL",))
+    train, _ = _split(spark, sf_dir)
+    model = T.fit(train, FEATS, LABEL, T.random_forest(num_trees=10, max_depth=6))
+    T.save_run(spark, f"{base}/models", {"random_forest": model})
+    models, _run = T.load_latest(spark, f"{base}/models")
+    out = batch_score_files(spark, models["random_forest"], f"{base}/wells", FEATS, f"{base}/scored", fmt="parquet")
+    return spark.read.parquet(out).select(*KEY, "WELL", "Predicted_Lithology", "Prediction_Confidence")

@@ -540,3 +540,28 @@ select {O.KEY_SQL} from wells where {' and '.join(f'{c} is not null' for c in FE
 @register("complete_cases", COMPLETE_CASES_SQL)
 def complete_cases(spark, sf_dir):
     return Q.complete_cases(wells(spark, sf_dir), FEATS + [TARGET]).select(*KEY)
+
+
+# ---------------------------------------------------------------------------
+# S7 issue reports: written partitioned by issue type, read back and counted
+# ---------------------------------------------------------------------------
+
+ISSUE_REPORTS_SQL = O.with_wells(" union all ".join(
+    [f"select 'Null_{c}' as Issue_Type, count(*) as issue_rows from wells where {c} is null having count(*) > 0"
+     for c in ANALYSIS + [TARGET]] +
+    [f"select 'OutOfBounds_{c}', count(*) from wells where {_oob_cond(c)} having count(*) > 0" for c in ANALYSIS] +
+    [f"select 'Invalid_Lithology', count(*) from wells where LITH is not null and LITH not in ({_EXPECTED_SQL}) "
+     f"having count(*) > 0"]))
+
+
+@register("issue_reports", ISSUE_REPORTS_SQL)
+def issue_reports(spark, sf_dir):
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources.sinks import write_issue_reports
+    df = wells(spark, sf_dir)
+    path = shared_dir(spark, f"issues-{uuid.uuid4().hex[:12]}")
+    write_issue_reports(Q.null_issue_rows(df, ANALYSIS, TARGET), Q.oob_issue_rows(df, ANALYSIS),
+                        Q.invalid_label_rows(df, TARGET), path)
+    return spark.read.parquet(path).groupBy("Issue_Type").agg(F.count(F.lit(1)).alias("issue_rows"))

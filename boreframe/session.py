@@ -74,12 +74,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def ensure_parallelism(df, min_partitions: int | None = None):
+def ensure_parallelism(df, min_partitions: int | None = None, cols=None):
     """Spread a CPU-heavy stage over the cluster's cores when the input is
     under-partitioned (e.g. one small file = one task).
 
     Planning only (no job).  A many-partition input - the normal case on a
     cluster - is returned unchanged, so no extra shuffle happens at scale.
+    With ``cols`` the spread hashes those columns (deterministic without the
+    local sort a round-robin repartition needs for retry safety).
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
@@ -87,4 +89,6 @@ def ensure_parallelism(df, min_partitions: int | None = None):
         n = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. Spark Connect
         return df
-    return df.repartition(target) if n < target else df
+    if n >= target:
+        return df
+    return df.repartition(target, *cols) if cols else df.repartition(target)
