@@ -75,11 +75,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def ensure_parallelism(df, min_partitions: int | None = None, cols=None):
-    """Spread a CPU-heavy stage over the cluster's cores when the input is
-    under-partitioned (e.g. one small file = one task).
-
-    Planning only (no job).  A many-partition input - the normal case on a
-    cluster - is returned unchanged, so no extra shuffle happens at scale.
+    """Spread a freshly read source over the cluster's cores when its files
+    give fewer partitions than cores (e.g. one small file = one task).
+
+    Call it on a source scan only: there the partition count comes from file
+    listing (no job).  On plans that already contain a shuffle, adaptive
+    execution would have to run those stages to answer.  A many-partition
+    input - the normal case on a cluster - is returned unchanged, so no
+    extra shuffle happens at scale.
     With ``cols`` the spread hashes those columns (deterministic without the
     local sort a round-robin repartition needs for retry safety).
     """
