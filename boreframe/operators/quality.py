@@ -224,7 +224,7 @@ ENHANCED_QUALITY_COLS = ["Data_Quality_Score", "Data_Quality_Has_Null_Values",
 
 def enhanced_dataset(df: DataFrame, cfg: LogConfig, imputation: str | None = "median",
                      fences: dict | None = None, predicted: Column | None = None,
-                     with_metadata: bool = True, **qkw) -> DataFrame:
+                     with_metadata: bool = True, outliers: dict | None = None, **qkw) -> DataFrame:
     """Q10: originals + quality columns (+ prediction) + metadata, rows with a target.
 
     Statistics (IQR fences) are fitted on the rows with a target, as the
@@ -233,8 +233,10 @@ def enhanced_dataset(df: DataFrame, cfg: LogConfig, imputation: str | None = "me
     """
     feats = cfg.present_features(df.columns)
     base = drop_null_target(df, cfg.target)
-    fences = fences or iqr_fences(base, feats, **qkw)
-    ann = annotate_rows(base, feats, {f: fences[f].flag(f) for f in feats}, imputation, prefix="__")
+    if outliers is None:  # default rule: IQR fences fitted on the labelled rows
+        fences = fences or iqr_fences(base, feats, **qkw)
+        outliers = {f: fences[f].flag(f) for f in feats}
+    ann = annotate_rows(base, feats, outliers, imputation, prefix="__")
     summary = f"Best_Imputation: {imputation if imputation else 'None'}"
     out_cols = [F.col(c) for c in df.columns] + [
         F.col("__Quality_Score").alias("Data_Quality_Score"),

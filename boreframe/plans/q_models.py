@@ -9,7 +9,6 @@ finishes quickly; the library defaults follow the reproduced settings
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -198,3 +197,18 @@ def model_roundtrip_batch_score(spark, sf_dir):
     models, _run = T.load_latest(spark, f"{base}/models")
     out = batch_score_files(spark, models["random_forest"], f"{base}/wells", FEATS, f"{base}/scored", fmt="parquet")
     return spark.read.parquet(out).select(*KEY, "WELL", "Predicted_Lithology", "Prediction_Confidence")
+
+
+@register("complete_training_run")
+def complete_training_run(spark, sf_dir):
+    """The whole training flow (plans.training_run): profile, annotate,
+    bake-off, stratified split, grid searches for both learners with
+    fallbacks, evaluation, best pick, enhanced table.  Grids are small here
+    (one or two points); the size-adaptive grids are the library default."""
+    from ..config import LogConfig
+    from .training_run import RunOptions, run
+    opts = RunOptions(rf_grid={"numTrees": [10], "maxDepth": [6, 8]}, gbt_grid={"maxIter": [3], "maxDepth": [3]},
+                      folds=2, key=KEY, bakeoff_sample=1000, parallelism=2)
+    res = run(spark, wells(spark, sf_dir), LogConfig(target="LITH", key=KEY), opts)
+    return round_doubles(res.metrics.withColumn("is_best", F.col("model") == F.lit(res.best_model))
+                         .withColumn("imputation", F.lit(res.imputation)))

@@ -442,12 +442,6 @@ def simple_annotations(spark, sf_dir):
         *KEY, "Has_Null_Values", "Null_Count", "Quality_Issues", "Techniques_Applied", "Data_Quality_Score")
 
 
-def _processed_parts():
-    """Spark side of Q18: statistics fitted as the second app does."""
-    from ..operators import prepare as P
-    return P
-
-
 _PROC_STATS = f"""
 , t as (select * from wells where LITH is not null)
 , med as (select {', '.join(f'quantile_cont({f}, 0.5) as {f}_med' for f in FEATS)} from t)

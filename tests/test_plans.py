@@ -36,6 +36,7 @@ def test_training_run_end_to_end(spark):
     enh = spark.read.parquet(f"{d}/out/enhanced")
     assert enh.count() == df.count()
     assert "ML_Predicted_Lithology" in enh.columns and "Data_Quality_Score" in enh.columns
+    assert "Predicted_Lithology" not in enh.columns
     s = res.summary.first()
     assert s["best_model"] == res.best_model and s["dataset_info"]["classes"] == 5
 
