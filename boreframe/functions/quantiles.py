@@ -56,7 +56,7 @@ def _interp(lo_v: float, hi_v: float, frac: float) -> float:
 def exact_quantiles(df: DataFrame, cols, probs, group_col: str | None = None,
                     small_n: int = 2_000_000, buckets: int = 4096,
                     collect_limit: int = 50_000, max_groups: int = 10_000,
-                    max_passes: int = 64, small_bytes: int = 64 << 20):
+                    max_passes: int = 64, small_bytes: int = 64 << 20, seed_accuracy: int = 10_000):
     """Exact linear quantiles of ``cols`` (nulls ignored), optionally per group.
 
     Returns ``{(group, col): [q(p) for p in probs]}``; ``group`` is ``"__all__"``
@@ -76,11 +76,21 @@ def exact_quantiles(df: DataFrame, cols, probs, group_col: str | None = None,
             return res
         # misestimate (e.g. an exploding join): fall through to refinement
 
-    # ---- pass 0: count/min/max per (group, col) -------------------------
+    # ---- pass 0: count/min/max per (group, col), plus sketch seeds -------
+    # percentile_approx at p -/+ delta brackets the exact p-quantile (rank
+    # error <= n/accuracy), so refinement starts inside a narrow bracket and
+    # needs one histogram pass fewer over the data.
+    seed_q = []
+    if seed_accuracy:
+        delta = 3.0 / seed_accuracy + 1e-6
+        for p in probs:
+            seed_q += [max(0.0, p - delta), min(1.0, p + delta)]
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count(F.col(c)).alias(f"n{i}"), F.min(F.col(c)).alias(f"lo{i}"),
                  F.max(F.col(c)).alias(f"hi{i}")]
+        if seed_accuracy:
+            aggs.append(F.percentile_approx(F.col(c), seed_q, seed_accuracy).alias(f"s{i}"))
     stats_rows = base.groupBy("__g").agg(*aggs).limit(max_groups + 1).collect()
     if len(stats_rows) > max_groups:
         raise ValueError(f"more than {max_groups} groups for quantiles")
@@ -102,7 +112,11 @@ def exact_quantiles(df: DataFrame, cols, probs, group_col: str | None = None,
             elif n <= small_n:
                 small.append((g, c, n))
             else:
-                todo.append((g, c, n, lo, hi))
+                seeds = None
+                if seed_accuracy and r[f"s{i}"] is not None:
+                    sv = [float(x) for x in r[f"s{i}"]]
+                    seeds = [(sv[2 * k], sv[2 * k + 1]) for k in range(len(probs))]
+                todo.append((g, c, n, lo, hi, seeds))
 
     # ---- small histograms: built-in exact percentile, one aggregate -----
     if small:
@@ -163,13 +177,22 @@ def _refine(base: DataFrame, todo, probs, buckets, collect_limit, max_passes, ra
     # count n inside it, count below it.
     targets = {}
     result_ranks = {}
-    for g, c, n, lo, hi in todo:
+    full = {}
+    for item in todo:
+        g, c, n, lo, hi = item[:5]
+        seeds = item[5] if len(item) > 5 else None
+        full[(g, c)] = (lo, hi, n)
         if ranks is not None:
-            wanted = ranks.get(g, [])
+            wanted = [(r, None) for r in ranks.get(g, [])]
         else:
-            wanted = [r for p in probs for r in _positions(n, p)[:2]]
-        for r in wanted:
-            targets[(g, c, r)] = {"lo": lo, "hi": hi, "n": n, "below": 0}
+            wanted = [(r, k) for k, p in enumerate(probs) for r in _positions(n, p)[:2]]
+        for r, k in wanted:
+            if seeds is not None and k is not None and seeds[k][0] <= seeds[k][1]:
+                # seeded bracket: 'below' and the in-bracket count are learnt
+                # in the first histogram pass (values < lo land in bin -1)
+                targets[(g, c, r)] = {"lo": seeds[k][0], "hi": seeds[k][1], "n": None, "below": None}
+            else:
+                targets[(g, c, r)] = {"lo": lo, "hi": hi, "n": n, "below": 0}
         result_ranks[(g, c)] = n
 
     resolved = {}
@@ -181,10 +204,10 @@ def _refine(base: DataFrame, todo, probs, buckets, collect_limit, max_passes, ra
         # group targets by identical bracket -> one histogram
         hists = {}
         for (g, c, r), s in open_t.items():
-            hk = (g, c, s["lo"], s["hi"])
+            hk = (g, c, s["lo"], s["hi"], s["below"] is None)
             hists.setdefault(hk, {"n": s["n"], "below": s["below"], "ranks": []})["ranks"].append(r)
-        fetch = {hk: h for hk, h in hists.items() if h["n"] <= collect_limit}
-        scan = {hk: h for hk, h in hists.items() if h["n"] > collect_limit}
+        fetch = {hk: h for hk, h in hists.items() if h["n"] is not None and h["n"] <= collect_limit}
+        scan = {hk: h for hk, h in hists.items() if h["n"] is None or h["n"] > collect_limit}
         if fetch:
             vals = _fetch(base, list(fetch))
             for hid, (hk, h) in enumerate(fetch.items()):
@@ -198,13 +221,23 @@ def _refine(base: DataFrame, todo, probs, buckets, collect_limit, max_passes, ra
             hist_rows = _histogram(base, list(scan), buckets)
             for hid, (hk, h) in enumerate(scan.items()):
                 bins = sorted(hist_rows.get(hid, []))
+                start = h["below"]
+                if start is None:  # seeded: count below the bracket from bin -1
+                    start = sum(cnt for b, cnt, _, _ in bins if b < 0)
+                    bins = [t for t in bins if t[0] >= 0]
+                inside = sum(cnt for _, cnt, _, _ in bins)
                 for r in h["ranks"]:
-                    below = h["below"]
+                    key = (hk[0], hk[1], r)
+                    if not (start <= r < start + inside):
+                        # the sketch bound did not hold: restart from [min, max]
+                        lo, hi, n = full[(hk[0], hk[1])]
+                        targets[key] = {"lo": lo, "hi": hi, "n": n, "below": 0}
+                        continue
+                    below = start
                     for b, cnt, bmin, bmax in bins:
                         if r < below + cnt:
                             break
                         below += cnt
-                    key = (hk[0], hk[1], r)
                     if bmin == bmax:
                         resolved[key] = float(bmin)
                         less[key] = (below, cnt)
@@ -227,15 +260,24 @@ def _refine(base: DataFrame, todo, probs, buckets, collect_limit, max_passes, ra
 
 def _member_structs(hist_keys, with_bin: bool, buckets: int) -> Column:
     elems = []
-    for hid, (g, c, lo, hi) in enumerate(hist_keys):
+    for hid, hk in enumerate(hist_keys):
+        g, c, lo, hi = hk[:4]
+        count_below = len(hk) > 4 and hk[4]
         v = F.col(c)
         cond = (v >= F.lit(lo)) & (v <= F.lit(hi))
+        if count_below:
+            cond = v <= F.lit(hi)
         if g != _ALL:
             cond = cond & (F.col("__g") == F.lit(g))
         if with_bin:
             width = hi - lo
-            b = F.least(F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(buckets)),
-                        F.lit(buckets - 1)).cast("int")
+            if width > 0:
+                b = F.least(F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(buckets)),
+                            F.lit(buckets - 1)).cast("int")
+            else:
+                b = F.lit(0)
+            if count_below:
+                b = F.when(v < F.lit(lo), F.lit(-1)).otherwise(b)
             elems.append(F.when(cond, F.struct(F.lit(hid).alias("h"), b.alias("b"), v.alias("v"))))
         else:
             elems.append(F.when(cond, F.struct(F.lit(hid).alias("h"), F.lit(0).alias("b"), v.alias("v"))))

@@ -45,3 +45,24 @@ def test_constant_and_empty(spark):
     q = quantile_map(df, ["a", "b"], [0.5])
     assert q["a"] == [1.0]
     assert q["b"] == [None]
+
+
+def test_seeded_unseeded_and_wrong_seed_agree(spark):
+    from boreframe.functions.quantiles import _refine
+    rnd = random.Random(11)
+    vals = [rnd.gauss(0, 1) ** 3 for _ in range(30000)] + [2.0] * 9000
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.25, 0.5, 0.75]
+    kw = dict(small_n=0, small_bytes=0, collect_limit=300, buckets=32)
+    seeded = quantile_map(df, ["x"], probs, seed_accuracy=200, **kw)["x"]
+    plain = quantile_map(df, ["x"], probs, seed_accuracy=0, **kw)["x"]
+    for p, a, b in zip(probs, seeded, plain):
+        ref = _pandas_like(vals, p)
+        assert abs(a - ref) < 1e-9 and abs(b - ref) < 1e-9
+    # a seed bracket that misses the rank falls back to the full range
+    base = df.select(F.lit("__all__").alias("__g"), "x")
+    n = len(vals)
+    wrong = [(10.0, 11.0)] * len(probs)
+    got = _refine(base, [("__all__", "x", n, min(vals), max(vals), wrong)], probs, 32, 300, 64)
+    for p, a in zip(probs, got[("__all__", "x")]):
+        assert abs(a - _pandas_like(vals, p)) < 1e-9
