@@ -29,6 +29,7 @@ def test_training_run_end_to_end(spark):
                       folds=2, key=tuple(KEY), bakeoff_sample=300)
     res = run(spark, df, LogConfig(key=tuple(KEY)), opts, model_dir=f"{d}/models", out_dir=f"{d}/out")
     assert set(res.models) == {"random_forest", "xgboost"}
+    assert res.extra["learners"] == {"random_forest": "search", "xgboost": "search"}
     assert res.imputation in ("median", "mean", "knn", "iterative")
     assert [t for t, _ in res.bakeoff] == ["median", "mean", "knn", "iterative"]
     m = {r["model"]: r for r in res.metrics.collect()}
