@@ -28,6 +28,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from . import prepare as I
 
 TECHNIQUES = ["median", "mean", "knn", "iterative"]
@@ -126,6 +127,7 @@ def iterative_impute(df: DataFrame, features, key_cols=None, max_iter: int = 10,
                 pred = pred + F.lit(float(c)) * F.col(g)
             cur = cur.withColumn(f, F.when(F.col(f"__m_{f}"), pred).otherwise(F.col(f)))
         if checkpoint:
+            ensure_checkpoint_dir(df.sparkSession)
             cur = cur.checkpoint(eager=True)
         # largest change of any imputed cell in this round (same lineage, no join)
         diffs = [F.max(F.abs(F.col(f) - F.col(f"__p_{f}"))) for f in order]
@@ -154,6 +156,7 @@ def imputation_bakeoff(df: DataFrame, features, key_cols, sample_size: int = 100
     """
     feats = list(features)
     sample = I.sample_rows(df.select(*key_cols, *feats), key_cols, sample_size, seed)
+    ensure_checkpoint_dir(df.sparkSession)
     sample = sample.checkpoint(eager=True)
     masks = {f: _mask_col(key_cols, f, seed) for f in feats}
     truth = sample.withColumns({f"__t_{f}": F.col(f) for f in feats}) \
