@@ -44,3 +44,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boreframe.llm.substring_dedup import substring_dedup
     d = substring_dedup(load(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op6_simhash")
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boreframe.llm.simhash import simhash_near_dups
+    return simhash_near_dups(load(spark, sf_dir, "documents"))
+
+
+@register("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boreframe.llm.packing import pack
+    return pack(load(spark, sf_dir, "documents"))
