@@ -56,3 +56,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boreframe.llm.packing import pack
     return pack(load(spark, sf_dir, "documents"))
+
+
+@register("op10_lm_score")
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boreframe.llm.lm_score import lm_scores
+    return lm_scores(load(spark, sf_dir, "documents"))
