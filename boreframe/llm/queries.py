@@ -62,3 +62,39 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boreframe.llm.lm_score import lm_scores
     return lm_scores(load(spark, sf_dir, "documents"))
+
+
+@register("op1_quality_rules", rf"""
+with d as (select row_number() over () as rid, doc_id, coalesce(source, '') as host, coalesce(text, '') as t,
+                  {WORDS_SQL} as w from documents),
+lines as (select rid, host, t, unnest(string_split(t, chr(10))) as line from d),
+norm as (select rid, host, t, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) as k,
+                len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as lw
+         from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+sizes as (select host, count(distinct t) as docs from d group by host),
+freq as (select host, k, count(distinct t) as n from norm group by host, k),
+common as (select host, k from freq join sizes using (host) where n >= 10 and n > 0.05 * docs),
+gone as (select rid, count(*) as n_common_lines, sum(lw) as n_common_words
+         from norm join common using (host, k) group by rid),
+dup as (select rid, count(*) - count(distinct line) as n_dup_lines from norm group by rid),
+win as (select rid, i, count(*) over (partition by rid, s) as c from (
+          select rid, i, array_to_string(w[i:i + 4], ' ') as s
+          from (select rid, w, unnest(range(1, len(w) - 3)) as i from d))),
+rep as (select rid, count(distinct j) as n_repeat_words
+        from (select rid, unnest(range(i, i + 5)) as j from win where c > 1) group by rid),
+x as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+             coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+             coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+             coalesce(n_common_lines, 0)::bigint as n_common_lines,
+             coalesce(n_common_words, 0)::bigint as n_common_words
+      from d left join dup using (rid) left join rep using (rid) left join gone using (rid))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+       n_common_lines, n_common_words,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words)
+         and n_common_words <= 0.5 * n_words as kept
+from x""")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boreframe.llm.quality_rules import quality_rules
+    return quality_rules(load(spark, sf_dir, "documents")).drop("clean_text")
