@@ -98,3 +98,41 @@ from x""")
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boreframe.llm.quality_rules import quality_rules
     return quality_rules(load(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def _license_oracle() -> str:
+    from boreframe.llm.license_scan import GRAM, PHRASES, TEMPLATES, _split
+    grams = [(n, label, len(w), i, " ".join(w[i:i + GRAM])) for n, (label, text) in enumerate(TEMPLATES)
+             for w in [_split(text)] for i in range(len(w) - GRAM + 1)]
+    values = ", ".join(f"({n}, '{label}', {size}, {i}, '{g}')" for n, label, size, i, g in grams)
+    phrases = " union all ".join(
+        f"select rid, '{label}' as label, i - 1 as pos from pos where array_to_string(w[i:i + {p.count(' ')}], ' ') = '{p}'"
+        for p, label in PHRASES.items())
+    return rf"""
+with t(template, label, size, tpos, gram) as (values {values}),
+d as (select row_number() over () as rid, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+pos as (select rid, w, unnest(range(1, len(w) + 1)) as i from d),
+places as ({phrases}),
+base as (select rid, count(*) as n_base, min(pos) as first_word, max(pos) as last_word,
+                list_sort(list(distinct label)) as ls from places group by rid),
+g as (select rid, i - 1 as pos, array_to_string(w[i:i + {GRAM - 1}], ' ') as gram from pos where i <= len(w) - {GRAM - 1}),
+votes as (select rid, template, label, size, tpos, pos - tpos as diagonal from g join t using (gram)),
+jumps as (select *, case when diagonal - lag(diagonal) over b > 2 then 1 else 0 end as jump
+          from votes window b as (partition by rid, template order by diagonal)),
+blocks as (select *, sum(jump) over (partition by rid, template order by diagonal) as block from jumps),
+spread as (select distinct rid, template, label, size, block, unnest(range(tpos, tpos + {GRAM})) as c from blocks),
+cover as (select rid, label, count(*) / size::double as cover from spread group by rid, template, label, size, block),
+found as (select rid, max(cover) as best, list(distinct label) filter (cover >= 0.8) as ls from cover group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
+       last_word::bigint as last_word, coalesce(array_to_string(base.ls, ','), '') as base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(found.ls, [])))), ','), '') as labels,
+       case when n_base > 0 then 1.0::double else coalesce(best, 0.0)::double end as score
+from d left join base using (rid) left join found using (rid)"""
+
+
+@register("op4_license_scan", _license_oracle())
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boreframe.llm.license_scan import license_scan
+    return license_scan(load(spark, sf_dir, "documents")).drop("spans")
