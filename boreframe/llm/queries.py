@@ -136,3 +136,47 @@ from d left join base using (rid) left join found using (rid)"""
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boreframe.llm.license_scan import license_scan
     return license_scan(load(spark, sf_dir, "documents")).drop("spans")
+
+
+def _secret_oracle() -> str:
+    from boreframe.llm.secret_scan import BASE_RULES, MORE_RULES
+    plain = {"access": (r"AKIA[A-Z0-9]+", 20), "hex": (r"[0-9a-f]+", 24)}
+    one = []
+    for rank, r in enumerate(BASE_RULES + MORE_RULES):
+        p, least = plain.get(r.kind, (r.pattern.replace("'", "''"), r.least))
+        one.append(f"select rid, t, {rank} as rank, '{r.kind}' as kind, {least} as least, "
+                   f"regexp_extract_all(t, '{p}') as m, regexp_extract_all(t, '{p}', {r.group}) as g from d")
+    return rf"""
+with recursive d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+every as ({' union all '.join(one)}),
+walk(rid, rank, kind, least, m, g, i, rest, base, s, e, ok) as (
+  select rid, rank, kind, least, m, g, 0, t, 0::bigint, 0::bigint, 0::bigint, false from
+    every where list_max(list_transform(g, lambda x: length(x))) >= least
+  union all
+  select rid, rank, kind, least, m, g, i + 1, substring(rest, instr(rest, m[i + 1]) + length(m[i + 1])),
+         base + instr(rest, m[i + 1]) - 1 + length(m[i + 1]), base + instr(rest, m[i + 1]) - 1,
+         base + instr(rest, m[i + 1]) - 1 + length(m[i + 1]), length(g[i + 1]) >= least
+  from walk where i < len(m)),
+spans as (select rid, rank, kind, s, e from walk where ok),
+agg as (select rid, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access,
+               count(*) filter (rank = 2) as n_hex,
+               string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as spans,
+               string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (rank < 3) as base
+        from spans group by rid)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access,
+       coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join agg using (rid)"""
+
+
+@register("op9_secret_scan", _secret_oracle())
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boreframe.llm.secret_scan import secret_scan, span_text
+    found, _ = secret_scan(load(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+
+    def kind(n: int):
+        return F.size(F.filter(spans, lambda x: x["rank"] == n)).cast("long")
+
+    return found.select("doc_id", kind(0).alias("n_assign"), kind(1).alias("n_access"), kind(2).alias("n_hex"),
+                        F.sha2(span_text(F.filter(spans, lambda x: x["rank"] < 3)), 256).alias("base_sha256"),
+                        span_text(spans).alias("spans"))
