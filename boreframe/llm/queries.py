@@ -180,3 +180,22 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", kind(0).alias("n_assign"), kind(1).alias("n_access"), kind(2).alias("n_hex"),
                         F.sha2(span_text(F.filter(spans, lambda x: x["rank"] < 3)), 256).alias("base_sha256"),
                         span_text(spans).alias("spans"))
+
+
+@register("op2_decontamination", r"""
+with d as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, list_filter(regexp_extract_all(lower(coalesce(text, '')),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+ds as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+       from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d)),
+bs as (select distinct item_id, array_to_string(w[i:i + 4], ' ') as s
+       from (select item_id, w, unnest(range(1, len(w) - 3)) as i from b)),
+n as (select item_id, count(*) as n_shingles from bs group by item_id),
+c as (select doc_id, item_id, count(*) as n_common from ds join bs using (s) group by doc_id, item_id)
+select doc_id, item_id, n_shingles::bigint as n_shingles, n_common::bigint as n_common,
+       n_common / n_shingles::double as containment
+from c join n using (item_id) where n_common / n_shingles::double >= 0.8""")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boreframe.llm.decontaminate import contained_items
+    return contained_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
