@@ -199,3 +199,9 @@ from c join n using (item_id) where n_common / n_shingles::double >= 0.8""")
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boreframe.llm.decontaminate import contained_items
     return contained_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@register("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boreframe.llm.quality_classifier import score_quality
+    return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
