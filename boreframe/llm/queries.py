@@ -205,3 +205,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boreframe.llm.quality_classifier import score_quality
     return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@register("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boreframe.llm.html_extract import extract_pages
+    return extract_pages(load(spark, sf_dir, "pages"))
