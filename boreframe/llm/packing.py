@@ -13,6 +13,7 @@ third of all pieces is not ordered by one task.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -162,8 +163,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024,
-         end_id: int = 2, vocabulary: str = "byte_bpe_50k.tiktoken",
-         salt_rows: int = 20_000) -> DataFrame:
+         end_id: int = 2, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """One row per piece: ``id_col, piece, start, length, ids_crc32,
     sequence_id, offset``.
 
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     pieces = cut(token_pieces(docs, id_col, text_col, capacity, end_id, vocabulary))
     counts = {int(n): int(c) for n, c in pieces.groupBy("length").count().collect()}  # <= capacity rows
     runs = plan(counts, capacity)
-    salts = max(1, -(-max(counts.values(), default=0) // salt_rows))
+    salts = math.isqrt(max(counts.values(), default=0)) + 1  # as many groups of a length as rows in one
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)))
     shares = cut(salted.groupBy("length", "salt").count())
     base = cut(shares.select("length", "salt", (F.sum("count").over(

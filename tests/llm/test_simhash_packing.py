@@ -127,7 +127,7 @@ def test_pack_round_trip(spark):
         [(10_000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")).withColumn("length", rows.doc_id * 0)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    got = pack(docs, salt_rows=3).collect()
+    got = pack(docs).collect()
     by_doc, seqs = {}, {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
