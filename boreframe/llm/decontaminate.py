@@ -122,7 +122,9 @@ def _sketches(words: Column, width: int, parts: list[tuple[int, int]]) -> Column
     return let(shingle_hashes(words, width), entries)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:  # noqa: ANN003
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
+                  broadcast_rows: int = 500_000, **options) -> DataFrame:  # noqa: ANN003
     """``docs`` without the documents that contain an item; all columns stay."""
-    hits = contained_items(docs, items, id_col, **options).select(F.col(id_col).alias("__hit")).distinct()
-    return docs.join(cut(hits), docs[id_col].eqNullSafe(F.col("__hit")), "left_anti")
+    hits = cut(contained_items(docs, items, id_col, broadcast_rows=broadcast_rows, **options)
+               .select(F.col(id_col).alias("__hit")).distinct())
+    return docs.join(sized(hits, broadcast_rows), docs[id_col].eqNullSafe(F.col("__hit")), "left_anti")

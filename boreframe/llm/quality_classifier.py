@@ -1,12 +1,12 @@
 """Quality classifier: a sparse rule ensemble over text statistics.
 
-1. One pass over the texts gives a narrow table of statistics (ratios and
-   counts), which is checkpointed; nothing later reads a text.
+1. A text becomes a struct of statistics (ratios and counts) by built-in
+   functions.
 2. A forest of shallow trees is fitted on a bounded sample of the labelled
    training rows.  Every path from a root to a node is a conjunctive rule.
 3. A lasso logistic regression over the rules' truth values keeps few of them.
 4. The rules that are left, with their weights, compile into one Spark column
-   expression, so scoring is a projection of the statistics.
+   expression, so scoring all documents is one projection, without a shuffle.
 """
 
 from __future__ import annotations
@@ -128,27 +128,50 @@ def is_held_out(doc_id: Column, folds: int = 4, held_fold: int = 2) -> Column:
     return F.pmod(F.crc32(key), F.lit(folds)) == held_fold
 
 
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                label_col: str = "quality", sample_rows: int = 40_000) -> tuple[float, list[tuple[Rule, float]]]:
+    """Rules learnt from at most about ``sample_rows`` labelled rows that are
+    not held out (a share by hash of the id, so the same rows whatever the
+    layout).  Several labels of one id: their mean, rounded; null labels and
+    ids are ignored."""
+    marks = (labels.select(F.col(id_col).alias("l_id"), F.col(label_col).alias("l")).where("l is not null")
+             .groupBy("l_id").agg(F.round(F.avg("l")).cast("int").alias("label"))
+             .where(F.col("l_id").isNotNull() & ~is_held_out(F.col("l_id"))))
+    share = min(1.0, sample_rows / max(1, marks.count()))
+    sample = marks.where(F.pmod(F.xxhash64("l_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+            .join(F.broadcast(sample), F.col("id") == F.col("l_id"))  # about sample_rows rows
+            .select(statistics(F.col("text")).alias("stats"), "label"))
+    return fit_rules(cut(rows), "stats", "label")
+
+
+def quality_score(docs: DataFrame, text_col: str, intercept: float, rules: list[tuple[Rule, float]]) -> DataFrame:
+    """``docs`` with the column ``__score``; the text is read once."""
+    return (docs.withColumn("__stats", statistics(F.col(text_col)))
+            .withColumn("__score", compile_rules(intercept, rules, "__stats")).drop("__stats"))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   label_col: str = "quality", threshold: float = 0.7, sample_rows: int = 40_000) -> DataFrame:
     """One row per document: ``id_col, held_out, score, predicted``.
 
-    Learns from at most about ``sample_rows`` labelled rows that are not held
-    out (a share by hash of the id, so the same rows whatever the layout).
-    Several labels of one id: their mean, rounded; null labels are ignored.
-
     Null or empty text: statistics of the empty text.  Null ids are scored and
     never labelled.  Repeated rows: scored alike.  No usable labels: every
     score is the smoothed share of label 1.  Empty table: no rows.
     """
-    stats = cut(docs.select(F.col(id_col).alias("id"), statistics(F.col(text_col)).alias("stats")))
-    marks = (labels.select(F.col(id_col).alias("l_id"), F.col(label_col).alias("l")).where("l is not null")
-             .groupBy("l_id").agg(F.round(F.avg("l")).cast("int").alias("label")))
-    usable = marks.where(~is_held_out(F.col("l_id"))).count()
-    share = min(1.0, sample_rows / max(1, usable))
-    rows = (stats.join(marks, F.col("id") == F.col("l_id"))
-            .where(~is_held_out(F.col("id")) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)))
-            .select("stats", "label"))
-    intercept, rules = fit_rules(cut(rows), "stats", "label")
-    return (stats.select(F.col("id").alias(id_col), is_held_out(F.col("id")).alias("held_out"),
-                         compile_rules(intercept, rules, "stats").alias("score"))
-            .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+    intercept, rules = fit_quality(docs, labels, id_col, text_col, label_col, sample_rows)
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return (quality_score(d, "text", intercept, rules)
+            .select(F.col("id").alias(id_col), is_held_out(F.col("id")).alias("held_out"),
+                    F.col("__score").alias("score"),
+                    (F.col("__score") >= threshold).cast("int").alias("predicted")))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 label_col: str = "quality", threshold: float = 0.7, sample_rows: int = 40_000) -> DataFrame:
+    """``docs`` without the rows that score below ``threshold`` (all rows if
+    the labels teach no rule); columns unchanged."""
+    intercept, rules = fit_quality(docs, labels, id_col, text_col, label_col, sample_rows)
+    if not rules:
+        return docs
+    return quality_score(docs, text_col, intercept, rules).where(F.col("__score") >= threshold).drop("__score")

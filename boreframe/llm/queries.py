@@ -211,3 +211,9 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boreframe.llm.html_extract import extract_pages
     return extract_pages(load(spark, sf_dir, "pages"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boreframe.llm.common import cut, let
+from boreframe.llm.common import cut, let, sized
 
 
 @dataclass(frozen=True)
@@ -144,11 +144,11 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str =
 
 
 def redact(docs: DataFrame, ledger: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
-           rule_version: str = RULE_VERSION) -> DataFrame:
+           rule_version: str = RULE_VERSION, broadcast_rows: int = 100_000) -> DataFrame:
     """``docs`` with every found span of ``text_col`` replaced by ``mark``
     (overlapping spans by one); other columns unchanged."""
-    held = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(
-        F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    held = sized(cut(ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(
+        F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))), broadcast_rows)
     text = F.col(text_col)
 
     def fill(spans: Column) -> Column:

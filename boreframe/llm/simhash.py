@@ -206,3 +206,12 @@ def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return (docs_fp.join(named, docs_fp["fp"] == named["class_fp"], "left")
             .select(F.col("id").alias(id_col),
                     F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:  # noqa: ANN003
+    """``docs`` with one document of each component, that of the smallest id;
+    columns unchanged.  Rows without an id stay; rows that repeat the
+    smallest id stay together."""
+    found = simhash_near_dups(docs, id_col, text_col, **options)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
