@@ -22,7 +22,8 @@ def main(argv=None) -> int:
     t.add_argument("--models", required=True, help="model directory (one sub-folder per run)")
     t.add_argument("--out", required=True)
     t.add_argument("--target", default=None)
-    t.add_argument("--max-samples", type=int, default=None)
+    t.add_argument("--max-samples", type=int, default=None, help="bounds the rows of the fit")
+    t.add_argument("--grids", choices=["full", "large"], default="full")
 
     s = sub.add_parser("score", help="score a table with the newest saved run")
     s.add_argument("input")
@@ -49,7 +50,7 @@ def main(argv=None) -> int:
         from .plans.training_run import RunOptions, run
         df = read_table(spark, a.input)
         cfg = LogConfig(target=a.target or find_target(df.columns) or LogConfig().target)
-        res = run(spark, df, cfg, RunOptions(max_samples=a.max_samples), a.models, a.out)
+        res = run(spark, df, cfg, RunOptions(max_samples=a.max_samples, grids=a.grids), a.models, a.out)
         print(json.dumps({"run_id": res.run_id, "best_model": res.best_model, "imputation": res.imputation}))
     else:
         from .plans.batch_scoring import score_input

@@ -32,9 +32,6 @@ BOUNDS = {
     "DEPTH_MD": (0.0, 10000.0, "0", "10000"),
 }
 
-# Curves checked for bounds by the quality report, in this order.
-BOUND_CHECK_COLUMNS = ["GR", "RHOB", "NPHI", "RDEP", "DTC", "PEF", "DEPTH_MD"]
-
 # Expected rock-type labels for the invalid-label check.
 EXPECTED_LABELS = ["Sandstone", "Shale", "Limestone", "Dolomite",
                    "Anhydrite", "Salt", "Coal", "Marl", "Mudstone"]
@@ -96,6 +93,26 @@ SIMPLE_TECHNIQUES_TEXT = "Median Imputation; StandardScaler"
 OUTLIER_NOTE = "Outliers preserved for geological validity"
 LOW_CONFIDENCE_LABEL = "LOW_CONFIDENCE"
 
+# Recommendations: mark and sentence by kind and severity, and the percentages
+# above which a severity holds, worst first.
+RECOMMEND = {
+    "missing": {
+        "high": ("🔴", "% missing values. Consider removing this feature or finding alternative data."),
+        "moderate": ("🟡", "% missing values. Review data collection for this parameter."),
+        "info": ("ℹ️", "% missing values. Consider imputation strategies."),
+    },
+    "bounds": {
+        "high": ("🚨", "% values outside expected range. Check data calibration and quality."),
+        "moderate": ("⚠️", "% values outside expected range. Review outliers and data collection."),
+    },
+    "overall": {
+        "high": "🔴 High data quality issues (>30%). Extensive cleaning required.",
+        "moderate": "🟡 Moderate data quality issues (>10%). Data cleaning recommended.",
+        "good": "✅ Good data quality. Suitable for machine learning.",
+    },
+}
+RECOMMEND_LEVELS = {"missing": [("high", 50), ("moderate", 20), ("info", 5)], "bounds": [("high", 10), ("moderate", 1)]}
+
 # Outlier rule parameters.
 IQR_FACTOR = 1.5
 ZSCORE_THRESHOLD = 3.0
@@ -121,10 +138,6 @@ CONFIDENCE_COUNTS3 = [("High (≥0.8)", 0.8, None), ("Medium (0.6-0.8)", 0.6, 0.
 # Missing-value status marks for the profile.
 STATUS_OK, STATUS_WARN, STATUS_BAD = "✅", "⚠️", "❌"
 
-# Size-adaptive grid thresholds and values.
-LARGE_TRAIN_ROWS = 50_000
-STRATIFY_TRIGGER_ROWS = 100_000
-
 
 @dataclass(frozen=True)
 class LogConfig:
@@ -140,14 +153,6 @@ class LogConfig:
     # Columns that identify a row; used for deterministic ordering/hashing.
     key: tuple = ("WELL", "DEPTH_MD")
 
-    def with_target(self, target: str) -> "LogConfig":
-        return LogConfig(self.features, target, self.well, self.depth, self.bounds,
-                         self.expected_labels, self.label_codes, self.key)
-
-    def with_key(self, key) -> "LogConfig":
-        return LogConfig(self.features, self.target, self.well, self.depth, self.bounds,
-                         self.expected_labels, self.label_codes, tuple(key))
-
     def present_features(self, columns) -> list:
         cols = set(columns)
         return [f for f in self.features if f in cols]

@@ -11,16 +11,10 @@ from pyspark.sql import functions as F
 
 
 def nan_to_null(c) -> Column:
-    """NaN -> NULL so that comparisons and counts follow missing-value rules."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.when(F.isnan(col), F.lit(None).cast("double")).otherwise(col.cast("double"))
-
-
-def any_true(cols) -> Column:
-    cols = list(cols)
-    if not cols:
-        return F.lit(False)
-    return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in cols])
+    """NaN -> NULL so that comparisons and counts follow missing-value rules;
+    text that is no number becomes NULL too."""
+    col = (F.col(c) if isinstance(c, str) else c).try_cast("double")
+    return F.when(F.isnan(col), F.lit(None).cast("double")).otherwise(col)
 
 
 def count_true(cols) -> Column:
@@ -30,14 +24,6 @@ def count_true(cols) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(False)).cast("int") for c in cols])
 
 
-def issue_text(parts) -> Column:
-    """Join non-null text parts with '; ' (empty string when none)."""
-    parts = list(parts)
-    if not parts:
-        return F.lit("")
-    return F.concat_ws("; ", F.filter(F.array(*parts), lambda s: s.isNotNull()))
-
-
 def outside(c, lo: float, hi: float) -> Column:
     """Strictly outside [lo, hi]; NULL input gives false."""
     col = F.col(c) if isinstance(c, str) else c
@@ -50,10 +36,6 @@ def pct(num, den) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double")) * F.lit(100.0)
 
 
-def safe_div(num, den) -> Column:
-    return F.try_divide(num.cast("double"), den.cast("double"))
-
-
 def band(conf, edges, right_closed: bool = True) -> Column:
     """Map a value to labels of consecutive bins starting at 0 (open).
 

@@ -29,6 +29,16 @@ def find_target(columns, candidates=C.TARGET_CANDIDATES) -> str | None:
     return None
 
 
+def _renamed(df: DataFrame, applied: dict) -> DataFrame:
+    """Columns under their new names; those that became curves as DOUBLE."""
+    if not applied:
+        return df
+    out = df.withColumnsRenamed(applied)
+    text = {c for c, t in out.dtypes if t == "string"}
+    curves = [c for c in applied.values() if c in text and c in (*C.FEATURES, "DEPTH_MD")]
+    return out.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in curves}) if curves else out
+
+
 def manual_mapping(df: DataFrame, spec: str):
     """P5: apply ``"old:new,old:new"``; returns (df, applied, unknown_olds)."""
     applied, unknown = {}, []
@@ -41,9 +51,7 @@ def manual_mapping(df: DataFrame, spec: str):
             applied[old] = new
         else:
             unknown.append(old)
-    if applied:
-        df = df.withColumnsRenamed(applied)
-    return df, applied, unknown
+    return _renamed(df, applied), applied, unknown
 
 
 def auto_mapping_batch(df: DataFrame, features=C.FEATURES, aliases=C.BATCH_ALIASES):
@@ -62,9 +70,7 @@ def auto_mapping_batch(df: DataFrame, features=C.FEATURES, aliases=C.BATCH_ALIAS
     dupes = sorted({t for t in targets if targets.count(t) > 1})
     if dupes:
         raise ValueError(f"column mapping would create duplicate columns: {dupes}")
-    if applied:
-        df = df.withColumnsRenamed(applied)
-    return df, applied
+    return _renamed(df, applied), applied
 
 
 def auto_mapping_interactive(df: DataFrame, aliases=C.INTERACTIVE_ALIASES):
@@ -79,9 +85,7 @@ def auto_mapping_interactive(df: DataFrame, aliases=C.INTERACTIVE_ALIASES):
             if new not in current:
                 current[current.index(c)] = new
                 applied[c] = new
-    if applied:
-        df = df.withColumnsRenamed(applied)
-    return df, applied
+    return _renamed(df, applied), applied
 
 
 def normalized_label(c, codes: dict = C.LABEL_CODES) -> Column:
@@ -102,25 +106,13 @@ def normalize_labels(df: DataFrame, target: str, codes: dict = C.LABEL_CODES,
 def label_normalize_report(df: DataFrame, target: str, codes: dict = C.LABEL_CODES) -> DataFrame:
     """P10: distinct values before/after and how many raw values were mapped away.
 
-    One aggregate; the distinct sets are label vocabularies (small).
+    The labels are made distinct first; no task gathers them.
     """
-    raw = F.col(target).cast("string")
-    new = normalized_label(target, codes)
-    lab = df.where(F.col(target).isNotNull())
-    return lab.agg(F.count_distinct(raw).alias("distinct_before"),
-                   F.count_distinct(new).alias("distinct_after"),
-                   F.size(F.array_except(F.collect_set(raw), F.collect_set(new))).alias("codes_mapped"))
-
-
-def order_output_columns(df: DataFrame, original_cols, quality_cols, metadata_cols) -> DataFrame:
-    """Originals, quality columns, any '*Predicted*' column, metadata."""
-    present = set(df.columns)
-    pred = [c for c in df.columns if "Predicted" in c and c not in original_cols]
-    order = [c for c in list(original_cols) + list(quality_cols) + pred + list(metadata_cols) if c in present]
-    return df.select(*order)
-
-
-def add_metadata(df: DataFrame, version_col: str = "Pipeline_Version", version: str = C.PIPELINE_VERSION,
-                 ts_col: str = "Preprocessing_Timestamp") -> DataFrame:
-    """Literal version and run timestamp."""
-    return df.withColumns({ts_col: F.current_timestamp(), version_col: F.lit(version)})
+    pairs = (df.where(F.col(target).isNotNull())
+             .select(F.col(target).cast("string").alias("raw"), normalized_label(target, codes).alias("new")).distinct())
+    values = (pairs.select(F.inline(F.array(F.struct(F.col("raw").alias("x"), F.lit(1).alias("before"), F.lit(0).alias("after")),
+                                            F.struct(F.col("new").alias("x"), F.lit(0).alias("before"), F.lit(1).alias("after")))))
+              .groupBy("x").agg(F.max("before").alias("before"), F.max("after").alias("after")))
+    return values.agg(F.coalesce(F.sum("before"), F.lit(0)).cast("long").alias("distinct_before"),
+                      F.coalesce(F.sum("after"), F.lit(0)).cast("long").alias("distinct_after"),
+                      F.count_if((F.col("before") == 1) & (F.col("after") == 0)).cast("int").alias("codes_mapped"))

@@ -2,8 +2,9 @@
 
 All metrics derive from one ``groupBy(actual, predicted).count()`` - at most
 K^2 rows however large the scored table - so the metric arithmetic runs on a
-tiny table and matches SQL exactly.  Classes = union of actual and predicted
-labels; zero divisions give 0 (like ``zero_division=0``).
+tiny table and matches SQL exactly.  Classes are the vocabulary given as
+``labels``, else the union of actual and predicted labels; zero divisions give
+0 (like ``zero_division=0``).
 """
 
 from __future__ import annotations
@@ -19,74 +20,107 @@ def confusion_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def confusion_matrix(df: DataFrame, actual: str, predicted: str, max_classes: int = 10_000) -> DataFrame:
-    """Full K x K grid (zeros included) over the label vocabulary.
+def _vocabulary(counts: DataFrame, labels) -> DataFrame:  # noqa: ANN001
+    """``cls``: the given labels, else those that occur."""
+    if labels is not None:
+        return counts.sparkSession.createDataFrame([(str(x),) for x in labels], "cls string")
+    return counts.select(F.explode(F.array("actual", "predicted")).alias("cls")).distinct()
 
-    The scored table is aggregated once (one job, partial aggregation); the
-    <= K^2 counts (K checked) come back as a small local table, so every
-    metric built on top costs no further pass over the scored rows.
+
+def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels=None) -> DataFrame:  # noqa: ANN001
+    """Full K x K grid (zeros included) over the label vocabulary:
+    ``labels``, or those that occur.
+
+    The scored table is aggregated once; the grid is built from the K labels
+    and joined to the counts in Spark.
     """
-    rows = confusion_counts(df, actual, predicted).limit(max_classes * max_classes + 1).collect()
-    classes = sorted({r["actual"] for r in rows} | {r["predicted"] for r in rows})
-    if len(classes) > max_classes:
-        raise ValueError("too many classes")
-    got = {(r["actual"], r["predicted"]): r["count"] for r in rows}
-    grid = [(a, p, int(got.get((a, p), 0))) for a in classes for p in classes]
-    return df.sparkSession.createDataFrame(grid, "actual string, predicted string, count bigint")
+    counts = confusion_counts(df, actual, predicted)
+    names = _vocabulary(counts, labels)
+    grid = (names.agg(F.sort_array(F.collect_list("cls")).alias("all"))  # K labels
+            .select(F.explode("all").alias("actual"), "all")
+            .select("actual", F.explode("all").alias("predicted")))
+    return (grid.join(counts, ["actual", "predicted"], "left")
+            .select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
-def confusion_normalized(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+def confusion_normalized(df: DataFrame, actual: str, predicted: str, labels=None) -> DataFrame:  # noqa: ANN001
     """Count / row total (NULL when a class was never observed)."""
-    cm = confusion_matrix(df, actual, predicted)
+    cm = confusion_matrix(df, actual, predicted, labels)
     tot = F.sum("count").over(Window.partitionBy("actual"))
     return cm.withColumn("share", F.try_divide(F.col("count").cast("double"), tot.cast("double")))
 
 
-def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Per class precision/recall/F1/support, then accuracy, macro, weighted rows."""
-    cm = confusion_matrix(df, actual, predicted)
-    per = cm.groupBy(F.col("actual").alias("cls")).agg(
-        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0)).alias("tp"),
-        F.sum("count").alias("support"))
-    predsum = cm.groupBy(F.col("predicted").alias("cls")).agg(F.sum("count").alias("npred"))
-    j = per.join(predsum, "cls")
-    prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("npred").cast("double")), F.lit(0.0))
-    rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
-    m = j.select("cls", prec.alias("precision"), rec.alias("recall"), "support", "tp")
-    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
-                                 F.col("precision") + F.col("recall")), F.lit(0.0))
-    m = m.withColumn("f1_score", f1)
-    tot = m.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"),
-                F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1_score").alias("mf"),
-                F.sum(F.col("precision") * F.col("support")).alias("wp"),
-                F.sum(F.col("recall") * F.col("support")).alias("wr"),
-                F.sum(F.col("f1_score") * F.col("support")).alias("wf"))
-    acc = F.try_divide(F.col("tp").cast("double"), F.col("n").cast("double"))
-    extra = tot.select(F.inline(F.array(
-        F.struct(F.lit("accuracy").alias("cls"), acc.alias("precision"), acc.alias("recall"),
-                 acc.alias("f1_score"), F.col("n").alias("support")),
-        F.struct(F.lit("macro avg").alias("cls"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                 F.col("mf").alias("f1_score"), F.col("n").alias("support")),
-        F.struct(F.lit("weighted avg").alias("cls"),
-                 F.try_divide(F.col("wp"), F.col("n").cast("double")).alias("precision"),
-                 F.try_divide(F.col("wr"), F.col("n").cast("double")).alias("recall"),
-                 F.try_divide(F.col("wf"), F.col("n").cast("double")).alias("f1_score"),
-                 F.col("n").alias("support")))))
-    return (m.select(F.col("cls").alias("class"), "precision", "recall", "f1_score",
-                     F.col("support").cast("long").alias("support"))
-            .unionByName(extra.select(F.col("cls").alias("class"), "precision", "recall", "f1_score",
-                                      F.col("support").cast("long").alias("support"))))
-
-
-def weighted_metrics(df: DataFrame, actual: str, predicted: str, model: str = "model") -> DataFrame:
+def _per_class(df: DataFrame, actual: str, predicted: str, labels) -> DataFrame:  # noqa: ANN001
+    """One row: ``k``, the sorted structs (class, precision, recall, f1_score,
+    support, tp) of all classes."""
+    counts = confusion_counts(df, actual, predicted)
+    zero = F.lit(0).cast("long")
+    n = F.col("count")
+    parts = counts.select(F.inline(F.array(
+        F.struct(F.col("actual").alias("cls"), F.when(F.col("actual") == F.col("predicted"), n).otherwise(zero).alias("tp"),
+                 n.alias("support"), zero.alias("npred")),
+        F.struct(F.col("predicted").alias("cls"), zero.alias("tp"), zero.alias("support"), n.alias("npred")))))
+    if labels is not None:
+        parts = parts.unionByName(_vocabulary(counts, labels).select(
+            "cls", zero.alias("tp"), zero.alias("support"), zero.alias("npred")))
+    sums = parts.groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "npred")])
+
+    def ratio(a, b):  # noqa: ANN001, ANN202
+        return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
+    m = sums.select("cls", ratio(F.col("tp"), F.col("npred")).alias("precision"),
+                    ratio(F.col("tp"), F.col("support")).alias("recall"), "support", "tp")
+    m = m.withColumn("f1_score", F.coalesce(F.try_divide(
+        2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+    return m.agg(F.sort_array(F.collect_list(F.struct(
+        F.col("cls").alias("class"), "precision", "recall", "f1_score", "support", "tp"))).alias("k"))
+
+
+def _totals() -> dict:
+    """Accuracy, macro and weighted averages from the class structs ``k``."""
+    def total(of):  # noqa: ANN001, ANN202
+        return F.aggregate("k", F.lit(0.0), lambda a, x: a + of(x).cast("double"))
+
+    n = total(lambda x: x["support"])
+    out = {"support": n.cast("long"), "accuracy": F.try_divide(total(lambda x: x["tp"]), n)}
+    for c in ("precision", "recall", "f1_score"):
+        out[f"macro_{c}"] = F.try_divide(total(_field(c)), F.size("k").cast("double"))
+        out[f"weighted_{c}"] = F.try_divide(total(_weighted(c)), n)
+    return out
+
+
+def _field(c: str):  # noqa: ANN202
+    return lambda x: x[c]
+
+
+def _weighted(c: str):  # noqa: ANN202
+    return lambda x: x[c] * x["support"]
+
+
+def class_report(df: DataFrame, actual: str, predicted: str, labels=None) -> DataFrame:  # noqa: ANN001
+    """Per class precision/recall/F1/support, then accuracy, macro and
+    weighted rows.  Classes are ``labels`` (all K of a model, also those that
+    do not occur) or, without it, those that occur."""
+    t = _totals()
+
+    def row(name, p, r, f):  # noqa: ANN001, ANN202
+        return F.struct(F.lit(name).alias("class"), p.alias("precision"), r.alias("recall"), f.alias("f1_score"),
+                        t["support"].alias("support"))
+    per = F.transform("k", lambda x: F.struct(
+        x["class"].alias("class"), x["precision"].alias("precision"), x["recall"].alias("recall"),
+        x["f1_score"].alias("f1_score"), x["support"].alias("support")))
+    extra = F.array(row("accuracy", t["accuracy"], t["accuracy"], t["accuracy"]),
+                    *[row(f"{a} avg", *[t[f"{a}_{c}"] for c in ("precision", "recall", "f1_score")])
+                      for a in ("macro", "weighted")])
+    return _per_class(df, actual, predicted, labels).select(F.inline(F.concat(per, extra)))
+
+
+def weighted_metrics(df: DataFrame, actual: str, predicted: str, model: str = "model", labels=None) -> DataFrame:  # noqa: ANN001
     """One row: model, accuracy, weighted precision, recall, F1."""
-    rep = class_report(df, actual, predicted)
-    return rep.agg(
-        F.lit(model).alias("model"),
-        F.max(F.when(F.col("class") == "accuracy", F.col("precision"))).alias("accuracy"),
-        F.max(F.when(F.col("class") == "weighted avg", F.col("precision"))).alias("precision"),
-        F.max(F.when(F.col("class") == "weighted avg", F.col("recall"))).alias("recall"),
-        F.max(F.when(F.col("class") == "weighted avg", F.col("f1_score"))).alias("f1_score"))
+    t = _totals()
+    return _per_class(df, actual, predicted, labels).select(
+        F.lit(model).alias("model"), t["accuracy"].alias("accuracy"),
+        *[t[f"weighted_{c}"].alias(c) for c in ("precision", "recall", "f1_score")])
 
 
 def best_model(metrics: DataFrame, by: str = "f1_score", order_col: str | None = "model_order") -> DataFrame:

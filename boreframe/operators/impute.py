@@ -1,181 +1,210 @@
-"""KNN and iterative imputation and the imputation bake-off.
-
-* KNN (I3): NaN-aware Euclidean distance (coordinates present in both rows,
-  scaled by features/present), mean of the k nearest donors that have the
-  value.  Donors are broadcast as one numpy matrix and receivers are scored
-  in Arrow batches with ``mapInPandas``; the donor table must fit the checked
-  ``max_donors`` bound - beyond it the operator refuses (it never samples or
-  caps donors silently, since that would change the answer).  Rows without
-  missing values pass through untouched.
+"""Imputation techniques, their fitted form, and the bake-off.
+
+* KNN (I3): ``operators.knn``, exact, as Spark jobs.
 * Iterative (I4): round-robin regression per incomplete column (ascending by
   missing count) with Spark ML ``LinearRegression`` (small ridge penalty),
   starting from mean fills, until the largest change is below tolerance or
   ``max_iter`` rounds.  Each round's table is checkpointed to the shared
   checkpoint folder so lineage stays short.  Not numerically identical to
   other Bayesian-ridge implementations.
-* Bake-off (I5): deterministic sample, deterministic 10 % cell mask, impute,
+* ``Imputer`` (I6) is what a technique has learnt: fill values, regressions in
+  the order they were applied, or donors.  ``stages`` are the Spark ML stages
+  that apply it to new rows; they are saved with the model.
+* Bake-off (I5): deterministic 10 % cell mask over the whole table, impute,
   MSE over the masked cells whose true value is known, lowest wins (ties ->
-  earlier technique); failures score +inf.
+  earlier technique); a technique that fails scores +inf and its error is kept.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
-import numpy as np
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from . import prepare as I
+from .knn import knn_impute
 
 TECHNIQUES = ["median", "mean", "knn", "iterative"]
 
 
-# ---------------------------------------------------------------------------
-# I3 KNN
-# ---------------------------------------------------------------------------
-
-def _knn_fill(block: np.ndarray, donors: np.ndarray, k: int, col_means: np.ndarray) -> np.ndarray:
-    """Fill NaNs of ``block`` (rows x f) from ``donors`` (d x f), exact brute force per batch."""
-    out = block.copy()
-    n_feat = block.shape[1]
-    dmask = ~np.isnan(donors)
-    dz = np.where(dmask, donors, 0.0)
-    miss_rows = np.where(np.isnan(block).any(axis=1))[0]
-    for i in miss_rows:
-        x = block[i]
-        xm = ~np.isnan(x)
-        xz = np.where(xm, x, 0.0)
-        both = dmask & xm
-        n_both = both.sum(axis=1)
-        diff = np.where(both, dz - xz, 0.0)
-        d2 = (diff * diff).sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.sqrt(d2 * n_feat / n_both)
-        dist[n_both == 0] = np.nan
-        for j in np.where(~xm)[0]:
-            ok = dmask[:, j] & ~np.isnan(dist)
-            if not ok.any():
-                out[i, j] = col_means[j]
-                continue
-            cand = np.where(ok)[0]
-            kk = min(k, cand.size)
-            pick = cand[np.argpartition(dist[cand], kk - 1)[:kk]]
-            out[i, j] = donors[pick, j].mean()
-    return out
-
-
-def knn_impute(df: DataFrame, features, k: int = 5, donors: DataFrame | None = None,
-               max_donors: int = 200_000) -> DataFrame:
-    """Exact KNN imputation against a size-checked donor table (default: ``df``)."""
-    spark = df.sparkSession
-    src = donors if donors is not None else df
-    cand = src.select(*features).where(" or ".join(f"`{f}` is not null" for f in features))
-    rows = cand.limit(max_donors + 1).collect()
-    if len(rows) > max_donors:
-        raise ValueError(f"KNN donors exceed {max_donors}; use another technique or a donor table")
-    dm = np.array([[np.nan if r[f] is None else float(r[f]) for f in features] for r in rows], dtype=float)
-    means = np.nanmean(dm, axis=0) if dm.size else np.zeros(len(features))
-    bc = spark.sparkContext.broadcast((dm, means))
-    feats = list(features)
-    schema = df.schema
-
-    def fill(batches):
-        d, m = bc.value
-        for pdf in batches:
-            block = pdf[feats].to_numpy(dtype=float, na_value=np.nan)
-            if np.isnan(block).any() and d.size:
-                block = _knn_fill(block, d, k, m)
-            pdf = pdf.copy()
-            for j, f in enumerate(feats):
-                pdf[f] = block[:, j]
-            yield pdf
-
-    return df.mapInPandas(fill, schema)
-
-
 # ---------------------------------------------------------------------------
 # I4 iterative
 # ---------------------------------------------------------------------------
 
 def iterative_impute(df: DataFrame, features, key_cols=None, max_iter: int = 10, tol: float = 1e-3,
-                     reg: float = 1e-6, checkpoint: bool = True) -> DataFrame:
+                     reg: float = 1e-6) -> DataFrame:
     """Round-robin linear-regression imputation (see module doc)."""
+    return fit_iterative(df, features, max_iter, tol, reg)[1]
+
+
+def fit_iterative(df: DataFrame, features, max_iter: int = 10, tol: float = 1e-3,
+                  reg: float = 1e-6) -> tuple["Imputer", DataFrame]:
+    """The fitted regressions, and ``df`` imputed by them."""
     feats = list(features)
+    means = I.fit_mean(df, feats)
+    fitted = Imputer("iterative", {f: means[f] for f in feats})
     miss = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in feats]).first()
-    order = sorted([f for f in feats if miss[f] > 0], key=lambda f: (miss[f], feats.index(f)))
+    order = sorted([f for f in feats if miss[f] > 0 and means[f] is not None], key=lambda f: (miss[f], feats.index(f)))
     if not order:
-        return df
-    means = I.fit_mean(df, feats)
+        return fitted, df
     scale = df.agg(F.greatest(*[F.max(F.abs(F.col(f))) for f in feats], F.lit(0.0))).first()[0] or 1.0
     cur = df.withColumns({f"__m_{f}": F.col(f).isNull() for f in order})
     cur = cur.withColumns({f: F.coalesce(F.col(f), F.lit(means[f])) for f in feats if means[f] is not None})
     for _ in range(max_iter):
         cur = cur.withColumns({f"__p_{f}": F.col(f) for f in order})
         for f in order:
-            others = [g for g in feats if g != f]
+            others = [g for g in feats if g != f and means[g] is not None]
             va = VectorAssembler(inputCols=others, outputCol="__x", handleInvalid="keep")
             train = va.transform(cur.where(~F.col(f"__m_{f}")))
             lr = LinearRegression(featuresCol="__x", labelCol=f, regParam=reg, elasticNetParam=0.0,
                                   solver="normal", standardization=True)
             model = lr.fit(train)
-            pred = F.lit(float(model.intercept))
-            for c, g in zip(model.coefficients.toArray(), others):
-                pred = pred + F.lit(float(c)) * F.col(g)
+            step = (f, float(model.intercept), dict(zip(others, map(float, model.coefficients.toArray()))))
+            fitted.steps.append(step)
+            pred = F.expr(_step_sql(step))
             cur = cur.withColumn(f, F.when(F.col(f"__m_{f}"), pred).otherwise(F.col(f)))
-        if checkpoint:
-            ensure_checkpoint_dir(df.sparkSession)
-            cur = cur.checkpoint(eager=True)
+        ensure_checkpoint_dir(df.sparkSession)
+        cur = cur.checkpoint(eager=True)
         # largest change of any imputed cell in this round (same lineage, no join)
         diffs = [F.max(F.abs(F.col(f) - F.col(f"__p_{f}"))) for f in order]
         change = cur.agg(F.greatest(*diffs, F.lit(0.0))).first()[0] or 0.0
         cur = cur.drop(*[f"__p_{f}" for f in order])
         if change < tol * scale:
             break
-    return cur.drop(*[f"__m_{f}" for f in order])
+    return fitted, cur.drop(*[f"__m_{f}" for f in order])
+
+
+def _step_sql(step) -> str:  # noqa: ANN001
+    _, intercept, coefficients = step
+    return " + ".join([f"{intercept!r}D", *[f"{c!r}D * `{g}`" for g, c in coefficients.items()]])
+
+
+# ---------------------------------------------------------------------------
+# I6 fitted techniques
+# ---------------------------------------------------------------------------
+
+@dataclass
+class Imputer:
+    """A fitted technique: how missing values of new rows are filled."""
+
+    technique: str
+    fills: dict
+    steps: list = field(default_factory=list)
+    donors: DataFrame | None = None
+    k: int = 5
+
+    def before(self, df: DataFrame, features) -> DataFrame:
+        """What has to run ahead of the saved stages: the donor search of KNN."""
+        if self.technique == "knn" and self.donors is not None:
+            return knn_impute(df, features, k=self.k, donors=self.donors)
+        return df
+
+    def stages(self, features, out) -> list:  # noqa: ANN001
+        """SQL stages that write the imputed curve of ``f`` to ``out(f)``.
+
+        The regressions are linear, so for each set of missing curves all
+        their rounds together are one linear form of the curves that are
+        there; the stage picks the form by the set.
+        """
+        feats = list(features)
+
+        def start(f):  # noqa: ANN001, ANN202
+            raw = f"CAST(`{f}` AS DOUBLE)"
+            return f"coalesce({raw}, {float(self.fills[f])!r}D)" if self.fills.get(f) is not None else raw
+        if not self.steps:
+            return [SQLTransformer(statement="SELECT *, " + ", ".join(
+                f"{start(f)} AS `{out(f)}`" for f in feats) + " FROM __THIS__")]
+        learnt = [f for f in feats if f in {s[0] for s in self.steps}]
+        at = out("missing")
+        bits = " + ".join(f"CASE WHEN `{f}` IS NULL THEN {1 << i} ELSE 0 END" for i, f in enumerate(learnt))
+        cols = []
+        for f in feats:
+            if f not in learnt:
+                cols.append(f"{start(f)} AS `{out(f)}`")
+                continue
+            cases = []
+            for missing in range(1, 1 << len(learnt)):
+                if missing >> learnt.index(f) & 1:
+                    const, coef = self._form({g for i, g in enumerate(learnt) if missing >> i & 1})[f]
+                    cases.append(f"WHEN {missing} THEN " + " + ".join(
+                        [f"{const!r}D", *[f"{c!r}D * ({start(g)})" for g, c in coef.items()]]))
+            cols.append(f"CASE `{at}` {' '.join(cases)} ELSE CAST(`{f}` AS DOUBLE) END AS `{out(f)}`")
+        return [SQLTransformer(statement=f"SELECT *, {bits} AS `{at}` FROM __THIS__"),
+                SQLTransformer(statement=f"SELECT *, {', '.join(cols)} FROM __THIS__")]
+
+    def _form(self, missing: set) -> dict:
+        """All steps as ``{curve: (constant, {present curve: coefficient})}``
+        for rows that miss the curves ``missing``."""
+        form = {f: (float(v), {}) if f in missing else (0.0, {f: 1.0}) for f, v in self.fills.items() if v is not None}
+        for f, intercept, coefficients in self.steps:
+            if f not in missing:
+                continue
+            const, coef = intercept, {}
+            for g, w in coefficients.items():
+                const += w * form[g][0]
+                for h, v in form[g][1].items():
+                    coef[h] = coef.get(h, 0.0) + w * v
+            form[f] = (const, coef)
+        return form
+
+
+def fit_imputer(df: DataFrame, features, technique: str | None, k: int = 5) -> tuple[Imputer, DataFrame]:
+    """The technique fitted on ``df`` (default: median), and ``df`` imputed by it."""
+    if technique in (None, "median"):
+        fills = I.fit_median(df, features)
+        return Imputer("median", fills), I.impute(df, fills)
+    if technique == "mean":
+        fills = I.fit_mean(df, features)
+        return Imputer("mean", fills), I.impute(df, fills)
+    if technique == "iterative":
+        return fit_iterative(df, features)
+    if technique == "knn":
+        ensure_checkpoint_dir(df.sparkSession)
+        donors = df.select(*features).checkpoint()
+        return (Imputer("knn", I.fit_mean(df, features), donors=donors, k=k),
+                knn_impute(df, features, k=k, donors=donors).checkpoint())
+    raise ValueError(technique)
 
 
 # ---------------------------------------------------------------------------
 # I5 bake-off
 # ---------------------------------------------------------------------------
 
-def _mask_col(key_cols, f: str, seed: int) -> F.Column:
-    u = F.xxhash64(F.lit(seed), F.lit(f), *[F.col(c) for c in key_cols]).bitwiseAND(F.lit((1 << 52) - 1))
-    return u.cast("double") / F.lit(float(1 << 52)) < F.lit(0.1)
+def mask(key_cols, f: str, seed: int) -> F.Column:
+    """Is the cell of curve ``f`` in the masked tenth of all cells."""
+    return I.order_key([F.lit(f), *key_cols], seed) < F.lit(0.1 * (1 << 52))
+
 
+def masked_cells(df: DataFrame, features, key_cols, seed: int = 42) -> DataFrame:
+    """``df`` with the masked cells emptied, their truth in ``__t_<curve>``
+    and ``__k_<curve>`` true where a known cell was masked."""
+    keys = {f: mask(key_cols, f, seed) & F.col(f).isNotNull() for f in features}
+    out = df.withColumns({f"__t_{f}": F.col(f) for f in features} | {f"__k_{f}": keys[f] for f in features})
+    return out.withColumns({f: F.when(F.col(f"__k_{f}"), F.lit(None).cast("double")).otherwise(F.col(f))
+                            for f in features})
 
-def imputation_bakeoff(df: DataFrame, features, key_cols, sample_size: int = 1000, seed: int = 42,
-                       techniques=TECHNIQUES) -> list:
-    """Score each technique; returns [(technique, mse)] in the given order.
+
+def imputation_bakeoff(df: DataFrame, features, key_cols, seed: int = 42, techniques=TECHNIQUES,
+                       errors: dict | None = None) -> list:
+    """Score each technique over the masked cells of the whole table; returns
+    [(technique, mse)] in the given order, and puts the message of a technique
+    that failed (it scores +inf) into ``errors``.
 
     MSE is computed only over masked cells whose true value is known (cells
     that were already missing have no truth to compare with).
     """
     feats = list(features)
-    sample = I.sample_rows(df.select(*key_cols, *feats), key_cols, sample_size, seed)
     ensure_checkpoint_dir(df.sparkSession)
-    sample = sample.checkpoint(eager=True)
-    masks = {f: _mask_col(key_cols, f, seed) for f in feats}
-    truth = sample.withColumns({f"__t_{f}": F.col(f) for f in feats}) \
-                  .withColumns({f"__k_{f}": masks[f] & F.col(f).isNotNull() for f in feats})
-    masked = truth.withColumns({f: F.when(F.col(f"__k_{f}"), F.lit(None).cast("double")).otherwise(F.col(f))
-                                for f in feats})
+    masked = masked_cells(df.select(*key_cols, *feats), feats, key_cols, seed).checkpoint(eager=True)
     scores = []
     for t in techniques:
         try:
-            if t == "median":
-                imp = I.impute(masked, I.fit_median(masked, feats))
-            elif t == "mean":
-                imp = I.impute(masked, I.fit_mean(masked, feats))
-            elif t == "knn":
-                imp = knn_impute(masked, feats, k=5, max_donors=max(sample_size, 1))
-            elif t == "iterative":
-                imp = iterative_impute(masked, feats, max_iter=10)
-            else:
-                raise ValueError(t)
+            _, imp = fit_imputer(masked, feats, t)
             err = imp.agg(
                 F.sum(sum([F.when(F.col(f"__k_{f}"), F.pow(F.col(f) - F.col(f"__t_{f}"), 2)).otherwise(0.0)
                            for f in feats], F.lit(0.0))).alias("se"),
@@ -183,8 +212,10 @@ def imputation_bakeoff(df: DataFrame, features, key_cols, sample_size: int = 100
             mse = err["se"] / err["n"] if err["n"] else float("inf")
             if mse is None or (isinstance(mse, float) and math.isnan(mse)):
                 mse = float("inf")
-        except Exception:  # noqa: BLE001 - a failing technique scores +inf
+        except Exception as e:  # noqa: BLE001 - the others still compete
             mse = float("inf")
+            if errors is not None:
+                errors[t] = f"{type(e).__name__}: {e}"
         scores.append((t, float(mse)))
     return scores
 
@@ -194,17 +225,17 @@ def best_technique(scores) -> str:
     return best[0]
 
 
-def apply_technique(df: DataFrame, features, technique: str, fit_on: DataFrame | None = None,
-                    max_donors: int = 200_000) -> DataFrame:
-    """Impute the whole table with the chosen technique (statistics from ``fit_on``)."""
-    src = fit_on if fit_on is not None else df
-    if technique == "median":
-        return I.impute(df, I.fit_median(src, features))
-    if technique == "mean":
-        return I.impute(df, I.fit_mean(src, features))
-    if technique == "knn":
-        return knn_impute(df, features, donors=src, max_donors=max_donors)
-    if technique == "iterative":
-        return iterative_impute(df, features)
-    raise ValueError(technique)
+def apply_technique(df: DataFrame, features, technique: str, fit_on: DataFrame | None = None) -> DataFrame:
+    """Impute the whole table with the chosen technique (learnt from ``fit_on``)."""
+    if fit_on is None:
+        return fit_imputer(df, features, technique)[1]
+    return apply_imputer(df, features, fit_imputer(fit_on, features, technique)[0])
+
 
+def apply_imputer(df: DataFrame, features, fitted: Imputer) -> DataFrame:
+    """``df`` with its curves imputed by a fitted technique."""
+    out = fitted.before(df, features)
+    for stage in fitted.stages(features, lambda f: f"__imp_{f}"):
+        out = stage.transform(out)
+    return out.withColumns({f: F.col(f"__imp_{f}") for f in features}).drop(
+        "__imp_missing", *[f"__imp_{f}" for f in features])

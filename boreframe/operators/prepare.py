@@ -4,8 +4,11 @@ Stratified selection never uses a window partitioned by label (that puts a
 whole class - possibly a third of the table - into one task).  Each row gets a
 deterministic 52-bit hash ``u`` of its key; the wanted per-class rank cut is
 found with the distributed rank selection of ``functions.quantiles`` and
-applied as a literal per-class threshold.  Exact per-class counts, no row
-shuffle, repeatable after executor loss (the hash is a pure function).
+applied as a literal per-class threshold.  Rows of one key at a cut are split
+by a second hash, of the whole row.  Per-class counts are exact, no row is
+shuffled, and the result is repeatable after executor loss (the hashes are pure
+functions).  Rows that are equal in every column cannot be told apart: if they
+straddle a cut, all of them fall below it.
 """
 
 from __future__ import annotations
@@ -18,12 +21,17 @@ from pyspark.sql import types as T
 
 from ..functions.quantiles import quantile_map, rank_values
 
-_MASK52 = (1 << 52) - 1
+def order_key(cols, seed: int = 42) -> Column:
+    """Deterministic pseudo-random double in [0, 2^52) from the row key: the
+    first 13 hex digits of the MD5 of the seed and the key, joined by ``|``."""
+    parts = [c if isinstance(c, Column) else F.col(c) for c in cols]
+    text = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
 
 
-def order_key(cols, seed: int = 42) -> Column:
-    """Deterministic pseudo-random double in [0, 2^52) from the row key."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]).bitwiseAND(F.lit(_MASK52)).cast("double")
+def order_key_sql(cols, seed: int = 42) -> str:
+    """``order_key`` as DuckDB SQL."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(cols)})), 1, 13))::bigint)::double"
 
 
 def class_counts(df: DataFrame, label: str, max_classes: int = 10_000) -> dict:
@@ -68,38 +76,46 @@ def rank_cuts(df: DataFrame, label: str, key_cols, cuts, seed: int = 42,
         else:
             split_ties[(g, r1 + 1)] = (v, need)
     if split_ties:
-        conds = None
-        for (g, _r), (v, _n) in split_ties.items():
-            c = (F.col(label) == F.lit(g)) & (F.col("__u") == F.lit(v))
-            conds = c if conds is None else conds | c
-        tied = (d.where(conds).select(F.col(label).alias("g"), F.col("__u").alias("u"),
-                                      order_key(key_cols, seed + 1).alias("u2"))
-                .limit(collect_limit + 1).collect())
-        if len(tied) > collect_limit:
-            raise ValueError("too many hash ties at a rank cut (duplicate keys?)")
-        by = {}
-        for t in tied:
-            by.setdefault((t["g"], t["u"]), []).append(t["u2"])
+        names = {(g, v): str(i) for i, (g, v) in enumerate({(g, v): 0 for (g, _r), (v, _n) in split_ties.items()})}
+        at = F.lit(None).cast("string")
+        for (g, v), name in names.items():
+            at = F.when((F.col(label) == F.lit(g)) & (F.col("__u") == F.lit(v)), name).otherwise(at)
+        tied = d.select(at.alias("__at"), row_key(df, seed).alias("__u2")).where("__at is not null")
+        want2 = {}
+        for (g, _r), (v, need) in split_ties.items():
+            want2.setdefault(names[(g, v)], []).append(need - 1)
+        rv2 = rank_values(tied, "__u2", want2, group_col="__at", collect_limit=collect_limit)
         for (g, r), (v, need) in split_ties.items():
-            u2s = sorted(by.get((g, v), []))
-            out[(g, r)] = (v, u2s[need - 1])
+            out[(g, r)] = (v, rv2[(names[(g, v)], need - 1)][0])
     return out, state.get("cuts", {})
 
 
-def _with_hashes(df: DataFrame, key_cols, seed: int) -> DataFrame:
-    """Both order hashes as columns, computed once per row."""
-    return df.withColumns({"__u": order_key(key_cols, seed), "__u2": order_key(key_cols, seed + 1)})
+def _with_hashes(df: DataFrame, key_cols, seed: int, cuts: dict) -> DataFrame:
+    """The order hash as a column, and the row hash where a cut needs it."""
+    out = {"__u": order_key(key_cols, seed)}
+    if _ties(cuts):
+        out["__u2"] = row_key(df, seed)
+    return df.withColumns(out)
+
+
+def _ties(cuts: dict) -> bool:
+    return any(w != float("inf") for _v, w in cuts.values())
+
+
+def row_key(df: DataFrame, seed: int) -> Column:
+    """Hash of a whole row, which orders rows of one key."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]).bitwiseAND(
+        F.lit((1 << 52) - 1)).cast("double")
 
 
 def _lt_expr(label: str, cuts: dict) -> Column:
     """Boolean column 'rank within class < r' for one r per class (needs ``_with_hashes``)."""
     vmap = _lit_map({g: v for g, (v, _w) in cuts.items()}, "double")
-    wmap = _lit_map({g: w for g, (_v, w) in cuts.items()}, "double")
-    u = F.col("__u")
-    u2 = F.col("__u2")
-    v = F.try_element_at(vmap, F.col(label))
-    w = F.try_element_at(wmap, F.col(label))
-    return F.coalesce((u < v) | ((u == v) & (u2 <= w)), F.lit(False))
+    u, v = F.col("__u"), F.try_element_at(vmap, F.col(label))
+    if not _ties(cuts):
+        return F.coalesce(u <= v, F.lit(False))
+    w = F.try_element_at(_lit_map({g: w for g, (_v, w) in cuts.items()}, "double"), F.col(label))
+    return F.coalesce((u < v) | ((u == v) & (F.col("__u2") <= w)), F.lit(False))
 
 
 def _round_half_up(x: float) -> int:
@@ -113,7 +129,7 @@ def stratified_split(df: DataFrame, label: str, key_cols, test_fraction: float =
         g: [_round_half_up(test_fraction * n)] for g, n in counts.items()}, seed)
     per = {g: cuts[(g, rs[0])] for g, rs in asked.items() if rs[0] > 0}
     expr = _lt_expr(label, per) if per else F.lit(False)
-    out = _with_hashes(df.where(F.col(label).isNotNull()), key_cols, seed)
+    out = _with_hashes(df.where(F.col(label).isNotNull()), key_cols, seed, cuts)
     return out.withColumn("is_test", expr).drop("__u", "__u2")
 
 
@@ -131,28 +147,25 @@ def stratified_folds(df: DataFrame, label: str, key_cols, k: int = 5, seed: int
         below = _lt_expr(label, per) if per else F.lit(False)
         # rows not below cut j are at least in fold j+1
         fold = fold + F.when(~below, F.lit(1)).otherwise(F.lit(0))
-    out = _with_hashes(df.where(F.col(label).isNotNull()), key_cols, seed)
+    out = _with_hashes(df.where(F.col(label).isNotNull()), key_cols, seed, cuts)
     return out.withColumn("fold", fold.cast("int")).drop("__u", "__u2")
 
 
 def stratified_sample(df: DataFrame, label: str, key_cols, max_samples: int = 100_000,
-                      trigger_rows: int = 100_000, seed: int = 42) -> DataFrame:
-    """Per class keep min(n_c, max(1, floor(k*n_c/N))) rows when N > trigger.
+                      seed: int = 42) -> DataFrame:
+    """Per class min(n_c, max(1, floor(max_samples*n_c/N))) rows.
 
-    Rows without a label drop out (as in a group-by); below the trigger the
-    table is returned unchanged.
+    Rows without a label drop out (as in a group-by); a table of at most
+    ``max_samples`` rows is returned unchanged.
     """
     counts = class_counts(df, label)
     total = df.count()
-    if total <= trigger_rows:
-        return df
-    k = min(max_samples, total)
-    if k >= total:
+    if max_samples >= total:
         return df
-    quotas = {g: min(n, max(1, int(math.floor(k * n / total)))) for g, n in counts.items()}
+    quotas = {g: min(n, max(1, int(math.floor(max_samples * n / total)))) for g, n in counts.items()}
     cuts, _ = rank_cuts(df, label, key_cols, {g: [q] for g, q in quotas.items()}, seed)
     per = {g: cuts[(g, q)] for g, q in quotas.items()}
-    out = _with_hashes(df.where(F.col(label).isNotNull()), key_cols, seed)
+    out = _with_hashes(df.where(F.col(label).isNotNull()), key_cols, seed, cuts)
     return out.where(_lt_expr(label, per)).drop("__u", "__u2")
 
 

@@ -332,20 +332,40 @@ def invalid_label_rows(df: DataFrame, target: str, expected=C.EXPECTED_LABELS) -
         "Invalid_Label": F.col(target)})
 
 
+def all_issue_rows(df: DataFrame, columns, target: str | None, cfg: LogConfig = LogConfig()) -> DataFrame:
+    """The rows of Q12, Q13 and Q14 together, from one pass over the table."""
+    none, nan = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def issue(kind, text, expected=none, value=nan, label=none):  # noqa: ANN001, ANN202
+        return F.struct(F.lit(kind).alias("Issue_Type"), F.lit(text).alias("Issue_Description"),
+                        expected.alias("Expected_Range"), value.alias("Actual_Value"), label.alias("Invalid_Label"))
+
+    structs = [F.when(F.col(c).isNull(), issue(f"Null_{c}", f"Missing value in {c}")) for c in columns]
+    for c, (lo, hi, lo_t, hi_t) in _bound_items(cfg, columns):
+        structs.append(F.when(outside(c, lo, hi), issue(
+            f"OutOfBounds_{c}", f"{c} outside range {lo_t}-{hi_t}", F.lit(f"{lo_t}-{hi_t}"), F.col(c).cast("double"))))
+    if target and target in df.columns:
+        label = F.col(target).cast("string")
+        structs.append(F.when(label.isNull(), issue(f"Null_{target}", "Missing lithology label")))
+        structs.append(F.when(~label.isin(list(cfg.expected_labels)), issue(
+            "Invalid_Lithology", "Unexpected lithology label", label=label)))
+    return _issue_explode(df, structs)
+
+
 def invalid_label_summary(df: DataFrame, target: str, expected=C.EXPECTED_LABELS) -> DataFrame:
     """Q14 summary: distinct labels, invalid count/percent, found and expected lists.
 
-    ``collect_set`` holds distinct labels only (a small vocabulary); partial
-    aggregation merges per-partition sets.
+    Rows are counted per label first; the one list is over distinct labels.
     """
-    lab = F.col(target).cast("string")
+    lab, n = F.col("label"), F.col("n")
     bad = lab.isNotNull() & ~lab.isin(list(expected))
-    n = F.count(F.lit(1))
-    return df.agg(
-        F.count_distinct(lab).alias("unique_count"),
-        F.count_if(bad).alias("invalid_count"),
-        pct(F.count_if(bad), n).alias("invalid_pct"),
-        F.array_sort(F.collect_set(lab)).alias("unique_labels"),
+    invalid = F.coalesce(F.sum(F.when(bad, n)), F.lit(0)).cast("long")
+    counts = df.groupBy(F.col(target).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(
+        F.count(lab).alias("unique_count"),
+        invalid.alias("invalid_count"),
+        pct(invalid, F.sum(n)).alias("invalid_pct"),
+        F.array_sort(F.collect_list(lab)).alias("unique_labels"),
         F.array(*[F.lit(x) for x in expected]).alias("expected_labels"))
 
 
@@ -367,46 +387,36 @@ def issue_counts(df: DataFrame, columns, target: str | None, cfg: LogConfig = Lo
 
 
 def recommendations(df: DataFrame, columns, target: str | None, cfg: LogConfig = LogConfig()) -> DataFrame:
-    """Q15: (item, severity, message) rows, built from one counts aggregate."""
+    """Q15: (item, severity, message) rows, built from one counts aggregate;
+    the share of every row is formatted by one call on one column."""
     counts = issue_counts(df, columns, target, cfg)
     null_cols = list(columns) + ([target] if target and target in df.columns else [])
     bound_cols = [c for c, _ in _bound_items(cfg, columns)]
     n = F.col("total_rows")
-    recs = []
-    order = 0
-    for i, c in enumerate(null_cols):
-        p = pct(F.col(f"null_{i}"), n)
-        txt = py_format(p, ".1f")
-        sev = (F.when(p > 50, F.lit("high")).when(p > 20, F.lit("moderate")).when(p > 5, F.lit("info")))
-        msg = (F.when(p > 50, F.concat(F.lit(f"🔴 {c}: "), txt, F.lit(
-                "% missing values. Consider removing this feature or finding alternative data.")))
-               .when(p > 20, F.concat(F.lit(f"🟡 {c}: "), txt, F.lit(
-                   "% missing values. Review data collection for this parameter.")))
-               .when(p > 5, F.concat(F.lit(f"ℹ️ {c}: "), txt, F.lit(
-                   "% missing values. Consider imputation strategies."))))
-        recs.append(F.struct(F.lit(order).alias("rec_order"), F.lit(c).alias("item"),
-                             F.lit("missing").alias("kind"), sev.alias("severity"), msg.alias("message")))
-        order += 1
-    for i, c in enumerate(bound_cols):
-        p = pct(F.col(f"oob_{i}"), n)
-        txt = py_format(p, ".1f")
-        sev = F.when(p > 10, F.lit("high")).when(p > 1, F.lit("moderate"))
-        msg = (F.when(p > 10, F.concat(F.lit(f"🚨 {c}: "), txt, F.lit(
-                "% values outside expected range. Check data calibration and quality.")))
-               .when(p > 1, F.concat(F.lit(f"⚠️ {c}: "), txt, F.lit(
-                   "% values outside expected range. Review outliers and data collection."))))
-        recs.append(F.struct(F.lit(order).alias("rec_order"), F.lit(c).alias("item"),
-                             F.lit("bounds").alias("kind"), sev.alias("severity"), msg.alias("message")))
-        order += 1
+    nothing = F.lit(None).cast("double")
     total = sum([F.col(f"null_{i}") for i in range(len(null_cols))], F.lit(0)) + \
         sum([F.col(f"oob_{i}") for i in range(len(bound_cols))], F.lit(0))
-    sev = F.when(total > n * 0.3, F.lit("high")).when(total > n * 0.1, F.lit("moderate")).otherwise(F.lit("good"))
-    msg = (F.when(total > n * 0.3, F.lit("🔴 High data quality issues (>30%). Extensive cleaning required."))
-           .when(total > n * 0.1, F.lit("🟡 Moderate data quality issues (>10%). Data cleaning recommended."))
-           .otherwise(F.lit("✅ Good data quality. Suitable for machine learning.")))
-    recs.append(F.struct(F.lit(order).alias("rec_order"), F.lit("overall").alias("item"),
-                         F.lit("overall").alias("kind"), sev.alias("severity"), msg.alias("message")))
-    return counts.select(F.inline(F.array(*recs))).where(F.col("message").isNotNull())
+    items = [(c, "missing", pct(F.col(f"null_{i}"), n)) for i, c in enumerate(null_cols)] + \
+        [(c, "bounds", pct(F.col(f"oob_{i}"), n)) for i, c in enumerate(bound_cols)] + [("overall", "overall", nothing)]
+    rows = counts.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("rec_order"), F.lit(c).alias("item"), F.lit(kind).alias("kind"), share.alias("p"),
+                 total.cast("double").alias("total"), n.cast("double").alias("n"))
+        for i, (c, kind, share) in enumerate(items)])))
+    kind, p, item = F.col("kind"), F.col("p"), F.col("item")
+    rows = rows.withColumn("txt", py_format("p", ".1f"))
+    levels = F.when(kind == "overall", F.when(F.col("total") > F.col("n") * 0.3, "high")
+                    .when(F.col("total") > F.col("n") * 0.1, "moderate").otherwise("good"))
+    message = F.when(kind == "overall", F.when(F.col("total") > F.col("n") * 0.3, C.RECOMMEND["overall"]["high"])
+                     .when(F.col("total") > F.col("n") * 0.1, C.RECOMMEND["overall"]["moderate"])
+                     .otherwise(C.RECOMMEND["overall"]["good"]))
+    for k, steps in C.RECOMMEND_LEVELS.items():
+        for level, over in steps:
+            mark, text = C.RECOMMEND[k][level]
+            levels = levels.when((kind == k) & (p > over), level)
+            message = message.when((kind == k) & (p > over), F.concat(
+                F.lit(mark), F.lit(" "), item, F.lit(": "), F.col("txt"), F.lit(text)))
+    return (rows.select("rec_order", "item", "kind", levels.alias("severity"), message.alias("message"))
+            .where(F.col("message").isNotNull()))
 
 
 def table_quality_score(df: DataFrame, columns, target: str | None, cfg: LogConfig = LogConfig()) -> DataFrame:

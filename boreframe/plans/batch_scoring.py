@@ -17,13 +17,10 @@ def score_input(spark: SparkSession, input_path: str, model_dir: str, model_name
                 confidence: float = 0.0, column_mapping: str | None = None, output_path: str | None = None,
                 fmt: str | None = None):
     """Score a well table with the newest saved run; returns (scored, summary frames)."""
-    models, run_id = T.load_latest(spark, model_dir)
+    models, _ = T.load_latest(spark, model_dir)
     if model_name == "best":
-        try:
-            met = spark.read.json(f"{model_dir.rstrip('/')}/{run_id}/metrics")
-            model_name = met.orderBy(met.f1_score.desc()).first()["model"]
-        except Exception:  # noqa: BLE001 - no metrics saved: first model
-            model_name = sorted(models)[0]
+        met = T.load_metrics(spark, model_dir)  # a run saved without metrics: its first model
+        model_name = met.orderBy(met.f1_score.desc(), "model").first()["model"] if met is not None else sorted(models)[0]
     if model_name not in models:
         raise ValueError(f"Model '{model_name}' not found. Available: {sorted(models)}")
     df = readers.read_table(spark, input_path, fmt=fmt)
@@ -34,7 +31,8 @@ def score_input(spark: SparkSession, input_path: str, model_dir: str, model_name
     feats = [f for f in C.FEATURES if f in df.columns]
     if len(feats) < 3:
         raise ValueError(f"Insufficient features. Need at least 3, got {len(feats)}")
-    scored = score_stream(models[model_name], df, list(C.FEATURES), threshold=confidence)
+    scored = score_stream(models[model_name], df, list(C.FEATURES), threshold=confidence,
+                          fitted=T.load_imputer(spark, model_dir))
     if output_path:
         sinks.write_table(scored, output_path, partition_by=("WELL",) if "WELL" in df.columns else ())
     return scored, prediction_report(scored)

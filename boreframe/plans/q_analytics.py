@@ -214,7 +214,7 @@ def stratified_fold_sizes(spark, sf_dir):
 select label, n, cast(least(n, greatest(1, floor(20000 * n / total))) as bigint) as kept from c, t"""))
 def stratified_sample_sizes(spark, sf_dir):
     df = wells(spark, sf_dir)
-    smp = I.stratified_sample(df, TARGET, KEY, max_samples=20_000, trigger_rows=20_000, seed=42)
+    smp = I.stratified_sample(df, TARGET, KEY, max_samples=20_000, seed=42)
     full = df.where(F.col(TARGET).isNotNull()).groupBy(F.col(TARGET).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     kept = smp.groupBy(F.col(TARGET).alias("label")).agg(F.count(F.lit(1)).alias("kept"))
     # both sides are per-class aggregates (K rows)
@@ -222,11 +222,46 @@ def stratified_sample_sizes(spark, sf_dir):
         "label", "n", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
 
 
-@register("sample_rows")
+_KEY_LIST = ", ".join(KEY)
+
+
+@register("sample_rows", O.with_wells(f"""
+select * exclude (u) from (select *, {I.order_key_sql(KEY)} as u from wells)
+order by u, {_KEY_LIST} limit 2000"""))
 def sample_rows(spark, sf_dir):
     return I.sample_rows(wells(spark, sf_dir), KEY, 2000)
 
 
+_RANKED = O.with_wells(f"""
+, lab as (select {_KEY_LIST}, {LABEL_MAP_SQL} as label, {I.order_key_sql(KEY)} as u from wells where LITH is not null)
+, r as (select *, row_number() over (partition by label order by u) - 1 as rank,
+               count(*) over (partition by label) as n from lab)
+""")
+
+
+@register("stratified_split_rows", _RANKED + f"select {_KEY_LIST}, label, rank < floor(0.2 * n + 0.5) as is_test from r")
+def stratified_split_rows(spark, sf_dir):
+    sp = I.stratified_split(labelled_normalized(spark, sf_dir), "LABEL", KEY, 0.2, seed=42)
+    return sp.select(*KEY, F.col("LABEL").alias("label"), "is_test")
+
+
+@register("stratified_fold_rows", _RANKED + f"""select {_KEY_LIST}, label, cast({" + ".join(
+    f"(case when rank >= floor(n * {j} / 5.0 + 0.5) then 1 else 0 end)" for j in range(1, 5))} as integer) as fold from r""")
+def stratified_fold_rows(spark, sf_dir):
+    fo = I.stratified_folds(labelled_normalized(spark, sf_dir), "LABEL", KEY, k=5, seed=42)
+    return fo.select(*KEY, F.col("LABEL").alias("label"), "fold")
+
+
+@register("stratified_sample_rows", O.with_wells(f"""
+, lab as (select {_KEY_LIST}, LITH, {I.order_key_sql(KEY)} as u from wells where LITH is not null)
+, t as (select count(*) as total from wells)
+, r as (select *, row_number() over (partition by LITH order by u) - 1 as rank,
+               count(*) over (partition by LITH) as n from lab)
+select {_KEY_LIST}, LITH from r, t where rank < least(n, greatest(1, floor(3000 * n / total)))"""))
+def stratified_sample_rows(spark, sf_dir):
+    return I.stratified_sample(wells(spark, sf_dir), TARGET, KEY, max_samples=3000, seed=42).select(*KEY, TARGET)
+
+
 _NUM_COLS = [("l_orderkey", "bigint"), ("l_linenumber", "int"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
              ("DEPTH_MD", "double"), ("GR", "double"), ("RHOB", "double"), ("NPHI", "double"),
              ("RDEP", "double"), ("DTC", "double"), ("PEF", "double")]

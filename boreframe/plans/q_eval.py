@@ -98,6 +98,18 @@ def class_report(spark, sf_dir):
     return round_doubles(E.class_report(scored(spark, sf_dir), "ACTUAL", "PREDICTED"))
 
 
+#: a vocabulary with a class that neither side holds
+VOCABULARY = sorted({*C.EXPECTED_LABELS, "Tuffite"})
+
+
+@register("class_report_vocabulary", CLASS_REPORT_SQL.replace(
+    "(select ACTUAL as c from scored union select PREDICTED from scored)",
+    "(select unnest([" + ", ".join(f"'{x}'" for x in VOCABULARY) + "]) as c)"))
+def class_report_vocabulary(spark, sf_dir):
+    """E2 over all classes of a model, Salt among them, which never occurs."""
+    return round_doubles(E.class_report(scored(spark, sf_dir), "ACTUAL", "PREDICTED", labels=VOCABULARY))
+
+
 def _metrics_sql(pred, name):
     return S(_report_sql(pred) + f"""
 select '{name}' as model, round(tp * 1.0 / n, 6) as accuracy, round(wp / n, 6) as precision,

@@ -359,34 +359,25 @@ def invalid_label_summary(spark, sf_dir):
 
 
 def _rec_rows_sql():
+    """The recommendation rows as SQL, from the fixed texts of the configuration."""
     parts = []
-    order = 0
-    for c in ANALYSIS + [TARGET]:
-        p = f"((cast(null_{c} as double) / n) * 100)"
-        t = f"printf('%.1f', {p})"
-        parts.append(
-            f"select {order} as rec_order, '{c}' as item, 'missing' as kind, "
-            f"case when {p} > 50 then 'high' when {p} > 20 then 'moderate' when {p} > 5 then 'info' end as severity, "
-            f"case when {p} > 50 then '🔴 {c}: ' || {t} || '% missing values. Consider removing this feature or finding alternative data.' "
-            f"when {p} > 20 then '🟡 {c}: ' || {t} || '% missing values. Review data collection for this parameter.' "
-            f"when {p} > 5 then 'ℹ️ {c}: ' || {t} || '% missing values. Consider imputation strategies.' end as message from c")
-        order += 1
-    for c in ANALYSIS:
-        p = f"((cast(oob_{c} as double) / n) * 100)"
-        t = f"printf('%.1f', {p})"
-        parts.append(
-            f"select {order} as rec_order, '{c}' as item, 'bounds' as kind, "
-            f"case when {p} > 10 then 'high' when {p} > 1 then 'moderate' end as severity, "
-            f"case when {p} > 10 then '🚨 {c}: ' || {t} || '% values outside expected range. Check data calibration and quality.' "
-            f"when {p} > 1 then '⚠️ {c}: ' || {t} || '% values outside expected range. Review outliers and data collection.' end as message from c")
-        order += 1
+    items = [(c, "missing", f"null_{c}") for c in ANALYSIS + [TARGET]] + [(c, "bounds", f"oob_{c}") for c in ANALYSIS]
+    for order, (c, kind, count) in enumerate(items):
+        p = f"((cast({count} as double) / n) * 100)"
+        steps = C.RECOMMEND_LEVELS[kind]
+        severity = " ".join(f"when {p} > {over} then '{level}'" for level, over in steps)
+        message = " ".join(
+            f"when {p} > {over} then '{C.RECOMMEND[kind][level][0]} {c}: ' || printf('%.1f', {p}) || '{C.RECOMMEND[kind][level][1]}'"
+            for level, over in steps)
+        parts.append(f"select {order} as rec_order, '{c}' as item, '{kind}' as kind, "
+                     f"case {severity} end as severity, case {message} end as message from c")
     tot = " + ".join([f"null_{c}" for c in ANALYSIS + [TARGET]] + [f"oob_{c}" for c in ANALYSIS])
+    all_ = C.RECOMMEND["overall"]
     parts.append(
-        f"select {order} as rec_order, 'overall' as item, 'overall' as kind, "
+        f"select {len(items)} as rec_order, 'overall' as item, 'overall' as kind, "
         f"case when ({tot}) > n * 0.3 then 'high' when ({tot}) > n * 0.1 then 'moderate' else 'good' end as severity, "
-        f"case when ({tot}) > n * 0.3 then '🔴 High data quality issues (>30%). Extensive cleaning required.' "
-        f"when ({tot}) > n * 0.1 then '🟡 Moderate data quality issues (>10%). Data cleaning recommended.' "
-        f"else '✅ Good data quality. Suitable for machine learning.' end as message from c")
+        f"case when ({tot}) > n * 0.3 then '{all_['high']}' when ({tot}) > n * 0.1 then '{all_['moderate']}' "
+        f"else '{all_['good']}' end as message from c")
     return " union all ".join(parts)
 
 
@@ -556,6 +547,5 @@ def issue_reports(spark, sf_dir):
     from ..sources.sinks import write_issue_reports
     df = wells(spark, sf_dir)
     path = shared_dir(spark, f"issues-{uuid.uuid4().hex[:12]}")
-    write_issue_reports(Q.null_issue_rows(df, ANALYSIS, TARGET), Q.oob_issue_rows(df, ANALYSIS),
-                        Q.invalid_label_rows(df, TARGET), path)
+    write_issue_reports(Q.all_issue_rows(df, ANALYSIS, TARGET), path)
     return spark.read.parquet(path).groupBy("Issue_Type").agg(F.count(F.lit(1)).alias("issue_rows"))

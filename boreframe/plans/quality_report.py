@@ -23,6 +23,7 @@ def analyze(df: DataFrame, cfg: LogConfig = LogConfig(), normalize_first: bool =
     if normalize_first and target:
         df = P.normalize_labels(df, target, cfg.label_codes)
     out = {
+        "issue_rows": Q.all_issue_rows(df, cols, target, cfg),
         "null_rows": Q.null_issue_rows(df, cols, target),
         "oob_rows": Q.oob_issue_rows(df, cols, cfg),
         "oob_summary": Q.oob_summary(df, cols, cfg),
@@ -37,8 +38,5 @@ def analyze(df: DataFrame, cfg: LogConfig = LogConfig(), normalize_first: bool =
 
 
 def write_reports(report: dict, path: str, mode: str = "errorifexists") -> str:
-    """The issue rows as one table partitioned by issue type."""
-    invalid = report.get("invalid_rows")
-    if invalid is None:
-        invalid = report["null_rows"].limit(0)
-    return sinks.write_issue_reports(report["null_rows"], report["oob_rows"], invalid, path, mode)
+    """The issue rows as one table partitioned by issue type, from one scan."""
+    return sinks.write_issue_reports(report["issue_rows"], path, mode)

@@ -28,19 +28,25 @@ _BASE_CONF = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "boreframe", extra: dict | None = None) -> SparkSession:
-    """Return the active session or build a local one.
+    """Return the active session or build one.
 
-    On a cluster the launcher already created the session; we reuse it and do
-    not override its configuration.
+    Under spark-submit (or with ``SPARK_MASTER`` set by a launcher) the master
+    and the shuffle partitions are the launcher's; only a session of our own
+    making is local.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
     builder = SparkSession.builder.appName(app_name)
-    builder = builder.master(master or os.environ.get("BOREFRAME_MASTER", "local[*]"))
     conf = dict(_BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
-    conf.setdefault("spark.driver.memory", "8g")
+    own = master or os.environ.get("BOREFRAME_MASTER")
+    launched = "PYSPARK_GATEWAY_PORT" in os.environ or "SPARK_MASTER" in os.environ
+    if own or not launched:
+        own = own or "local[*]"
+        builder = builder.master(own)
+        if own.startswith("local"):
+            conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
+            conf["spark.driver.memory"] = "8g"
     if extra:
         conf.update(extra)
     for k, v in conf.items():
@@ -78,24 +84,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def ensure_parallelism(df, min_partitions: int | None = None, cols=None):
-    """Spread a freshly read source over the cluster's cores when its files
-    give fewer partitions than cores (e.g. one small file = one task).
+def spread_local(df, cols):  # noqa: ANN001, ANN201
+    """Deal a scan of few files to all cores of a local session by ``cols``.
 
-    Call it on a source scan only: there the partition count comes from file
-    listing (no job).  On plans that already contain a shuffle, adaptive
-    execution would have to run those stages to answer.  A many-partition
-    input - the normal case on a cluster - is returned unchanged, so no
-    extra shuffle happens at scale.
-    With ``cols`` the spread hashes those columns (deterministic without the
-    local sort a round-robin repartition needs for retry safety).
+    A local test table is one file and would be one task.  On a cluster the
+    scan is returned as it is, whatever its size.
     """
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    try:
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect
-        return df
-    if n >= target:
+    if not spark.sparkContext.master.startswith("local"):
         return df
-    return df.repartition(target, *cols) if cols else df.repartition(target)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, *cols) if len(df.inputFiles()) < cores else df

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.prepare import order_key
+
 # FIXED VALUES: class ranges (lo, hi) per curve.
 CLASSES_5 = {
     "Sandstone": {"GR": (30, 80), "RHOB": (2.0, 2.4), "NPHI": (0.05, 0.25), "RDEP": (10, 1000),
@@ -45,14 +47,17 @@ CLASSES_12 = {
 
 # Skewed 5-class mix (class, share).
 SKEWED_MIX = [("Sandstone", 0.40), ("Shale", 0.30), ("Limestone", 0.15), ("Dolomite", 0.10), ("Anhydrite", 0.05)]
-CLASSES_SKEWED = dict(CLASSES_5, Anhydrite=CLASSES_12["Anhydrite"])
-
-_MASK52 = (1 << 52) - 1
+CLASSES_SKEWED = {
+    "Sandstone": {"GR": (20, 80), "RHOB": (2.0, 2.6), "NPHI": (0.05, 0.3), "RDEP": (10, 200), "DTC": (55, 90), "PEF": (1.8, 3.0)},
+    "Shale": {"GR": (80, 200), "RHOB": (2.2, 2.8), "NPHI": (0.2, 0.6), "RDEP": (0.5, 10), "DTC": (80, 140), "PEF": (2.8, 3.5)},
+    "Limestone": {"GR": (10, 50), "RHOB": (2.6, 2.8), "NPHI": (0.0, 0.2), "RDEP": (50, 1000), "DTC": (47, 70), "PEF": (4.5, 5.5)},
+    "Dolomite": {"GR": (10, 40), "RHOB": (2.8, 2.9), "NPHI": (-0.05, 0.15), "RDEP": (100, 2000), "DTC": (43, 65), "PEF": (2.8, 3.2)},
+    "Anhydrite": {"GR": (5, 30), "RHOB": (2.9, 3.0), "NPHI": (-0.05, 0.05), "RDEP": (1000, 10000), "DTC": (50, 60), "PEF": (5.0, 5.5)},
+}
 
 
 def _uniform(key_cols, seed: int) -> Column:
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]).bitwiseAND(F.lit(_MASK52))
-    return (h.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+    return (order_key(key_cols, seed) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def _normal(key_cols, seed: int) -> Column:
@@ -66,15 +71,17 @@ def synthetic_logs(src: DataFrame, key_cols, classes: dict = CLASSES_5, mix=None
     names = list(classes)
     if mix is None:
         mix = [(n, 1.0 / len(names)) for n in names]
-    u = _uniform(key_cols, seed)
+    row = ["__row"]  # one digest of the key; every draw hashes that with its own seed
+    src = src.select(*key_cols, F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]).cast("binary")).alias("__row"))
+    u = _uniform(row, seed)
     cls = None
     acc = 0.0
     for i, (name, share) in enumerate(mix):
         acc += share
         cond = u < F.lit(acc) if i < len(mix) - 1 else F.lit(True)
         cls = F.when(cond, F.lit(name)) if cls is None else cls.when(cond, F.lit(name))
-    rid = F.xxhash64(*[F.col(c) for c in key_cols])
-    df = src.select(*key_cols).withColumn(target, cls).withColumn("__rid", rid)
+    rid = order_key(row, seed).cast("long")
+    df = src.withColumn(target, cls).withColumn("__rid", rid)
     curves = list(next(iter(classes.values())))
     cols = {}
     for j, c in enumerate(curves):
@@ -84,13 +91,13 @@ def synthetic_logs(src: DataFrame, key_cols, classes: dict = CLASSES_5, mix=None
             cond = F.col(target) == F.lit(name)
             lo_e = F.when(cond, F.lit(float(lo))) if lo_e is None else lo_e.when(cond, F.lit(float(lo)))
             hi_e = F.when(cond, F.lit(float(hi))) if hi_e is None else hi_e.when(cond, F.lit(float(hi)))
-        base = lo_e + (hi_e - lo_e) * _uniform(key_cols, seed + 100 + j)
-        noise = _normal(key_cols, seed + 200 + j) * (hi_e - lo_e) * F.lit(0.05)
+        base = lo_e + (hi_e - lo_e) * _uniform(row, seed + 100 + j)
+        noise = _normal(row, seed + 200 + j) * (hi_e - lo_e) * F.lit(0.05)
         val = F.greatest(F.lit(0.0), base + noise)
-        blank = _uniform(key_cols, seed + 300 + j) < F.lit(null_rate)
+        blank = _uniform(row, seed + 300 + j) < F.lit(null_rate)
         cols[c] = F.when(blank, F.lit(None).cast("double")).otherwise(val)
     out = df.withColumns(cols)
     return out.withColumns({
-        "WELL": F.concat(F.lit("SYNTH_WELL_"), (F.abs(F.col("__rid")) % F.lit(max(1, well_size))).cast("string")),
-        "DEPTH_MD": F.lit(1500.0) + (F.abs(F.col("__rid")) % F.lit(10_000_000)).cast("double") * F.lit(0.5),
-    }).drop("__rid")
+        "WELL": F.concat(F.lit("SYNTH_WELL_"), (F.col("__rid") % F.lit(max(1, well_size))).cast("string")),
+        "DEPTH_MD": F.lit(1500.0) + (F.col("__rid") % F.lit(10_000_000)).cast("double") * F.lit(0.5),
+    }).drop("__rid", "__row")

@@ -43,15 +43,14 @@ SPREAD_KEYS = {"lineitem": ("l_orderkey",)}
 def register_tables(spark: SparkSession, sf_dir: str, names=("lineitem", "part"), spread=("lineitem",)) -> None:
     """Register the driver tables as views.
 
-    The fact table is spread over the cores when its files give fewer
-    partitions than cores (a small single-row-group file is one task);
-    on a cluster the scan already has many partitions and nothing changes.
+    In a local session the fact table, one small file, is dealt to all cores;
+    a cluster reads it as it is.
     """
-    from ..session import ensure_parallelism
+    from ..session import spread_local
     for n in names:
         df = spark.read.parquet(f"{sf_dir}/{n}.parquet")
         if n in spread:
-            df = ensure_parallelism(df, cols=SPREAD_KEYS.get(n))
+            df = spread_local(df, SPREAD_KEYS[n])
         df.createOrReplaceTempView(n)
 
 

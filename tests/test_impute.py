@@ -26,7 +26,7 @@ def _brute_knn(rows, k):
                     continue
                 dist = math.sqrt(sum((x[i] - y[i]) ** 2 for i in both) * feats / len(both))
                 cands.append((dist, y[j]))
-            cands.sort(key=lambda t: t[0])
+            cands.sort()
             top = cands[:k]
             if not top:  # no donor shares a coordinate: column mean
                 col = [d[1 + j] for d in rows if d[1 + j] is not None]
@@ -57,13 +57,64 @@ def test_knn_matches_brute_force(spark):
                 assert abs(g - e) < 1e-9
 
 
-def test_knn_refuses_oversized_donors(spark):
-    df = spark.createDataFrame([(float(i), None) for i in range(20)], "a double, b double")
-    try:
-        knn_impute(df, ["a", "b"], max_donors=5)
-    except ValueError:
-        return
-    raise AssertionError("expected a refusal")
+def test_knn_cells_ties_and_blocks(spark, monkeypatch):
+    """Small cells and blocks, repeated rows, equal distances: still exact."""
+    from boreframe.operators import knn
+    monkeypatch.setattr(knn, "CELL", 16)
+    monkeypatch.setattr(knn, "BLOCK", 20)
+    rnd = random.Random(5)
+    rows = []
+    for i in range(400):
+        v = [round(rnd.uniform(0, 50), 1), float(rnd.randint(0, 5)), rnd.uniform(0, 1000), float(rnd.randint(0, 3))]
+        rows.append((i, *[None if rnd.random() < 0.08 else x for x in v]))
+    rows += [(1000 + i, 1.0, 1.0, 1.0, None) for i in range(50)] + [(2000 + i, 1.0, 1.0, 1.0, 2.0) for i in range(60)]
+    rows.append((3000, None, None, None, None))
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double")
+    got = {r["id"]: list(r)[1:] for r in knn.knn_impute(df, ["a", "b", "c", "d"]).collect()}
+    for r in rows:
+        x = r[1:]
+        for j in range(4):
+            if x[j] is not None:
+                assert got[r[0]][j] == x[j]
+                continue
+            near = []
+            for d in rows:
+                y = d[1:]
+                both = [i for i in range(4) if x[i] is not None and y[i] is not None]
+                if y[j] is not None and both:
+                    near.append((sum((x[i] - y[i]) ** 2 for i in both) * 4 / len(both), y[j]))
+            near = sorted(near)[:5] or [(0, v[1 + j]) for v in rows if v[1 + j] is not None]
+            assert abs(got[r[0]][j] - sum(v for _, v in near) / len(near)) < 1e-6
+
+
+def test_each_technique_is_carried_to_new_rows(spark):
+    """What is saved fills new rows as the technique filled the training rows."""
+    from boreframe.operators import train as T
+    from boreframe.operators.impute import apply_imputer, fit_imputer
+    rnd = random.Random(2)
+    rows = []
+    for i in range(200):
+        a = rnd.uniform(0, 10)
+        v = [a, 3 * a + 1, rnd.uniform(0, 1)]
+        rows.append((i, *[None if rnd.random() < 0.1 else x for x in v], "AB"[i % 2]))
+    feats = ["a", "b", "c"]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y string")
+    for technique in ("median", "mean", "iterative", "knn"):
+        fitted, filled = fit_imputer(df, feats, technique)
+        assert fitted.technique == technique
+        want = {r["id"]: [r[f] for f in feats] for r in filled.collect()}
+        got = {r["id"]: [r[f] for f in feats] for r in apply_imputer(df, feats, fitted).collect()}
+        assert all(abs(x - y) < 1e-6 for i in want for x, y in zip(want[i], got[i])), technique
+        pre, scaler = T.fit_preprocessing(df, feats, technique)
+        model = T.fit(df, feats, "y", T.random_forest(num_trees=2, max_depth=2), pre, scaler)
+        saved = model.stages[0].getStatement()
+        if technique in ("median", "mean"):
+            assert all(f"{float(pre.fills[f])!r}D" in saved for f in feats)
+        scored = T.score_table(model, df, fitted=pre, features=feats)
+        assert scored.where("a is null").count() == df.where("a is null").count()  # inputs come back as they were
+        probs = T.score_table(model, filled).select("id", "Prediction_Confidence").collect()
+        same = {r["id"]: r["Prediction_Confidence"] for r in scored.select("id", "Prediction_Confidence").collect()}
+        assert all(abs(same[r["id"]] - r["Prediction_Confidence"]) < 1e-9 for r in probs), technique
 
 
 def test_iterative_recovers_linear_relation(spark):
@@ -77,7 +128,7 @@ def test_iterative_recovers_linear_relation(spark):
 def test_bakeoff_scores_known_cells(spark):
     rows = [(i, float(i % 10), float((i % 10) * 3), float(i % 5)) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, a double, b double, c double")
-    scores = imputation_bakeoff(df, ["a", "b", "c"], ["id"], sample_size=200)
+    scores = imputation_bakeoff(df, ["a", "b", "c"], ["id"])
     assert [t for t, _ in scores] == ["median", "mean", "knn", "iterative"]
     assert all(m != float("inf") for _, m in scores)
     # b is an exact linear function of a: regression/knn beat the constant fills

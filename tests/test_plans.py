@@ -18,7 +18,7 @@ KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
 def _synth(spark):
     src = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
-    return synthetic_logs(src, KEY, CLASSES_5, null_rate=0.05)
+    return synthetic_logs(src, KEY, CLASSES_5, null_rate=0.05).cache()
 
 
 def test_training_run_end_to_end(spark):
@@ -26,7 +26,7 @@ def test_training_run_end_to_end(spark):
     d = tempfile.mkdtemp(prefix="bf-run-")
     df = _synth(spark)
     opts = RunOptions(rf_grid={"numTrees": [5], "maxDepth": [4]}, gbt_grid={"maxIter": [2], "maxDepth": [3]},
-                      folds=2, key=tuple(KEY), bakeoff_sample=300)
+                      folds=2, key=tuple(KEY), max_samples=1000)
     res = run(spark, df, LogConfig(key=tuple(KEY)), opts, model_dir=f"{d}/models", out_dir=f"{d}/out")
     assert set(res.models) == {"random_forest", "xgboost"}
     assert res.extra["learners"] == {"random_forest": "search", "xgboost": "search"}
@@ -35,7 +35,8 @@ def test_training_run_end_to_end(spark):
     m = {r["model"]: r for r in res.metrics.collect()}
     assert m["random_forest"]["accuracy"] > 0.8
     enh = spark.read.parquet(f"{d}/out/enhanced")
-    assert enh.count() == df.count()
+    assert enh.count() == df.count()  # max_samples bounds the fit, not the outputs
+    assert res.extra["n_train"] <= 1000 and res.extra["fitted"].technique == res.imputation
     assert "ML_Predicted_Lithology" in enh.columns and "Data_Quality_Score" in enh.columns
     assert "Predicted_Lithology" not in enh.columns
     s = res.summary.first()

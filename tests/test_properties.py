@@ -61,8 +61,17 @@ def test_issue_count_matches_flags(spark):
 def test_sample_sizes(spark):
     df = wells(spark, SF_SMALL)
     n = df.count()
-    smp = I.stratified_sample(df, TARGET, KEY, max_samples=1000, trigger_rows=1000)
+    smp = I.stratified_sample(df, TARGET, KEY, max_samples=1000)
     counts = I.class_counts(df, TARGET)
     got = I.class_counts(smp, TARGET)
     for g, c in counts.items():
         assert got[g] == min(c, max(1, (1000 * c) // n))
+
+
+def test_quotas_are_exact_on_repeated_keys(spark):
+    df = spark.createDataFrame([(i % 7, i, "AB"[i % 2]) for i in range(1000)], "k int, v int, y string")
+    for keys in (["k"], ["y"]):
+        sp = I.stratified_split(df, "y", keys, 0.2)
+        assert {r[0]: r[1] for r in sp.where("is_test").groupBy("y").count().collect()} == {"A": 100, "B": 100}
+        fo = I.stratified_folds(df, "y", keys, k=5)
+        assert {r[2] for r in fo.groupBy("y", "fold").count().collect()} == {100}
