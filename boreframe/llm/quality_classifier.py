@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from boreframe.llm.common import cut, let, words_of
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_SPACES = " \t\n\x0b\x0c\r"
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: a rule: ((statistic, is below or equal, threshold), ...)
 Rule = tuple[tuple[str, bool, float], ...]
@@ -30,32 +29,33 @@ Rule = tuple[tuple[str, bool, float], ...]
 def statistics(text: Column) -> Column:
     """Struct of the statistics of a text (null: as empty)."""
     t = F.coalesce(text, F.lit(""))
+    rest = F.translate(t, _LOWER + " ", "")  # what the shares below count is in the few characters left
 
-    def share(chars: str, chars_n: Column) -> Column:
-        return (F.length(t) - F.length(F.translate(t, chars, ""))) / chars_n
-
-    def of(w: Column) -> Column:
+    def of(w: Column, r: Column) -> Column:
         n_chars = F.greatest(F.length(t), F.lit(1))
         n = F.greatest(F.size(w), F.lit(1))
+
+        def share(chars: str) -> Column:
+            return (F.length(r) - F.length(F.translate(r, chars, ""))) / n_chars
+
         return F.struct(
             F.log1p(F.size(w)).alias("log_words"),
-            (F.length(F.translate(t, _SPACES, "")) / n).alias("word_length"),
-            share("#*$%&|<>", n_chars).alias("symbols"),
-            share("!", n_chars).alias("exclaims"),
-            share(_UPPER, n_chars).alias("upper"),
-            share("0123456789", n_chars).alias("digits"),
-            share(".", n_chars).alias("stops"),
-            share(",;:", n_chars).alias("commas"),
-            share("\n", n_chars).alias("breaks"),
+            (F.length(F.array_join(w, "")) / n).alias("word_length"),
+            share("#*$%&|<>").alias("symbols"),
+            share("!").alias("exclaims"),
+            share(_LOWER.upper()).alias("upper"),
+            share("0123456789").alias("digits"),
+            share(".").alias("stops"),
+            share(",;:").alias("commas"),
+            share("\n").alias("breaks"),
             (F.size(F.array_distinct(w)) / n).alias("distinct_words"),
             (F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))) / n).alias("echoes"),
             (F.size(F.filter(w, lambda x, i: x == F.get(w, i - 2))) / n).alias("echoes2"),
-            (F.size(F.filter(w, lambda x: F.length(x) == 1)) / n).alias("single"),
-            let(F.filter(F.split(t, "\n"), lambda x: F.translate(x, _SPACES, "") != ""),
+            let(F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))),
                 lambda s: F.size(F.array_distinct(s)) / F.greatest(F.size(s), F.lit(1))).alias("distinct_lines"),
         )
 
-    return let(words_of(text), of)
+    return let(F.struct(words_of(text).alias("w"), rest.alias("r")), lambda x: of(x["w"], x["r"]))
 
 
 def tree_rules(tree) -> list[Rule]:  # noqa: ANN001
@@ -77,7 +77,7 @@ def tree_rules(tree) -> list[Rule]:  # noqa: ANN001
 
 
 STATISTICS = ["log_words", "word_length", "symbols", "exclaims", "upper", "digits", "stops", "commas",
-              "breaks", "distinct_words", "echoes", "echoes2", "single", "distinct_lines"]
+              "breaks", "distinct_words", "echoes", "echoes2", "distinct_lines"]
 
 
 def holds(rule: Rule, stats: str) -> Column:
@@ -107,9 +107,13 @@ def fit_rules(rows: DataFrame, stats: str, label: str, trees: int = 30, depth: i
     rules = sorted({r for t in forest.trees for r in tree_rules(t)})
     if not rules:
         return math.log((ones + 1) / (zeros + 1)), []
-    truth = array_to_vector(F.array(*[holds(r, stats).cast("double") for r in rules]))
-    model = LogisticRegression(featuresCol="x", labelCol=label, elasticNetParam=1.0, regParam=lasso, maxIter=100).fit(
-        rows.select(truth.alias("x"), F.col(label).cast("double").alias(label)))
+    # rows on which the same rules hold are one weighted row: a few hundred in all
+    truth = F.array(*[holds(r, stats).cast("double") for r in rules])
+    cases = (rows.select(truth.alias("truth"), F.col(label).cast("double").alias(label))
+             .groupBy("truth", label).agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    model = LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight", elasticNetParam=1.0,
+                               regParam=lasso, maxIter=60, tol=1e-5).fit(
+        cut(cases.select(array_to_vector("truth").alias("x"), label, "weight").coalesce(1)))
     weights = model.coefficients.toArray()
     return float(model.intercept), [(r, float(w)) for r, w in zip(rules, weights) if w]
 
