@@ -75,3 +75,11 @@ def test_quotas_are_exact_on_repeated_keys(spark):
         assert {r[0]: r[1] for r in sp.where("is_test").groupBy("y").count().collect()} == {"A": 100, "B": 100}
         fo = I.stratified_folds(df, "y", keys, k=5)
         assert {r[2] for r in fo.groupBy("y", "fold").count().collect()} == {100}
+
+
+def test_narrowing_keeps_every_value(spark):
+    df = spark.createDataFrame([(1, 300, 70_000, 5_000_000_000, 0.5), (-7, -300, -70_000, 1, None)],
+                               "a long, b long, c long, d long, e double")
+    out = I.apply_narrowing(df, I.narrowing_plan(df).collect())
+    assert [t for _, t in out.dtypes] == ["tinyint", "smallint", "int", "bigint", "double"]
+    assert [tuple(r) for r in out.collect()] == [tuple(r) for r in df.collect()]
