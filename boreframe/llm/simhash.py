@@ -159,7 +159,7 @@ def link_shard(fps: np.ndarray, home: np.ndarray, link: int, block: int = 96) ->
 
 def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       shingle: int = 3, max_bits: int = 3, sample: int = 4096,
-                      shard: int = 4096) -> DataFrame:
+                      shard: int = 8192) -> DataFrame:
     """One row per document: ``id_col``, ``fingerprint`` (16 hex digits) and
     ``component_id``, the smallest id reachable over links of at most
     ``max_bits`` differing bits.
@@ -169,7 +169,9 @@ def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     and equal texts share a class.  A null id takes part through the other ids
     of its class; with none its component is null.  Empty table: no rows.
     ``sample`` bounds the fingerprints the top tree is fitted on (no more than
-    an eighth of all); every fingerprint is indexed.
+    an eighth of all); every fingerprint is indexed.  ``shard`` is the size a
+    shard aims at: every level of the top tree ships about half of the
+    fingerprints to a second shard, while the levels inside a shard ship none.
     """
     docs_fp = cut(fingerprints(docs, id_col, text_col, shingle))
     classes = cut(docs_fp.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"))
