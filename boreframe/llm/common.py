@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +43,6 @@ def sized(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def min_partitions(df: DataFrame) -> int:
-    return max(1, df.sparkSession.sparkContext.defaultParallelism)
-
-
 def with_units(docs: DataFrame, id_col: str, text_col: str, unit_chars: int,
                min_units: int = 48) -> tuple[DataFrame, int, int]:
     """``(id, text, unit)`` with documents cut into ranges of the id holding
@@ -66,8 +63,7 @@ def with_units(docs: DataFrame, id_col: str, text_col: str, unit_chars: int,
     def unit(ids):  # noqa: ANN001
         known = ids.notna().to_numpy()
         v = ids.fillna(0).astype("int64").to_numpy()
-        return __import__("pandas").Series(
-            np.where(known, np.searchsorted(bounds, v, side="right"), 0).astype("int32"))
+        return pd.Series(np.where(known, np.searchsorted(bounds, v, side="right"), 0).astype("int32"))
 
     return d.withColumn("unit", unit("id")), n, total
 
