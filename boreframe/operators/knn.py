@@ -8,9 +8,10 @@ the result does not depend on any row order.
 Only the curve values matter, so receivers are distinct value tuples, and a
 donor tuple counts at most ``k`` times.  Donors with the same present curves
 form a pattern; a k-d tree per pattern, cut on a bounded sample, deals its
-donors into cells.  A receiver first meets one cell, which gives an upper
-bound for its k-th distance, and then every cell whose box may hold a nearer
-donor; the k best of each cell merge per receiver.  Cells and their receivers
+donors into cells.  For each missing curve a receiver first meets one cell of
+donors that have it, which gives an upper bound for its k-th distance, and then
+every cell with that curve whose box may hold a nearer donor; the k best of
+each cell merge per receiver.  Cells and their receivers
 are split into blocks, so neither a hot cell nor a common value meets in one
 task.
 """
@@ -34,6 +35,7 @@ class _Cells:
     pattern (present curves as bits) of each."""
 
     def __init__(self, counts: dict[int, int], samples: dict[int, np.ndarray], width: int):
+        self.counts = counts
         self.pattern, self.low, self.high, self.trees = [], [], [], {}
         total = max(1, sum(counts.values()))
         for p, n in sorted(counts.items()):
@@ -77,6 +79,19 @@ class _Cells:
             todo += [(a, ix[~right]), (b, ix[right])]
         return out
 
+    def guides(self, have: int, width: int) -> dict[int, int]:
+        """For a row with the curves ``have``: the patterns that bound its
+        search, each with the missing curves (as bits) it bounds.  A curve goes
+        to the complete pattern, else to the most frequent one that has it,
+        among those that share a curve with the row."""
+        out: dict[int, int] = {}
+        for j in range(width):
+            able = [p for p in self.counts if p >> j & 1 and p & have]
+            if able and not have >> j & 1:
+                p = max(able, key=lambda q: (q == (1 << width) - 1, self.counts[q], q))
+                out[p] = out.get(p, 0) | 1 << j
+        return out
+
     def bounds(self, x: np.ndarray) -> np.ndarray:
         """Least scaled squared distance of one row to a donor of each cell
         (infinite if no curve is present in both)."""
@@ -132,7 +147,6 @@ def knn_impute(df: DataFrame, features, k: int = 5, donors: DataFrame | None = N
     src = (tuples(donors if donors is not None else df).groupBy(*feats).count()
            .withColumn("pattern", bits).where("pattern > 0").withColumn("copies", F.least("count", F.lit(k))))
     src = src.drop("count").checkpoint()
-    full = (1 << width) - 1
     need = tuples(df).where(" or ".join(f"{f} is null" for f in feats)).distinct().checkpoint()
     means = src_means(donors if donors is not None else df, names)
     counts = {r[0]: r[1] for r in src.groupBy("pattern").count().collect()}  # at most 2^curves rows
@@ -160,30 +174,42 @@ def knn_impute(df: DataFrame, features, k: int = 5, donors: DataFrame | None = N
     placed = src.mapInArrow(place, f"{fields}, pattern int, copies long, cell int").checkpoint()
     sizes = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}  # at most MAX_CELLS + patterns rows
     blocks = np.array([-(-sizes.get(i, 0) // BLOCK) for i in range(len(cells.pattern))], np.int64)
-    main = max(counts, key=lambda p: (p == full, counts[p]))
     cell_blocks = F.element_at(F.array(*[F.lit(max(1, int(b))) for b in blocks]), F.col("cell") + 1)
     dealt = placed.withColumn("block", F.pmod(F.xxhash64(*feats), cell_blocks).cast("int"))
 
     def send(bounded: bool):  # noqa: ANN202
+        """Rows ``(curves, want, cell, block)``; ``want`` has the missing
+        curves, as bits, that the row is sent for."""
         def run(batches):  # noqa: ANN001
             for b in batches:
                 t = pa.Table.from_batches([b])
                 x = _matrix(t, feats)
-                limit = t["bound"].to_numpy() if bounded else None
-                row, cell, block = [], [], []
+                row, want, cell, block = [], [], [], []
                 if not bounded:
-                    row, cell, block = [np.arange(len(x))], [cells.home(main, x)], [np.zeros(len(x), np.int32)]
+                    have = (~np.isnan(x) << np.arange(width)).sum(1)
+                    for h in np.unique(have):
+                        at = np.flatnonzero(have == h)
+                        for p, curves in cells.guides(int(h), width).items():
+                            row.append(at)
+                            want.append(np.full(len(at), curves))
+                            cell.append(cells.home(p, x[at]))
+                            block.append(np.zeros(len(at), int))
                 else:
+                    limit, curves = t["bound"].to_numpy(), t["want"].to_numpy()
                     for i in range(len(x)):
-                        near = np.flatnonzero((cells.bounds(x[i]) <= limit[i]) & (blocks > 0))
+                        least = cells.bounds(x[i])
+                        near = np.flatnonzero((least <= limit[i]) & np.isfinite(least) & (blocks > 0)
+                                              & (cells.pattern & curves[i] > 0))
                         each = np.repeat(near, blocks[near])
                         row.append(np.full(len(each), i))
+                        want.append(np.full(len(each), curves[i]))
                         cell.append(each)
                         block.append(np.concatenate([np.arange(blocks[c]) for c in near]) if len(near) else near)
-                row = np.concatenate(row) if row else np.empty(0, int)
+                row, *rest = [np.concatenate(v).astype(int) if v else np.empty(0, int) for v in (row, want, cell, block)]
                 t = t.select(feats).take(pa.array(row))
-                yield from t.append_column("cell", pa.array(np.concatenate(cell).astype(np.int32) if len(row) else [], pa.int32())) \
-                    .append_column("block", pa.array(np.concatenate(block).astype(np.int32) if len(row) else [], pa.int32())).to_batches()
+                for name, v in zip(("want", "cell", "block"), rest):
+                    t = t.append_column(name, pa.array(v, pa.int32()))
+                yield from t.to_batches()
         return run
 
     def spread(receivers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -210,16 +236,17 @@ def knn_impute(df: DataFrame, features, k: int = 5, donors: DataFrame | None = N
         for at, x, y, _, kth in nearest(r, d):
             if len(y) >= k:
                 out[at:at + len(x)] = kth
-        return r.select(feats).append_column("bound", pa.array(out))
+        return r.select([*feats, "want"]).append_column("bound", pa.array(out))
 
     def best(r: pa.Table, d: pa.Table) -> pa.Table:
         rows, curve, dist, value = [], [], [], []
+        want = r["want"].to_numpy()
         for at, x, y, d2, kth in nearest(r, d):
             for i in range(len(x)):
                 if not np.isfinite(kth[i]):
                     continue
                 near = np.flatnonzero(d2[i] <= kth[i])
-                for j in np.flatnonzero(np.isnan(x[i]) & ~np.isnan(y[0])):
+                for j in np.flatnonzero(~np.isnan(y[0]) & (want[at + i] >> np.arange(width) & 1 > 0)):
                     v = y[near, j]
                     order = np.lexsort((v, d2[i, near]))[:k]
                     rows += [at + i] * len(order)
@@ -229,9 +256,9 @@ def knn_impute(df: DataFrame, features, k: int = 5, donors: DataFrame | None = N
         return (r.select(feats).take(pa.array(rows, pa.int64())).append_column("j", pa.array(curve, pa.int32()))
                 .append_column("d2", pa.array(dist, pa.float64())).append_column("v", pa.array(value, pa.float64())))
 
-    place_schema = f"{fields}, cell int, block int"
+    place_schema = f"{fields}, want int, cell int, block int"
     r, d = spread(need.mapInArrow(send(False), place_schema))
-    bounds = (r.groupBy(*keys).cogroup(d.where(F.col("block") == 0).groupBy(*keys)).applyInArrow(bound, f"{fields}, bound double")
+    bounds = (r.groupBy(*keys).cogroup(d.where(F.col("block") == 0).groupBy(*keys)).applyInArrow(bound, f"{fields}, want int, bound double")
               .checkpoint())
     r, d = spread(bounds.mapInArrow(send(True), place_schema).checkpoint())
     found = r.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInArrow(best, f"{fields}, j int, d2 double, v double")

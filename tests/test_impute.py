@@ -87,6 +87,26 @@ def test_knn_cells_ties_and_blocks(spark, monkeypatch):
             assert abs(got[r[0]][j] - sum(v for _, v in near) / len(near)) < 1e-6
 
 
+def test_knn_without_a_complete_row(spark, monkeypatch):
+    """No row has every curve, and the most frequent pattern lacks one."""
+    from boreframe.operators import knn
+    monkeypatch.setattr(knn, "CELL", 8)
+    rnd = random.Random(9)
+    rows = []
+    for i in range(300):  # c and d are never logged together
+        v = [rnd.uniform(0, 10), rnd.uniform(0, 10), rnd.uniform(0, 10), rnd.uniform(0, 10)]
+        v[3 if i % 5 else 2] = None
+        if i % 7 == 0:
+            v[i % 2] = None
+        rows.append((i, *v))
+    rows += [(900, None, None, 1.0, None), (901, None, None, None, 1.0), (902, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double")
+    got = {r["id"]: list(r)[1:] for r in knn.knn_impute(df, ["a", "b", "c", "d"], k=4).collect()}
+    exp = _brute_knn(rows, 4)
+    assert len(got) == len(rows)
+    assert all(abs(g - e) < 1e-9 for i in exp for g, e in zip(got[i], exp[i]))
+
+
 def test_each_technique_is_carried_to_new_rows(spark):
     """What is saved fills new rows as the technique filled the training rows."""
     from boreframe.operators import train as T
