@@ -45,6 +45,13 @@ MORE_RULES = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 ]
 RULE_VERSION = "1"
+#: what ends a key block, and inside one that lacks its END line the first
+#: thing that is not key text: a blank line, or a word that is neither a long
+#: base64 run, nor a padded one, nor base64 alone on its line
+_PEM_MARK = r"-----(?:BEGIN |END [A-Z ]*PRIVATE KEY-----)"
+_PEM_LEAD = r"^[ \t\r]*(?:\n[ \t]*(?:Proc-Type|DEK-Info):[^\n]*){1,8}\n(?:[ \t\r]*\n)?"
+_PEM_STOP = (r"\n[ \t\r]*\n|(?<!\S)(?![A-Za-z0-9+/]{24,}={0,2}(?!\S)|[A-Za-z0-9+/]*={1,2}(?!\S)"
+             r"|(?<=(?:\A|\n)[ \t]{0,64})[A-Za-z0-9+/]+[ \t\r]*(?:\n|\z))\S")
 _BLOCK = 256
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
@@ -143,10 +150,37 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str =
     return findings(d, full, id_col, text_col, rule_version), full
 
 
+def _pem_rest(rest: Column) -> Column:
+    """Length of the key block whose BEGIN line ends where ``rest`` starts:
+    through its END line, or without one the base64 lines that follow.  Line
+    breaks may be escaped; quotes and comment marks count as blanks."""
+    mark = F.regexp_extract(rest, _PEM_MARK, 0)
+    body = F.split(rest, _PEM_MARK, 2)[0]
+
+    def lines(b: Column) -> Column:
+        plain = F.translate(F.regexp_replace(b, r"\\[nr]", " \n"), "\"'#>*|,;", " " * 8)
+        lead = F.regexp_extract(plain, _PEM_LEAD, 0)
+        key = F.split(F.substring(plain, F.length(lead) + 1, F.length(plain)), _PEM_STOP, 2)[0]
+        return F.length(F.regexp_replace(F.concat(lead, key), r"\s+\z", ""))
+
+    return let(F.struct(mark.alias("mark"), body.alias("body")), lambda x: F.when(
+        F.startswith(x["mark"], F.lit("-----END")), F.length(x["body"]) + F.length(x["mark"])).otherwise(let(x["body"], lines)))
+
+
+def whole_blocks(text: Column, spans: Column) -> Column:
+    """``spans`` with those of kind pem, which the rule ends with the BEGIN
+    line, stretched over the key block."""
+    def stretch(s: Column) -> Column:
+        rest = F.substring(text, s["end"] + 1, F.length(text))
+        return s.withField("end", F.when(s["kind"] == "pem", s["end"] + let(rest, _pem_rest)).otherwise(s["end"]))
+    return F.transform(spans, stretch)
+
+
 def redact(docs: DataFrame, ledger: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
            rule_version: str = RULE_VERSION, broadcast_rows: int = 100_000) -> DataFrame:
     """``docs`` with every found span of ``text_col`` replaced by ``mark``
-    (overlapping spans by one); other columns unchanged."""
+    (overlapping spans by one, a private key as its whole block); other columns
+    unchanged."""
     held = sized(cut(ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(
         F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))), broadcast_rows)
     text = F.col(text_col)
@@ -160,4 +194,4 @@ def redact(docs: DataFrame, ledger: DataFrame, text_col: str = "text", mark: str
 
     joined = docs.withColumn("__blob", _blob(text)).join(held, "__blob", "left")
     return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(
-        fill(F.col("__spans")))).select(*docs.columns)
+        let(whole_blocks(text, F.col("__spans")), fill))).select(*docs.columns)

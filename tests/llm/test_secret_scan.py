@@ -67,6 +67,35 @@ def test_redact_replaces_spans_and_keeps_the_rest(spark):
     assert got[0].text is None and got[0].blob == "c"
 
 
+def test_redact_leaves_nothing_of_a_private_key(spark):
+    body = ["MIIEowIBAAKCAQEAx0Yq+/" + f"{i:02d}" + "Zz09" * 10 for i in range(30)] + ["q7Hk"]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    texts = {
+        "é a\n{}\nz": "\n".join([head, *body, end]),
+        "a\r\n{}\r\nz": "\r\n".join([head, *body, end]),
+        "k = '{}' z": "\\n".join([head, *body, end]),
+        "flat {} z": " ".join([head, *body, end]),
+        "old\n{}\nz": "\n".join([head, info + "\n".join(body), end]),
+        "cut\n{}\n\nThe next one is prose.": "\n".join([head, *body]),
+        "cut\n{}\nThe next one is prose.": "\n".join([head, *body]),
+        "crlf\n{}\r\nThe next one is prose.": "\r\n".join([head, *body]),
+        "in\n  {}\nThe next one is prose.": "\n  ".join([head, *body]),
+        "gone\n{}": "\n".join([head, *body]),
+        "lead\n{}\n\nz y": "\n".join([head, info + "\n".join(body)]),
+        "alone {} is prose": head,
+    }
+    texts = {k.format(v): k.format("[SECRET]") for k, v in texts.items()}
+    twice = "\n".join([head, *body])
+    texts[f"{twice}\n{twice}\n{end}\nz"] = "[SECRET]\n[SECRET]\nz"
+    texts["a " + "\n".join([head, *body * 1500]) + "\n\nz y"] = "a [SECRET]\n\nz y"  # 3 MB without an end
+    texts["a " + "\n".join([head, *body * 1500, end]) + "\nz"] = "a [SECRET]\nz"
+    d = docs(spark, list(texts))
+    _, ledger = S.secret_scan(d)
+    for t, got in zip(texts, sorted(S.redact(d, ledger).collect())):
+        assert got.text == texts[t], t[:40]
+
+
 def test_empty_table_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     found, ledger = S.secret_scan(spark.createDataFrame([], schema))
