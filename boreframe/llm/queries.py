@@ -213,6 +213,25 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(load(spark, sf_dir, "pages"))
 
 
+#: DuckDB: the rows of ``embeddings`` that take part, as exact integers in doubles
+VECTORS_SQL = """
+select row_number() over () as rid, vec_id, label,
+       list_transform(embedding, lambda x: floor(256 * x::double)) as v
+from embeddings
+where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
+
+
+@register("op13_topk_search", f"""
+with e as ({VECTORS_SQL}),
+s as (select q.rid, q.vec_id as query_id, e.vec_id, list_dot_product(q.v, e.v)::bigint as score, e.rid as other
+      from e as q join e on e.rid <> q.rid where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by rid order by score desc, vec_id nulls last, other) as rank from s)
+select query_id, rank::integer as rank, vec_id, score from r where rank <= 5""")
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boreframe.llm.topk_search import top_k
+    return top_k(load(spark, sf_dir, "embeddings"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
