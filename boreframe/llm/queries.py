@@ -232,6 +232,27 @@ def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(load(spark, sf_dir, "embeddings"))
 
 
+@register("op11_hard_negatives", f"""
+with e as (select rid, vec_id, v, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
+           from ({VECTORS_SQL}) where label is not null),
+s as (select a.rid, a.vec_id as anchor_id, a.label as anchor_label, e.vec_id, e.label, e.rid as other,
+             list_dot_product(a.v, e.v)::bigint as score
+      from e as a join e on e.rid <> a.rid where a.vec_id % 100 = 0),
+p as (select rid, anchor_id, vec_id as positive_id, other as positive, score as positive_score,
+             row_number() over (partition by rid order by score desc, vec_id nulls last, other) as r
+      from s where label = anchor_label),
+n as (select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+             row_number() over (partition by p.rid, positive order by s.score desc, s.vec_id nulls last, s.other) as rank
+      from p join s on s.rid = p.rid and s.label <> s.anchor_label
+      where r <= 5 and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score
+from n where rank <= 10""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boreframe.llm.hard_negatives import hard_negatives
+    return hard_negatives(load(spark, sf_dir, "embeddings"),
+                          relabel=lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
