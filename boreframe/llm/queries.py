@@ -232,6 +232,12 @@ def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(load(spark, sf_dir, "embeddings"))
 
 
+@register("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boreframe.llm.token_alignment import align_tokenizers
+    return align_tokenizers(load(spark, sf_dir, "documents"))[0]
+
+
 @register("op11_hard_negatives", f"""
 with e as (select rid, vec_id, v, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
            from ({VECTORS_SQL}) where label is not null),
