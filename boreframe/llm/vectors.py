@@ -5,6 +5,7 @@ A component ``x`` becomes ``floor(256 * x)`` (``x`` as double), kept within
 no part.  Shorter vectors count as padded with zeros (an empty one is all
 zeros).  A row is told from its repetitions by a row number, ``rid``, fixed by
 a checkpoint; a row whose id is null takes part and sorts behind all ids.
+Scores that a long cannot hold are kept at its limits, and rank as equal.
 """
 
 from __future__ import annotations
