@@ -196,7 +196,7 @@ def pair_counts(units: DataFrame, b_size: int) -> DataFrame:
 
 def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      a_vocabulary: str = "byte_bpe_50k.tiktoken", b_vocabulary: str = "piece_bpe_32k.model",
-                     keep_groups: bool = False, unit_chars: int = 8_000_000) -> tuple[DataFrame, DataFrame]:
+                     keep_groups: bool = False, unit_chars: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """``(documents, pairs)``.
 
     Documents, one row for each of ``docs``: ``id_col, n_a, n_b, n_groups,
