@@ -3,9 +3,9 @@
 All of them train on the labelled well-log view with the normalized label,
 split 80/20 per class (exact quotas, hash order), and report on the test
 rows.  Queries that need any fitted model use the reproduced fallback forest
-(50 trees of depth 10).  The searches, ``rf_baseline`` and
-``extra_trees_variant`` run at the full setting; the other larger learners are
-cut so that the check ends.  The README has the settings, cuts and figures.
+(50 trees of depth 10).  The searches, the large forests and ``gbt_softmax`` run
+at the full setting; the one-vs-rest boosting is cut so that the check ends.
+The README has the settings, cuts and figures.
 What SQL can check of a model's output (row keys, supports, probabilities that
 sum to one, the predicted class being the most probable) has oracles; the
 learned numbers themselves do not.
@@ -49,48 +49,58 @@ def rf_baseline(spark, sf_dir):
     feats = ["GR", "RHOB", "NPHI", "DTC", "PEF"]
     df = labelled_normalized(spark, sf_dir).na.drop("any", subset=feats + [LABEL])
     train, test = T.train_test(df, LABEL, KEY, 0.2, seed=42)
-    model = T.fit(train, feats, LABEL, T.random_forest(num_trees=100, max_depth=30))  # unlimited: Spark's cap
+    model = T.fit(train, feats, LABEL, T.forest(num_trees=100, max_depth=30))  # unlimited: 30
     sc = T.score_table(model, test, prob_prefix=None)
     return round_doubles(E.class_report(sc, LABEL, "Predicted_Lithology"))
 
 
-def _balanced(spark, sf_dir, bootstrap: bool, depth: int, trees: int, name: str):
+def _balanced(spark, sf_dir, name: str, **setting):
     train, test = _split(spark, sf_dir)
     weights = {r["label"]: r["weight"] for r in I.class_weights(train, LABEL).collect()}
     train = I.with_weight_column(train, LABEL, weights)
-    model = T.fit(train, FEATS, LABEL, T.random_forest(num_trees=trees, max_depth=depth, subset="sqrt",
-                                                       bootstrap=bootstrap, weight_col="weight"))
-    return round_doubles(_metrics(model, test, name))
+    model = T.fit(train, FEATS, LABEL, T.forest(weight_col="weight", **setting))
+    return _metrics(model, test, name), model.stages[-1]
 
 
 @register("rf_balanced")
 def rf_balanced(spark, sf_dir):
-    """Balanced class weights, sqrt features.  20 trees of depth 12 here: the
-    reproduced 200 of depth 20 (arguments of ``train.random_forest``) do not
-    finish in five minutes on 6,000 rows, see the README."""
-    return _balanced(spark, sf_dir, True, 12, 20, "random_forest")
+    """200 trees of depth 20, balanced class weights, sqrt features, and the
+    accuracy over the training rows by the trees whose bag lacks them."""
+    metrics, model = _balanced(spark, sf_dir, "random_forest", num_trees=200, max_depth=20, oob_score=True)
+    accuracy, rows = model.oob
+    return round_doubles(metrics.withColumns({"oob_score": F.lit(accuracy), "oob_rows": F.lit(rows)}))
 
 
 @register("extra_trees_variant")
 def extra_trees_variant(spark, sf_dir):
-    """T8 (re-aimed): forest without bootstrap, balanced weights; 200
-    trees of depth 25."""
-    return _balanced(spark, sf_dir, False, 25, 200, "extra_trees")
+    """Extremely randomised trees (a drawn threshold per curve), no bootstrap,
+    balanced weights; 200 trees of depth 25."""
+    return round_doubles(_balanced(spark, sf_dir, "extra_trees", num_trees=200, max_depth=25, bootstrap=False,
+                                   random_thresholds=True)[0])
 
 
 @register("rf_grid")
 def rf_grid(spark, sf_dir):
-    """CV over the large forest grid with its folds, stratified, weighted F1."""
+    """All points of the large forest grid with its folds, stratified,
+    weighted F1, by staged evaluation."""
     train, _test = _split(spark, sf_dir)
     grid, folds = T.GRIDS["large"]["random_forest"]
-    model, results = T.grid_search(train, FEATS, LABEL, KEY, T.random_forest(subset="sqrt"), grid, folds=folds)
-    rows = [(int(p["numTrees"]), int(p["maxDepth"]), int(p["minInstancesPerNode"]), s) for p, s in results]
-    return round_doubles(spark.createDataFrame(rows, "numTrees int, maxDepth int, minInstancesPerNode int, avg_f1 double"))
+    model, results = T.grid_search(train, FEATS, LABEL, KEY, T.forest(), grid, folds=folds)
+    names = ["numTrees", "maxDepth", "minSplit", "minInstancesPerNode"]
+    rows = [(*(int(p[n]) for n in names), s) for p, s in results]
+    return round_doubles(spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names) + ", avg_f1 double"))
+
+
+@register("gbt_softmax")
+def gbt_softmax(spark, sf_dir):
+    """Softmax boosting over all classes, 50 rounds of depth 6."""
+    train, test = _split(spark, sf_dir)
+    return round_doubles(_metrics(T.fit(train, FEATS, LABEL, T.boosted()), test, "xgboost"))
 
 
 @register("gbt_ovr")
 def gbt_ovr(spark, sf_dir):
-    """T5 (re-aimed): one-vs-rest boosted trees with normalized probabilities."""
+    """T5, second form: one-vs-rest boosted trees with normalized probabilities."""
     train, test = _split(spark, sf_dir)
     model = T.fit(train, FEATS, LABEL, T.boosted_ovr(max_iter=10, max_depth=4, parallelism=4))  # cut from 50 / 6
     return round_doubles(_metrics(model, test, "xgboost"))
@@ -331,10 +341,11 @@ def complete_training_run(spark, sf_dir):
     """The whole training flow (plans.training_run): profile, annotate,
     bake-off, stratified split, grid searches for both learners with
     fallbacks, evaluation, best pick, enhanced table.  Both searches run on
-    their large grids with their folds."""
+    their large grids with their folds, on a stratified sample of 20,000
+    training rows, the size of the published training run."""
     from ..config import LogConfig
     from .training_run import RunOptions, run
-    opts = RunOptions(grids="large", key=KEY, parallelism=2)
+    opts = RunOptions(grids="large", key=KEY, max_samples=20_000)
     res = run(spark, wells(spark, sf_dir), LogConfig(target="LITH", key=KEY), opts)
     return round_doubles(res.metrics.withColumn("is_best", F.col("model") == F.lit(res.best_model))
                          .withColumn("imputation", F.lit(res.imputation)))
