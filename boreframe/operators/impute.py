@@ -1,12 +1,13 @@
 """Imputation techniques, their fitted form, and the bake-off.
 
 * KNN (I3): ``operators.knn``, exact, as Spark jobs.
-* Iterative (I4): round-robin regression per incomplete column (ascending by
-  missing count) with Spark ML ``LinearRegression`` (small ridge penalty),
-  starting from mean fills, until the largest change is below tolerance or
-  ``max_iter`` rounds.  Each round's table is checkpointed to the shared
-  checkpoint folder so lineage stays short.  Not numerically identical to
-  other Bayesian-ridge implementations.
+* Iterative (I4): rounds of Bayesian ridge regression per incomplete column
+  (ascending by missing count), starting from mean fills, until no imputed cell
+  can change by more than the tolerance or ``max_iter`` rounds.  Whatever the
+  rounds, a missing cell is a linear form of the row's present curves, the same
+  for all rows that miss the same curves; so one aggregate, a Gram matrix per
+  set of missing curves, holds all that the rounds need, and they run on the
+  driver without touching rows.
 * ``Imputer`` (I6) is what a technique has learnt: fill values, regressions in
   the order they were applied, or donors.  ``stages`` are the Spark ML stages
   that apply it to new rows; they are saved with the model.
@@ -20,8 +21,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,52 +37,103 @@ TECHNIQUES = ["median", "mean", "knn", "iterative"]
 # I4 iterative
 # ---------------------------------------------------------------------------
 
-def iterative_impute(df: DataFrame, features, key_cols=None, max_iter: int = 10, tol: float = 1e-3,
-                     reg: float = 1e-6) -> DataFrame:
-    """Round-robin linear-regression imputation (see module doc)."""
-    return fit_iterative(df, features, max_iter, tol, reg)[1]
+def iterative_impute(df: DataFrame, features, key_cols=None, max_iter: int = 10, tol: float = 1e-3) -> DataFrame:
+    """Round-robin regression imputation (see module doc)."""
+    return fit_iterative(df, features, max_iter, tol)[1]
 
 
-def fit_iterative(df: DataFrame, features, max_iter: int = 10, tol: float = 1e-3,
-                  reg: float = 1e-6) -> tuple["Imputer", DataFrame]:
-    """The fitted regressions, and ``df`` imputed by them."""
-    feats = list(features)
-    means = I.fit_mean(df, feats)
-    fitted = Imputer("iterative", {f: means[f] for f in feats})
-    miss = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in feats]).first()
-    order = sorted([f for f in feats if miss[f] > 0 and means[f] is not None], key=lambda f: (miss[f], feats.index(f)))
+def bayesian_ridge(n: float, xx: np.ndarray, xy: np.ndarray, yy: float, max_iter: int = 300,
+                   tol: float = 1e-3) -> np.ndarray:
+    """Coefficients of a Bayesian ridge regression from the centred sums of
+    squares and products: noise and weight precisions start at 1 / var(y) and 1,
+    have Gamma(1e-6, 1e-6) priors, and are re-estimated by evidence maximisation
+    until the coefficients move by less than ``tol`` in all."""
+    prior = 1e-6
+    eig, vec = np.linalg.eigh(xx)
+    eig = np.maximum(eig, 0)
+    turned = vec.T @ xy
+    alpha, lam = 1 / (max(yy, 0) / n + np.finfo(float).eps), 1.0
+
+    def solve() -> np.ndarray:
+        return vec @ (turned / (eig + lam / alpha))
+
+    before = None
+    for _ in range(max_iter):
+        w = solve()
+        rss = max(yy - 2 * w @ xy + w @ xx @ w, 0.0)
+        used = (alpha * eig / (lam + alpha * eig)).sum()
+        lam = (used + 2 * prior) / (w @ w + 2 * prior)
+        alpha = (n - used + 2 * prior) / (rss + 2 * prior)
+        if before is not None and np.abs(before - w).sum() < tol:
+            break
+        before = w
+    return solve()
+
+
+def missing_mask(features) -> F.Column:
+    """Which curves a row misses, as a string of 0 and 1 in the curves' order."""
+    return F.concat(*[F.when(F.col(f"`{f}`").isNull(), "1").otherwise("0") for f in features])
+
+
+def pattern_sums(df: DataFrame, features, centre: dict) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per set of missing curves that occurs: the Gram matrix of (1, curves less
+    their centre, missing ones 0), and the largest absolute value of each."""
+    k = len(features)
+    x = [F.lit(1.0), *[F.coalesce(F.col(f"`{f}`").cast("double") - F.lit(centre[f]), F.lit(0.0)) for f in features]]
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    rows = (df.select(missing_mask(features).alias("mask"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
+            .groupBy("mask").agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs],
+                                 *[F.max(F.abs(F.col(f"x{i}"))) for i in range(k + 1)]).collect())  # a row per set
+    out = {}
+    for r in rows:
+        gram = np.zeros((k + 1, k + 1))
+        for (i, j), v in zip(pairs, r[1:]):
+            gram[i, j] = gram[j, i] = v
+        out[r[0]] = gram, np.array(r[1 + len(pairs):], float)
+    return out
+
+
+def fit_iterative(df: DataFrame, features, max_iter: int = 10, tol: float = 1e-3) -> tuple["Imputer", DataFrame]:
+    """The fitted regressions, and ``df`` imputed by them; two scans."""
+    means = I.fit_mean(df, features)
+    feats = [f for f in features if means[f] is not None]
+    fitted = Imputer("iterative", means)
+    sums = pattern_sums(df, feats, means) if feats else {}
+    masks = sorted(sums)
+    missing = np.array([[c == "1" for c in m] for m in masks]).reshape(len(masks), len(feats))
+    gram = np.array([sums[m][0] for m in masks]).reshape(len(masks), len(feats) + 1, len(feats) + 1)
+    peak = np.array([sums[m][1] for m in masks])
+    counts = gram[:, 0, 0]
+    n_missing = counts @ missing if len(masks) else np.zeros(len(feats))
+    order = sorted(np.flatnonzero(n_missing), key=lambda f: (n_missing[f], f))
+    fitted.masks = [m for _, m in sorted(zip(-counts, masks)) if "1" in m]
+    fitted.mask_curves = feats
     if not order:
         return fitted, df
-    scale = df.agg(F.greatest(*[F.max(F.abs(F.col(f))) for f in feats], F.lit(0.0))).first()[0] or 1.0
-    cur = df.withColumns({f"__m_{f}": F.col(f).isNull() for f in order})
-    cur = cur.withColumns({f: F.coalesce(F.col(f), F.lit(means[f])) for f in feats if means[f] is not None})
+    centre = np.array([means[f] for f in feats])
+    scale = max(float((peak[:, 1:] + np.abs(centre)).max()), 1e-300)
+    # forms: per set of missing curves, each value as a combination of (1, present curves)
+    forms = np.repeat(np.eye(len(feats) + 1)[None], len(masks), 0)
+    for f in range(len(feats)):
+        forms[missing[:, f], f + 1] = 0.0
     for _ in range(max_iter):
-        cur = cur.withColumns({f"__p_{f}": F.col(f) for f in order})
+        before = forms.copy()
         for f in order:
-            others = [g for g in feats if g != f and means[g] is not None]
-            va = VectorAssembler(inputCols=others, outputCol="__x", handleInvalid="keep")
-            train = va.transform(cur.where(~F.col(f"__m_{f}")))
-            lr = LinearRegression(featuresCol="__x", labelCol=f, regParam=reg, elasticNetParam=0.0,
-                                  solver="normal", standardization=True)
-            model = lr.fit(train)
-            step = (f, float(model.intercept), dict(zip(others, map(float, model.coefficients.toArray()))))
-            fitted.steps.append(step)
-            pred = F.expr(_step_sql(step))
-            cur = cur.withColumn(f, F.when(F.col(f"__m_{f}"), pred).otherwise(F.col(f)))
-        ensure_checkpoint_dir(df.sparkSession)
-        cur = cur.checkpoint(eager=True)
-        # largest change of any imputed cell in this round (same lineage, no join)
-        diffs = [F.max(F.abs(F.col(f) - F.col(f"__p_{f}"))) for f in order]
-        change = cur.agg(F.greatest(*diffs, F.lit(0.0))).first()[0] or 0.0
-        cur = cur.drop(*[f"__p_{f}" for f in order])
+            has = ~missing[:, f]
+            g = np.einsum("pij,pjk,plk->il", forms[has], gram[has], forms[has])
+            n, at = g[0, 0], [0, *[i + 1 for i in range(len(feats)) if i != f]]
+            mean = g[0] / n
+            c = g - n * np.outer(mean, mean)
+            w = bayesian_ridge(n, c[np.ix_(at[1:], at[1:])], c[at[1:], f + 1], c[f + 1, f + 1])
+            row = np.r_[mean[f + 1] - w @ mean[at[1:]], w]
+            forms[~has, f + 1] = np.einsum("i,pij->pj", row, forms[~has][:, at])
+            others = [i - 1 for i in at[1:]]
+            fitted.steps.append((feats[f], float(row[0] + centre[f] - w @ centre[others]),
+                                 {feats[i]: float(v) for i, v in zip(others, w)}))
+        change = (np.abs(forms - before) * peak[:, None, :]).sum(-1).max()  # a bound over all rows
         if change < tol * scale:
             break
-    return fitted, cur.drop(*[f"__m_{f}" for f in order])
-
-
-def _step_sql(step) -> str:  # noqa: ANN001
-    _, intercept, coefficients = step
-    return " + ".join([f"{intercept!r}D", *[f"{c!r}D * `{g}`" for g, c in coefficients.items()]])
+    return fitted, apply_imputer(df, features, fitted)
 
 
 # ---------------------------------------------------------------------------
@@ -97,6 +149,9 @@ class Imputer:
     steps: list = field(default_factory=list)
     donors: DataFrame | None = None
     k: int = 5
+    masks: list = field(default_factory=list)        # sets of missing curves, the most frequent first
+    mask_curves: list = field(default_factory=list)  # whose 0 and 1 they hold
+    known_masks: int = 1000
 
     def before(self, df: DataFrame, features) -> DataFrame:
         """What has to run ahead of the saved stages: the donor search of KNN."""
@@ -109,32 +164,52 @@ class Imputer:
 
         The regressions are linear, so for each set of missing curves all
         their rounds together are one linear form of the curves that are
-        there; the stage picks the form by the set.
+        there.  The forms of the ``known_masks`` most frequent sets of the
+        fitted table are looked up by the set; a row that misses another set
+        of curves goes through the rounds, one regression after the other.
         """
         feats = list(features)
 
+        def raw(f):  # noqa: ANN001, ANN202
+            return f"CAST(`{f}` AS DOUBLE)"
+
         def start(f):  # noqa: ANN001, ANN202
-            raw = f"CAST(`{f}` AS DOUBLE)"
-            return f"coalesce({raw}, {float(self.fills[f])!r}D)" if self.fills.get(f) is not None else raw
+            return f"coalesce({raw(f)}, {float(self.fills[f])!r}D)" if self.fills.get(f) is not None else raw(f)
         if not self.steps:
             return [SQLTransformer(statement="SELECT *, " + ", ".join(
                 f"{start(f)} AS `{out(f)}`" for f in feats) + " FROM __THIS__")]
-        learnt = [f for f in feats if f in {s[0] for s in self.steps}]
-        at = out("missing")
-        bits = " + ".join(f"CASE WHEN `{f}` IS NULL THEN {1 << i} ELSE 0 END" for i, f in enumerate(learnt))
+        curves = [f for f in self.mask_curves if f in feats]
+        place = {f: i for i, f in enumerate(curves)}
+        learnt = {s[0] for s in self.steps}
+        mask, values, all_ = out("mask"), out("values"), out("all")
+
+        def numbers(x) -> str:  # noqa: ANN001
+            return f"array({', '.join(f'{float(v)!r}D' for v in x)})"
+
+        forms: dict[str, list] = {f: [] for f in learnt}
+        for m in self.masks[:self.known_masks]:
+            gone = {f for f, c in zip(self.mask_curves, m) if c == "1"}
+            for f, (const, coef) in self._form(gone).items():
+                if f in forms and f in gone:
+                    forms[f].append(f"'{m}', {numbers([const, *[coef.get(g, 0.0) for g in curves]])}")
+        bits = ", ".join(f"CASE WHEN `{f}` IS NULL THEN '1' ELSE '0' END" for f in curves)
+        steps = ", ".join(f"named_struct('at', {place[f]}, 'const', {const!r}D, 'w', {numbers([w.get(g, 0.0) for g in curves])})"
+                          for f, const, w in self.steps)
+        dot = "aggregate(zip_with({a}, {b}, (p, q) -> p * q), 0D, (s, p) -> s + p)"
+        walk = (f"aggregate(array({steps}), slice(`{values}`, 2, {len(curves)}), (v, s) -> transform(v, (x, i) -> "
+                f"CASE WHEN i = s.at AND substring(`{mask}`, i + 1, 1) = '1' THEN s.const + {dot.format(a='s.w', b='v')} ELSE x END))")
+        known = " OR ".join([f"`{mask}` IN ({', '.join(repr(m) for m in self.masks[:self.known_masks])})"] if self.masks else ["false"])
         cols = []
         for f in feats:
             if f not in learnt:
                 cols.append(f"{start(f)} AS `{out(f)}`")
                 continue
-            cases = []
-            for missing in range(1, 1 << len(learnt)):
-                if missing >> learnt.index(f) & 1:
-                    const, coef = self._form({g for i, g in enumerate(learnt) if missing >> i & 1})[f]
-                    cases.append(f"WHEN {missing} THEN " + " + ".join(
-                        [f"{const!r}D", *[f"{c!r}D * ({start(g)})" for g, c in coef.items()]]))
-            cols.append(f"CASE `{at}` {' '.join(cases)} ELSE CAST(`{f}` AS DOUBLE) END AS `{out(f)}`")
-        return [SQLTransformer(statement=f"SELECT *, {bits} AS `{at}` FROM __THIS__"),
+            late = f"`{all_}`[{place[f]}]"
+            form = f"map({', '.join(forms[f])})" if forms[f] else None
+            direct = dot.format(a=f"try_element_at({form}, `{mask}`)", b=f"`{values}`") if form else late
+            cols.append(f"CASE WHEN `{f}` IS NOT NULL THEN {raw(f)} WHEN `{all_}` IS NULL THEN {direct} ELSE {late} END AS `{out(f)}`")
+        return [SQLTransformer(statement=f"SELECT *, concat({bits}) AS `{mask}`, array(1D, {', '.join(map(start, curves))}) AS `{values}` FROM __THIS__"),
+                SQLTransformer(statement=f"SELECT *, CASE WHEN instr(`{mask}`, '1') = 0 OR {known} THEN NULL ELSE {walk} END AS `{all_}` FROM __THIS__"),
                 SQLTransformer(statement=f"SELECT *, {', '.join(cols)} FROM __THIS__")]
 
     def _form(self, missing: set) -> dict:
@@ -238,4 +313,4 @@ def apply_imputer(df: DataFrame, features, fitted: Imputer) -> DataFrame:
     for stage in fitted.stages(features, lambda f: f"__imp_{f}"):
         out = stage.transform(out)
     return out.withColumns({f: F.col(f"__imp_{f}") for f in features}).drop(
-        "__imp_missing", *[f"__imp_{f}" for f in features])
+        "__imp_mask", "__imp_values", "__imp_all", *[f"__imp_{f}" for f in features])

@@ -153,3 +153,86 @@ def test_bakeoff_scores_known_cells(spark):
     assert all(m != float("inf") for _, m in scores)
     # b is an exact linear function of a: regression/knn beat the constant fills
     assert best_technique(scores) in ("iterative", "knn")
+
+
+def _plain_iterative(x, rounds):
+    """Rounds over rows: mean fills, then a Bayesian ridge per incomplete curve on
+    centred rows."""
+    import numpy as np
+    gone = np.isnan(x)
+    z = np.where(gone, np.nanmean(x, 0), x)
+    order = sorted(np.flatnonzero(gone.any(0)), key=lambda f: (gone[:, f].sum(), f))
+    for _ in range(rounds):
+        for f in order:
+            others = [g for g in range(x.shape[1]) if g != f]
+            a, y = z[~gone[:, f]][:, others], z[~gone[:, f], f]
+            ma, my = a.mean(0), y.mean()
+            u, s, vt = np.linalg.svd(a - ma, full_matrices=False)
+            alpha, lam, before = 1 / (y.var() + np.finfo(float).eps), 1.0, None
+            for _ in range(300):
+                w = vt.T @ ((s / (s ** 2 + lam / alpha)) * (u.T @ (y - my)))
+                rss = ((y - my - (a - ma) @ w) ** 2).sum()
+                used = (alpha * s ** 2 / (lam + alpha * s ** 2)).sum()
+                lam, alpha = (used + 2e-6) / (w @ w + 2e-6), (len(y) - used + 2e-6) / (rss + 2e-6)
+                if before is not None and np.abs(before - w).sum() < 1e-3:
+                    break
+                before = w
+            w = vt.T @ ((s / (s ** 2 + lam / alpha)) * (u.T @ (y - my)))
+            z[gone[:, f], f] = my + (z[gone[:, f]][:, others] - ma) @ w
+    return z
+
+
+def test_iterative_equals_row_wise_bayesian_ridge(spark):
+    import numpy as np
+    from boreframe.operators.impute import fit_iterative
+    g = np.random.default_rng(4)
+    base = g.normal(0, 1, (300, 2))
+    x = np.c_[base, base @ [2.0, -1.0] + g.normal(0, 0.3, 300), 50 + 10 * base[:, 0] + g.normal(0, 2, 300), g.uniform(0, 5, 300)]
+    x[g.random(x.shape) < 0.12] = np.nan
+    names = list("abcde")
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)],
+                               "id int, " + ", ".join(f"{n} double" for n in names))
+    for rounds in (1, 3):
+        fitted, filled = fit_iterative(df, names, max_iter=rounds, tol=0.0)
+        got = np.array([list(r)[1:] for r in filled.orderBy("id").collect()])
+        assert np.allclose(got, _plain_iterative(x, rounds), rtol=1e-7, atol=1e-7)
+        assert len(fitted.steps) == rounds * 5
+    # the rounds walked through give what the looked-up forms give
+    from boreframe.operators.impute import apply_imputer
+    fitted.known_masks = 2
+    again = np.array([list(r)[1:] for r in apply_imputer(df, names, fitted).orderBy("id").collect()])
+    assert np.allclose(again, got, rtol=1e-9)
+    # it stops once nothing can change by more than the tolerance
+    few, _ = fit_iterative(df, names, max_iter=50, tol=1e-3)
+    assert len(few.steps) < 50 * 5
+
+
+def test_twenty_incomplete_curves_and_new_masks(spark):
+    import numpy as np
+    from boreframe.operators.impute import apply_imputer, fit_iterative
+    g = np.random.default_rng(6)
+    names = [f"c{i}" for i in range(20)]
+    base = g.normal(0, 1, (400, 3))
+    x = base @ g.normal(0, 1, (3, 20)) + g.normal(0, 0.2, (400, 20))
+    x[g.random(x.shape) < 0.03] = np.nan
+    schema = "id int, " + ", ".join(f"{n} double" for n in names)
+
+    def frame(m):
+        return spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(m)], schema)
+    fitted, filled = fit_iterative(frame(x), names, max_iter=2, tol=0.0)
+    assert 20 < len(fitted.masks) < 400
+    got = np.array([list(r)[1:] for r in filled.orderBy("id").collect()])
+    assert np.allclose(got, _plain_iterative(x, 2), rtol=1e-6, atol=1e-6)
+    new = x[:5].copy()
+    new[:, :15] = np.nan  # a set of missing curves that the fit never saw
+    mask = "1" * 15 + "0" * 5
+    assert mask not in fitted.masks
+    forms = fitted._form(set(names[:15]))
+    out = [list(r)[1:] for r in apply_imputer(frame(np.nan_to_num(new[:, :]) * 0 + new), names, fitted).orderBy("id").collect()]
+    for r, got in zip(new, out):
+        row = dict(zip(names, r))
+        if np.isnan(r[15:]).any():
+            continue
+        for i, n in enumerate(names[:15]):
+            const, coef = forms[n]
+            assert abs(got[i] - (const + sum(w * row[h] for h, w in coef.items()))) < 1e-9
