@@ -53,26 +53,32 @@ def confusion_normalized(df: DataFrame, actual: str, predicted: str, labels=None
 def _per_class(df: DataFrame, actual: str, predicted: str, labels) -> DataFrame:  # noqa: ANN001
     """One row: ``k``, the sorted structs (class, precision, recall, f1_score,
     support, tp) of all classes."""
-    counts = confusion_counts(df, actual, predicted)
+    return _class_structs(confusion_counts(df, actual, predicted), labels, [])
+
+
+def _class_structs(counts: DataFrame, labels, by: list) -> DataFrame:  # noqa: ANN001
+    """``k`` of the confusion counts, one row for each group of the columns ``by``."""
     zero = F.lit(0).cast("long")
     n = F.col("count")
-    parts = counts.select(F.inline(F.array(
+    parts = counts.select(*by, F.inline(F.array(
         F.struct(F.col("actual").alias("cls"), F.when(F.col("actual") == F.col("predicted"), n).otherwise(zero).alias("tp"),
                  n.alias("support"), zero.alias("npred")),
         F.struct(F.col("predicted").alias("cls"), zero.alias("tp"), zero.alias("support"), n.alias("npred")))))
     if labels is not None:
-        parts = parts.unionByName(_vocabulary(counts, labels).select(
-            "cls", zero.alias("tp"), zero.alias("support"), zero.alias("npred")))
-    sums = parts.groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "npred")])
+        names = counts.select(*by).distinct().withColumn("cls", F.explode(F.array(*map(F.lit, labels)))) if by \
+            else _vocabulary(counts, labels)
+        parts = parts.unionByName(names.select(
+            *by, "cls", zero.alias("tp"), zero.alias("support"), zero.alias("npred")))
+    sums = parts.groupBy(*by, "cls").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "npred")])
 
     def ratio(a, b):  # noqa: ANN001, ANN202
         return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
-    m = sums.select("cls", ratio(F.col("tp"), F.col("npred")).alias("precision"),
+    m = sums.select(*by, "cls", ratio(F.col("tp"), F.col("npred")).alias("precision"),
                     ratio(F.col("tp"), F.col("support")).alias("recall"), "support", "tp")
     m = m.withColumn("f1_score", F.coalesce(F.try_divide(
         2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
-    return m.agg(F.sort_array(F.collect_list(F.struct(
+    return m.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(
         F.col("cls").alias("class"), "precision", "recall", "f1_score", "support", "tp"))).alias("k"))
 
 
@@ -123,6 +129,22 @@ def weighted_metrics(df: DataFrame, actual: str, predicted: str, model: str = "m
         *[t[f"weighted_{c}"].alias(c) for c in ("precision", "recall", "f1_score")])
 
 
+def compare_models(df: DataFrame, actual: str, predictions: dict[str, str], labels=None) -> DataFrame:  # noqa: ANN001
+    """E1/E6 for many models in one scan: ``predictions`` maps a model's name to
+    the column with its predictions.  One row per model, in that order:
+    ``model, accuracy, precision, recall, f1_score, model_order``."""
+    models = [F.struct(F.lit(i).alias("model_order"), F.lit(name).alias("model"), F.col(c).cast("string").alias("predicted"))
+              for i, (name, c) in enumerate(predictions.items())]
+    counts = (df.where(F.col(actual).isNotNull())
+              .select(F.col(actual).cast("string").alias("actual"), F.inline(F.array(*models)))
+              .where(F.col("predicted").isNotNull())
+              .groupBy("model_order", "model", "actual", "predicted").agg(F.count(F.lit(1)).alias("count")))
+    t = _totals()
+    return (_class_structs(counts, labels, ["model_order", "model"])
+            .select("model", t["accuracy"].alias("accuracy"), *[t[f"weighted_{c}"].alias(c) for c in ("precision", "recall", "f1_score")],
+                    "model_order").orderBy("model_order"))
+
+
 def best_model(metrics: DataFrame, by: str = "f1_score", order_col: str | None = "model_order") -> DataFrame:
     """The best row by a metric; ties -> the first listed model."""
     keys = [F.desc(by)] + ([F.asc(order_col)] if order_col and order_col in metrics.columns else [])

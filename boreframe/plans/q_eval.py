@@ -146,6 +146,15 @@ def best_model_pick(spark, sf_dir):
     return round_doubles(E.best_model(m1.unionByName(m2)))
 
 
+COMPARE_SQL = BEST_SQL.replace("order by f1_score desc, model_order asc limit 1", "")
+
+
+@register("compare_models", COMPARE_SQL)
+def compare_models(spark, sf_dir):
+    """Both rule-based predictions, one scan."""
+    return round_doubles(E.compare_models(scored(spark, sf_dir), "ACTUAL", {"random_forest": "PREDICTED", "xgboost": "PREDICTED2"}))
+
+
 # ---------------------------------------------------------------------------
 # R3, R5-R11, V6, V7 on the scored view
 # ---------------------------------------------------------------------------

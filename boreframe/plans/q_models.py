@@ -113,7 +113,10 @@ def model_comparison(spark, sf_dir):
     fitted, scaler = T.fit_preprocessing(train, FEATS)
     rf = T.fit(train, FEATS, LABEL, _forest(), fitted, scaler)
     gb = T.fit(train, FEATS, LABEL, T.boosted_ovr(max_iter=5, max_depth=4, parallelism=4), fitted, scaler)  # cut
-    cmp = E.model_comparison([_metrics(rf, test, "random_forest"), _metrics(gb, test, "xgboost")])
+    both = test
+    for name, model in (("rf", rf), ("gb", gb)):
+        both = T.score_table(model, both, label_out=f"P_{name}", conf_out=f"C_{name}", prob_prefix=None)
+    cmp = E.compare_models(both, LABEL, {"Random Forest": "P_rf", "Xgboost": "P_gb"}).cache()
     best = E.best_model(cmp).select(F.col("model").alias("best"))
     return round_doubles(cmp.withColumn("is_best", F.col("model") == F.lit(best.first()["best"])))
 
