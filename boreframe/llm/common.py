@@ -43,6 +43,17 @@ def sized(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def with_units(docs: DataFrame, id_col: str, text_col: str, unit_chars: int,
                min_units: int = 48) -> tuple[DataFrame, int, int]:
     """``(id, text, unit)`` with documents cut into ranges of the id holding

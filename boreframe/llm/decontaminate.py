@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boreframe.llm.common import cut, let, sized
+from boreframe.llm.common import cut, fresh, let, sized
 
 SHINGLE = 5
 #: words: letters and digits, and all characters beyond ASCII; case is ignored
@@ -77,6 +77,14 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     Null ids and repeated rows: a pair is listed once per distinct (id, text,
     item).  Empty tables: no rows.
     """
+    return (_contained(docs, items, id_col, text_col, item_col, item_text_col, k, min_containment, sketch,
+                       broadcast_rows)
+            .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_shingles", "n_common", "containment"))
+
+
+def _contained(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
+               k: int, min_containment: float, sketch: int, broadcast_rows: int) -> DataFrame:
+    """The pairs with the hash of the document's text (``content``)."""
     sk = cut(item_sketches(items, item_col, item_text_col, k, sketch))
     hashes = sk.select("item", "width", "part", F.explode("sketch").alias("hash"))
     limits = hashes.groupBy("width", "part").agg(F.max("hash").alias("top")).collect()  # <= 5 x 60 rows
@@ -100,10 +108,9 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         held = let(content_words(F.col("text")), lambda w: shingles(w, width))  # noqa: B023
         common = F.when(F.col("width") == width, F.size(F.array_intersect(F.col("shingles"), held))).otherwise(common)
     n = F.size("shingles")
-    return (both.select("id", "item", n.cast("long").alias("n_shingles"), common.cast("long").alias("n_common"))
+    return (both.select("id", "content", "item", n.cast("long").alias("n_shingles"), common.cast("long").alias("n_common"))
             .withColumn("containment", F.col("n_common") / F.col("n_shingles"))
-            .where(F.col("containment") >= min_containment).distinct()
-            .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_shingles", "n_common", "containment"))
+            .where(F.col("containment") >= min_containment).distinct())
 
 
 _ENTRIES = "array<struct<width:int,part:int,hash:bigint>>"
@@ -122,9 +129,18 @@ def _sketches(words: Column, width: int, parts: list[tuple[int, int]]) -> Column
     return let(shingle_hashes(words, width), entries)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
-                  broadcast_rows: int = 500_000, **options) -> DataFrame:  # noqa: ANN003
-    """``docs`` without the documents that contain an item; all columns stay."""
-    hits = cut(contained_items(docs, items, id_col, broadcast_rows=broadcast_rows, **options)
-               .select(F.col(id_col).alias("__hit")).distinct())
-    return docs.join(sized(hits, broadcast_rows), docs[id_col].eqNullSafe(F.col("__hit")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  item_col: str = "item_id", item_text_col: str = "text", k: int = SHINGLE,
+                  min_containment: float = 0.8, sketch: int = 12, broadcast_rows: int = 500_000) -> DataFrame:
+    """``docs`` without the documents that contain an item; all columns stay.
+
+    Rows go by id and text: another text under the same id stays, and so do
+    null and empty texts.  Null ids and repeated rows are judged like any.
+    """
+    hit_id, hit_content = fresh(docs, "hit_id", "hit_content")
+    hits = cut(_contained(docs, items, id_col, text_col, item_col, item_text_col, k, min_containment, sketch,
+                          broadcast_rows)
+               .select(F.col("id").alias(hit_id), F.col("content").alias(hit_content)).distinct())
+    content = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(sized(hits, broadcast_rows), docs[id_col].eqNullSafe(F.col(hit_id))
+                     & (content == F.col(hit_content)), "left_anti")

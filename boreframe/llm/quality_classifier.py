@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boreframe.llm.common import cut, let, words_of
+from boreframe.llm.common import cut, fresh, let, words_of
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -149,10 +149,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return fit_rules(cut(rows), "stats", "label")
 
 
-def quality_score(docs: DataFrame, text_col: str, intercept: float, rules: list[tuple[Rule, float]]) -> DataFrame:
-    """``docs`` with the column ``__score``; the text is read once."""
-    return (docs.withColumn("__stats", statistics(F.col(text_col)))
-            .withColumn("__score", compile_rules(intercept, rules, "__stats")).drop("__stats"))
+def quality_score(docs: DataFrame, text_col: str, intercept: float, rules: list[tuple[Rule, float]],
+                  score_col: str = "__score") -> DataFrame:
+    """``docs`` with the column ``score_col``; the text is read once."""
+    stats, = fresh(docs, "__stats")
+    return (docs.withColumn(stats, statistics(F.col(text_col)))
+            .withColumn(score_col, compile_rules(intercept, rules, stats)).drop(stats))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -178,4 +180,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     intercept, rules = fit_quality(docs, labels, id_col, text_col, label_col, sample_rows)
     if not rules:
         return docs
-    return quality_score(docs, text_col, intercept, rules).where(F.col("__score") >= threshold).drop("__score")
+    score, = fresh(docs, "__score")
+    return quality_score(docs, text_col, intercept, rules, score).where(F.col(score) >= threshold).drop(score)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boreframe.llm.common import cut, let, sized
+from boreframe.llm.common import cut, fresh, let, sized
 
 
 @dataclass(frozen=True)
@@ -181,8 +181,9 @@ def redact(docs: DataFrame, ledger: DataFrame, text_col: str = "text", mark: str
     """``docs`` with every found span of ``text_col`` replaced by ``mark``
     (overlapping spans by one, a private key as its whole block); other columns
     unchanged."""
+    blob, found = fresh(docs, "blob", "spans")
     held = sized(cut(ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(
-        F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))), broadcast_rows)
+        F.col("blob").alias(blob), F.col("spans").alias(found))), broadcast_rows)
     text = F.col(text_col)
 
     def fill(spans: Column) -> Column:
@@ -192,6 +193,6 @@ def redact(docs: DataFrame, ledger: DataFrame, text_col: str = "text", mark: str
                     F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise("")).alias("out"))))
         return let(opened, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
-    joined = docs.withColumn("__blob", _blob(text)).join(held, "__blob", "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(
-        let(whole_blocks(text, F.col("__spans")), fill))).select(*docs.columns)
+    joined = docs.withColumn(blob, _blob(text)).join(held, blob, "left")
+    return joined.withColumn(text_col, F.when(F.col(found).isNull(), text).otherwise(
+        let(whole_blocks(text, F.col(found)), fill))).select(*docs.columns)

@@ -3,20 +3,24 @@
 1. Every document gets a 64-bit fingerprint of its word shingles; equal
    fingerprints collapse into one class, named by its smallest id.
 2. A vantage-point tree, fitted on a bounded sample of the fingerprints, cuts
-   the Hamming space into shards.  Every fingerprint has one home shard.  At
-   each node those within the link distance below the radius also travel to
-   the outer side as queries, and queries follow every branch that the
-   triangle bound does not rule out; so each linked pair meets in the home
-   shard of one of the two.
-3. A shard continues the same tree over its own fingerprints down to small
-   blocks, compares those exactly, and returns only a spanning forest: one
-   edge per fingerprint to the smallest id of its local component.  Branches
-   whose members are already connected are not searched again.
-4. Components of the edges give ``component_id``.
+   the Hamming space into shards.  A shard that holds too many is dealt again
+   by a subtree fitted on a sample of its own, until all are small; subtrees
+   are rows of a table, so neither the driver nor a task holds the whole tree.
+   Every fingerprint has one home shard.  At each node those within the link
+   distance below the radius also travel to the outer side as queries, and
+   queries follow every branch that the triangle bound does not rule out; so
+   each linked pair meets in the home shard of one of the two.
+3. A shard's queries are dealt to parts, each beside all of its home
+   fingerprints.  A part continues the same tree down to small blocks, compares
+   those exactly, and returns only a spanning forest: one edge per fingerprint
+   to the smallest one of its local component.  Branches whose members are
+   already connected are not searched again.
+4. Components of the edges, named by their smallest id, give ``component_id``.
 """
 
 from __future__ import annotations
 
+import pickle
 from itertools import accumulate
 
 import numpy as np
@@ -25,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boreframe.llm.common import cut
+from boreframe.llm.common import cut, fresh, sized
 from boreframe.llm.components import connected_components
 
 _HASH_SEED = 42
+#: leaves of a subtree, and the fingerprints it is fitted on
+_FAN, _SUB_SAMPLE = 16, 512
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -49,14 +55,18 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(id, fp)``: fp is the fingerprint as a signed 64-bit integer."""
+    """``(id, content, fp)``: a hash of the whole text, and the fingerprint as a
+    signed 64-bit integer; the id keeps its type."""
+    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("content"),
+                    F.col(text_col).alias("text"))
+
     def run(batches):  # noqa: ANN001
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["id", "content", "fp"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "id long, fp long"))
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, content long, fp long")
 
 
 def _far(a: np.ndarray, b) -> np.ndarray:  # noqa: ANN001
@@ -74,13 +84,14 @@ def _vantage(points: np.ndarray, tries: int = 12) -> tuple[np.uint64, int]:
     return best, min(mid, int(d.max()) - 1)
 
 
-def grow(points: np.ndarray, leaves: int) -> list:
-    """A vantage-point tree with ``leaves`` leaves: nodes are
-    ``[vantage, radius, inner, outer]``, leaves are shard numbers."""
+def grow(points: np.ndarray, leaves: int, least: int = 8) -> list:
+    """A vantage-point tree with ``leaves`` leaves (fewer where less than
+    ``least`` points are left): nodes are ``[vantage, radius, inner, outer]``,
+    leaves are shard numbers."""
     count = [0]
 
     def node(p: np.ndarray, n: int):  # noqa: ANN202
-        if n <= 1 or len(p) < 8:
+        if n <= 1 or len(p) < least:
             count[0] += 1
             return count[0] - 1
         v, mid = _vantage(p)
@@ -90,10 +101,12 @@ def grow(points: np.ndarray, leaves: int) -> list:
     return [node(points, leaves), count[0]]
 
 
-def deal(tree, fps: np.ndarray, link: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
-    """Home and boundary shards of fingerprints: (row, shard, is home)."""
+def deal(tree, fps: np.ndarray, link: int, home: np.ndarray | None = None  # noqa: ANN001
+         ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home and boundary shards of fingerprints: (row, shard, is home).  Those
+    not marked in ``home`` are queries."""
     rows, shards, homes = [], [], []
-    todo = [(tree, np.arange(len(fps)), np.ones(len(fps), bool))]
+    todo = [(tree, np.arange(len(fps)), np.ones(len(fps), bool) if home is None else home)]
     while todo:
         node, ix, home = todo.pop()
         if not len(ix):
@@ -157,63 +170,163 @@ def link_shard(fps: np.ndarray, home: np.ndarray, link: int, block: int = 96) ->
     return roots(np.arange(len(fps)))
 
 
-def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      shingle: int = 3, max_bits: int = 3, sample: int = 4096,
-                      shard: int = 8192) -> DataFrame:
-    """One row per document: ``id_col``, ``fingerprint`` (16 hex digits) and
-    ``component_id``, the smallest id reachable over links of at most
-    ``max_bits`` differing bits.
+_DEALT = "shard long, fp long, home boolean"
 
-    Null or empty text: fingerprint zero, linked like any other.  Fewer words
-    than ``shingle``: the whole sequence is the one shingle.  Repeated rows
-    and equal texts share a class.  A null id takes part through the other ids
-    of its class; with none its component is null.  Empty table: no rows.
-    ``sample`` bounds the fingerprints the top tree is fitted on (no more than
-    an eighth of all); every fingerprint is indexed.  ``shard`` is the size a
-    shard aims at: every level of the top tree ships about half of the
-    fingerprints to a second shard, while the levels inside a shard ship none.
-    """
-    docs_fp = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = cut(docs_fp.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"))
+
+def _longs(column) -> np.ndarray:  # noqa: ANN001
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _deal_again(dealt: DataFrame, sizes: DataFrame, shard: int, link: int, salt: int) -> DataFrame:
+    """The rows of the shards with more than ``shard`` home fingerprints, dealt
+    by a subtree each, which is fitted on a hashed sample of its shard."""
+    def fit(table: pa.Table) -> pa.Table:
+        points = np.sort(_longs(table["fp"])).view(np.uint64)
+        leaves = min(_FAN, max(2, -(-table["homes"][0].as_py() // shard)))
+        tree, _ = grow(points, leaves, least=2)
+        return pa.table({"at": pa.array([table["shard"][0].as_py()], pa.int64()),
+                         "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    def run(batches):  # noqa: ANN001
+        for b in batches:
+            at, fps = _longs(b.column(0)), _longs(b.column(1)).view(np.uint64)
+            home = b.column(2).to_numpy(zero_copy_only=False)
+            for s in np.unique(at):
+                ix = np.flatnonzero(at == s)
+                tree = pickle.loads(b.column(3)[int(ix[0])].as_py())  # written by fit
+                row, leaf, is_home = deal(tree, fps[ix], link, home[ix])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s * _FAN + leaf.astype(np.int64)), pa.array(fps[ix][row].view(np.int64)),
+                     pa.array(is_home)], ["shard", "fp", "home"])
+
+    big = sizes.where(F.col("homes") > shard).select(F.col("shard").alias("at"), "homes")
+    every = F.greatest(F.lit(1), F.floor(F.col("homes") / _SUB_SAMPLE))
+    trees = cut(dealt.where("home").join(sized(big, 100_000), F.col("shard") == F.col("at"))
+                .where(F.pmod(F.xxhash64("fp", F.lit(salt)), every) == 0).select("shard", "fp", "homes")
+                .groupBy("shard").applyInArrow(fit, "at long, tree binary"))
+    return (dealt.join(sized(trees, 100_000), F.col("shard") == F.col("at"))
+            .select("shard", "fp", "home", "tree").mapInArrow(run, _DEALT))
+
+
+def shards_of(classes: DataFrame, max_bits: int, sample: int, shard: int) -> DataFrame:
+    """``(level, shard, part, fp, home)`` of the distinct ``fp`` of ``classes``:
+    no shard has more than ``shard`` home fingerprints, no part more than about
+    as many queries; the home fingerprints are in every part of their shard."""
     n = classes.count()
     leaves = max(1, -(-n // shard))
     share = max(8, -(-n // sample))
     picked = [r[0] for r in classes.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0)
               .select("fp").collect()] if leaves > 1 else []
-    tree, shards = grow(np.sort(np.array(picked, np.int64)).view(np.uint64), leaves)
+    tree, _ = grow(np.sort(np.array(picked, np.int64)).view(np.uint64), leaves)
 
     def spread(batches):  # noqa: ANN001
         for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            reps = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            fps = _longs(b.column(0)).view(np.uint64)
             row, to, home = deal(tree, fps, max_bits)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(to), pa.array(fps[row].view(np.int64)), pa.array(reps[row]), pa.array(home)],
-                ["shard", "fp", "rep", "home"])
+                [pa.array(to.astype(np.int64)), pa.array(fps[row].view(np.int64)), pa.array(home)],
+                ["shard", "fp", "home"])
+
+    dealt, done, level = cut(classes.select("fp").mapInArrow(spread, _DEALT)), [], 0
+    while True:
+        sizes = cut(dealt.groupBy("shard").agg(F.sum(F.col("home").cast("long")).alias("homes"),
+                                               F.sum((~F.col("home")).cast("long")).alias("queries")))
+        small = sizes.where((F.col("homes") > 0) & (F.col("homes") <= shard)).select(
+            F.col("shard").alias("at"), F.greatest(F.lit(1), F.ceil(F.col("queries") / shard)).cast("int").alias("parts"))
+        last = F.col("parts") - 1
+        done.append(dealt.join(sized(small, 100_000), F.col("shard") == F.col("at")).select(
+            F.lit(level).alias("level"), "shard", "fp", "home",
+            F.explode(F.when(F.col("home"), F.sequence(F.lit(0), last)).otherwise(
+                F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")))).alias("part")))
+        if not sizes.where(F.col("homes") > shard).limit(1).count():
+            break
+        level += 1
+        dealt = cut(_deal_again(dealt, sizes, shard, max_bits, level))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _groups(docs_fp: DataFrame, max_bits: int, sample: int, shard: int) -> DataFrame:
+    """``(class_fp, group_fp)``: every fingerprint's component, named by a
+    fingerprint."""
+    classes = cut(docs_fp.select("fp").distinct())
 
     def search(table: pa.Table) -> pa.Table:
-        reps = table["rep"].to_numpy().astype(np.int64)
-        order = np.argsort(reps, kind="stable")
-        reps = reps[order]
-        fps = table["fp"].to_numpy().astype(np.int64).view(np.uint64)[order]
-        root = link_shard(fps, table["home"].to_numpy(zero_copy_only=False)[order], max_bits)
+        fps = _longs(table["fp"])
+        order = np.argsort(fps, kind="stable")
+        fps = fps[order]
+        root = link_shard(fps.view(np.uint64), table["home"].to_numpy(zero_copy_only=False)[order], max_bits)
         child = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": reps[child], "b": reps[root[child]]})
+        return pa.table({"a": fps[child], "b": fps[root[child]]})
 
-    dealt = classes.mapInArrow(spread, "shard int, fp long, rep long, home boolean")
-    edges = dealt.groupBy("shard").applyInArrow(search, "a long, b long")
+    edges = (shards_of(classes, max_bits, sample, shard).groupBy("level", "shard", "part")
+             .applyInArrow(search, "a long, b long"))
     comps = connected_components(edges)
-    named = cut(classes.join(comps, classes["rep"] == comps["node"], "left")
-                .select(F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component_id")))
+    return cut(classes.join(comps, classes["fp"] == comps["node"], "left")
+               .select(F.col("fp").alias("class_fp"), F.coalesce("component", "fp").alias("group_fp")))
+
+
+def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      shingle: int = 3, max_bits: int = 3, sample: int = 4096,
+                      shard: int = 8192) -> DataFrame:
+    """One row per document: ``id_col``, ``fingerprint`` (16 hex digits) and
+    ``component_id``, the smallest id reachable over links of at most
+    ``max_bits`` differing bits.  Ids may be of any type that has an order.
+
+    Null or empty text: fingerprint zero, linked like any other.  Fewer words
+    than ``shingle``: the whole sequence is the one shingle.  Repeated rows
+    and equal texts share a class.  A row with a null id links like any other
+    and names no component; where all ids of one are null, so is its name.
+    Empty table: no rows.
+    ``sample`` bounds the fingerprints the top tree is fitted on (no more than
+    an eighth of all); every fingerprint is indexed.  ``shard`` bounds the home
+    fingerprints of a shard: every level of the tree above the shards ships
+    about half of the fingerprints to a second shard, while the levels inside a
+    shard ship none.
+    """
+    docs_fp = cut(fingerprints(docs, id_col, text_col, shingle))
+    groups = _groups(docs_fp, max_bits, sample, shard)
+    low = docs_fp.groupBy("fp").agg(F.min("id").alias("rep"))
+    named = groups.join(low, groups["class_fp"] == low["fp"]).select("class_fp", "group_fp", "rep")
+    names = named.groupBy(F.col("group_fp").alias("g")).agg(F.min("rep").alias("component_id"))
+    named = cut(named.join(names, named["group_fp"] == names["g"]).select("class_fp", "component_id"))
     return (docs_fp.join(named, docs_fp["fp"] == named["class_fp"], "left")
             .select(F.col("id").alias(id_col),
                     F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:  # noqa: ANN003
-    """``docs`` with one document of each component, that of the smallest id;
-    columns unchanged.  Rows without an id stay; rows that repeat the
-    smallest id stay together."""
-    found = simhash_near_dups(docs, id_col, text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   shingle: int = 3, max_bits: int = 3, sample: int = 4096, shard: int = 8192) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id (null
+    last), then of the smallest hash of its text; columns unchanged.
+
+    Rows are told apart by id and text, so an id that carries two unrelated
+    texts keeps both.  Of rows that repeat id and text one stays, whichever.
+    Null and empty texts are one component.  Empty table: no rows.
+    """
+    rows = cut(fingerprints(docs, id_col, text_col, shingle))
+    groups = _groups(rows, max_bits, sample, shard)
+    keys = cut(rows.groupBy("fp", "id", "content").agg(F.count(F.lit(1)).alias("n"))
+               .join(groups, F.col("fp") == F.col("class_fp"))
+               .select("group_fp", F.struct(F.col("id").isNull().alias("none"), "id", "content").alias("key"), "n"))
+    first = keys.groupBy(F.col("group_fp").alias("g")).agg(F.min("key").alias("first"))
+    judged = cut(keys.join(first, F.col("group_fp") == F.col("g")).select("key", "n", (F.col("key") == F.col("first")).alias("stays")))
+    row_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    at_id, at_content, content = fresh(docs, "near_id", "near_content", "content_hash")
+
+    def at(kept: DataFrame) -> DataFrame:
+        return kept.select(F.col("key.id").alias(at_id), F.col("key.content").alias(at_content))
+
+    def match(other: DataFrame):  # noqa: ANN202
+        return docs[id_col].eqNullSafe(other[at_id]) & (row_hash == other[at_content])
+
+    gone = at(judged.where(~F.col("stays")))
+    left = docs.join(gone, match(gone), "left_anti")
+    twice = at(judged.where(F.col("stays") & (F.col("n") > 1)))
+    if not twice.limit(1).count():
+        return left
+    one = (left.join(twice, match(twice), "left_semi").withColumn(content, row_hash)
+           .dropDuplicates([id_col, content]).drop(content))
+    return left.join(twice, match(twice), "left_anti").unionByName(one)

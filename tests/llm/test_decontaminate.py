@@ -67,3 +67,12 @@ def test_empty_tables(spark):
     assert contained_items(d.limit(0), b).count() == 0
     assert contained_items(d, b.limit(0)).count() == 0
     assert decontaminate(d, b.limit(0)).count() == 1
+
+
+def test_rows_go_by_id_and_text(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = spark.createDataFrame([(1, f"so {item} it is", 1, 1), (1, "quite another text " * 5, 2, 2), (None, item, 3, 3),
+                               (None, None, 4, 4), (2, "", 5, 5)],
+                              "doc_id long, text string, hit_id int, __hit int")
+    assert sorted(r["hit_id"] for r in decontaminate(d, b).collect()) == [2, 4, 5]

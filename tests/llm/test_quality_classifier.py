@@ -5,7 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from boreframe.llm.quality_classifier import (STATISTICS, compile_rules, fit_rules, score_quality,
+from boreframe.llm.quality_classifier import (STATISTICS, compile_rules, fit_rules, keep_quality, score_quality,
                                               statistics)
 from tests.conftest import SF_MID
 
@@ -49,3 +49,12 @@ def test_odd_inputs(spark):
     one = spark.createDataFrame([(1, 1), (1, 1), (5, 1)], "doc_id long, quality int")
     assert {r.predicted for r in score_quality(docs, one).collect()} <= {0, 1}
     assert score_quality(docs.limit(0), none).count() == 0
+
+
+def test_kept_rows_keep_clashing_columns(spark):
+    d = spark.createDataFrame([(i, "good plain words of prose. " * 9 if i % 2 else "$$$ ### %%%", i, i) for i in range(200)],
+                              "doc_id long, text string, __score int, __stats int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = keep_quality(d, labels)
+    assert got.columns == d.columns
+    assert sorted(r["__stats"] for r in got.collect()) == list(range(1, 200, 2))

@@ -103,3 +103,12 @@ def test_empty_table_and_repeated_rows(spark):
     twice = spark.createDataFrame([(None, "token=abcdefg"), (None, "token=abcdefg")], schema)
     found, ledger = S.secret_scan(twice)
     assert found.count() == 2 and ledger.count() == 1
+
+
+def test_redaction_keeps_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "token=abcdefgh", "b", "s", "t"), (2, "plain", "c", "u", "v")],
+                              "doc_id long, text string, blob string, spans string, __blob string")
+    _, ledger = S.secret_scan(d)
+    got = sorted(S.redact(d, ledger).collect())
+    assert S.redact(d, ledger).columns == d.columns
+    assert [tuple(r)[2:] for r in got] == [("b", "s", "t"), ("c", "u", "v")] and "abcdefgh" not in got[0].text

@@ -9,7 +9,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from boreframe.llm.packing import pack, plan
-from boreframe.llm.simhash import deal, grow, link_shard, simhash_near_dups
+from boreframe.llm.simhash import _groups, deal, drop_near_dups, grow, link_shard, shards_of, simhash_near_dups
 from tests.conftest import SF_SMALL
 
 
@@ -96,6 +96,39 @@ def test_empty_null_ids_and_extra_columns(spark):
     assert got == [(False, False), (False, False), (True, False), (True, True)]
 
 
+def test_oversize_shards_are_dealt_again(spark):
+    fps = clusters(20_000, 5)
+    classes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").checkpoint()
+    rows = shards_of(classes, 3, 64, 300).toPandas()
+    home = rows[rows.home].drop_duplicates(["level", "shard", "fp"])
+    assert sorted(home.fp) == sorted(r.fp for r in classes.collect()) and home.level.max() > 0
+    assert home.groupby(["level", "shard"]).size().max() <= 300
+    assert rows[~rows.home].groupby(["level", "shard", "part"]).size().max() <= 450
+    per_part = rows[rows.home].groupby(["level", "shard", "part"]).size()
+    assert per_part.groupby(level=[0, 1]).nunique().max() == 1  # every part holds the whole home set
+    got = {r.class_fp % (1 << 64): r.group_fp for r in _groups(classes, 3, 64, 300).collect()}
+    want = brute_components(list(range(len(fps))), fps)
+    low = {}
+    assert all(low.setdefault(w, got[f]) == got[f] for f, w in zip(fps, want))
+    assert len(set(got.values())) == len(set(want))
+
+
+def test_one_row_of_each_group_stays(spark):
+    schema = "doc_id long, text string, near_id int, Content_Hash string, fp int"
+    rows = [(1, "a b c d", 1, "x", 1), (1, "a b c d", 1, "x", 1), (1, "q r s t u v", 2, "y", 2),
+            (5, "A b  c d", 3, "z", 3), (None, "a b c d", 4, "w", 4), (None, "k l m n o", 5, "v", 5),
+            (None, "k l m n o", 5, "v", 5), (7, None, 6, None, 6), (8, "", 7, None, 7)]
+    d = spark.createDataFrame(rows, schema)
+    got = drop_near_dups(d)
+    assert got.columns == d.columns
+    assert sorted(got.collect(), key=str) == sorted(d.where(
+        "near_id in (1, 2, 5, 6)").distinct().collect(), key=str)
+    assert drop_near_dups(d.limit(0)).count() == 0
+    names = spark.createDataFrame([("b", "a b c d"), ("a", "a b c d"), ("c", "q r s t u v")], "doc_id string, text string")
+    assert sorted(r.doc_id for r in drop_near_dups(names).collect()) == ["a", "c"]
+    assert {r.component_id for r in simhash_near_dups(names).collect()} == {"a", "c"}
+
+
 def test_plan_places_every_piece_once():
     for seed in range(30):
         rnd = random.Random(seed)
