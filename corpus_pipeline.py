@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreframe.llm.common import load
+from boreframe.llm.common import fresh, load
 from boreframe.llm.decontaminate import decontaminate
 from boreframe.llm.packing import pack
 from boreframe.llm.quality_classifier import keep_quality
@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies."""
+    """Keeps one row of each group of near copies, that of the smallest id."""
     return drop_near_dups(docs, shingle=3, max_bits=3)
 
 
@@ -41,8 +41,9 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; ``n_chars`` follows the text."""
     _, ledger = secret_scan(docs)
-    clean = redact(docs.withColumn("__before", F.length("text")), ledger)
-    changed = F.length("text") != F.col("__before")
+    before, = fresh(docs, "before")
+    clean = redact(docs.withColumn(before, F.length("text")), ledger)
+    changed = F.length("text") != F.col(before)
     return (clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
             .select(*docs.columns))
 
