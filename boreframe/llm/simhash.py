@@ -35,6 +35,8 @@ from boreframe.llm.components import connected_components
 _HASH_SEED = 42
 #: leaves of a subtree, and the fingerprints it is fitted on
 _FAN, _SUB_SAMPLE = 16, 512
+#: queries of a part, in shard sizes: the home sets repeated for parts add at most a quarter to the queries
+_PART = 4
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -211,7 +213,7 @@ def _deal_again(dealt: DataFrame, sizes: DataFrame, shard: int, link: int, salt:
 def shards_of(classes: DataFrame, max_bits: int, sample: int, shard: int) -> DataFrame:
     """``(level, shard, part, fp, home)`` of the distinct ``fp`` of ``classes``:
     no shard has more than ``shard`` home fingerprints, no part more than about
-    as many queries; the home fingerprints are in every part of their shard."""
+    four times as many queries; the home fingerprints are in every part of their shard."""
     n = classes.count()
     leaves = max(1, -(-n // shard))
     share = max(8, -(-n // sample))
@@ -232,7 +234,7 @@ def shards_of(classes: DataFrame, max_bits: int, sample: int, shard: int) -> Dat
         sizes = cut(dealt.groupBy("shard").agg(F.sum(F.col("home").cast("long")).alias("homes"),
                                                F.sum((~F.col("home")).cast("long")).alias("queries")))
         small = sizes.where((F.col("homes") > 0) & (F.col("homes") <= shard)).select(
-            F.col("shard").alias("at"), F.greatest(F.lit(1), F.ceil(F.col("queries") / shard)).cast("int").alias("parts"))
+            F.col("shard").alias("at"), F.greatest(F.lit(1), F.ceil(F.col("queries") / (_PART * shard))).cast("int").alias("parts"))
         last = F.col("parts") - 1
         done.append(dealt.join(sized(small, 100_000), F.col("shard") == F.col("at")).select(
             F.lit(level).alias("level"), "shard", "fp", "home",
@@ -270,7 +272,7 @@ def _groups(docs_fp: DataFrame, max_bits: int, sample: int, shard: int) -> DataF
 
 def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       shingle: int = 3, max_bits: int = 3, sample: int = 4096,
-                      shard: int = 8192) -> DataFrame:
+                      shard: int = 16384) -> DataFrame:
     """One row per document: ``id_col``, ``fingerprint`` (16 hex digits) and
     ``component_id``, the smallest id reachable over links of at most
     ``max_bits`` differing bits.  Ids may be of any type that has an order.
@@ -298,7 +300,7 @@ def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   shingle: int = 3, max_bits: int = 3, sample: int = 4096, shard: int = 8192) -> DataFrame:
+                   shingle: int = 3, max_bits: int = 3, sample: int = 4096, shard: int = 16384) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id (null
     last), then of the smallest hash of its text; columns unchanged.
 
