@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from . import prepare as I
-from .knn import knn_impute
+from .knn import DonorIndex, index_donors, knn_fill, knn_impute
 
 TECHNIQUES = ["median", "mean", "knn", "iterative"]
 
@@ -152,11 +152,14 @@ class Imputer:
     masks: list = field(default_factory=list)        # sets of missing curves, the most frequent first
     mask_curves: list = field(default_factory=list)  # whose 0 and 1 they hold
     known_masks: int = 1000
+    index: DonorIndex | None = None                  # the donors' cells, made at the first search
 
     def before(self, df: DataFrame, features) -> DataFrame:
         """What has to run ahead of the saved stages: the donor search of KNN."""
         if self.technique == "knn" and self.donors is not None:
-            return knn_impute(df, features, k=self.k, donors=self.donors)
+            if self.index is None or self.index.names != list(features):
+                self.index = index_donors(self.donors, features, self.k)
+            return knn_fill(df, self.index)
         return df
 
     def stages(self, features, out) -> list:  # noqa: ANN001

@@ -18,6 +18,8 @@ task.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,32 +128,45 @@ def _distances(x: np.ndarray, donors: np.ndarray) -> np.ndarray:
     return d2
 
 
-def knn_impute(df: DataFrame, features, k: int = 5, donors: DataFrame | None = None,
-               sample_rows: int = 200_000) -> DataFrame:
-    """``df`` with the missing values of ``features`` filled; rows and other
-    columns unchanged.  ``donors`` defaults to ``df`` itself.
+@dataclass
+class DonorIndex:
+    """Donors dealt to cells: ``placed`` is a checkpointed table of distinct
+    donor tuples with their cell, read by every search; the rest is bounded by
+    the number of cells."""
+
+    names: list
+    k: int
+    cells: _Cells | None
+    placed: DataFrame | None
+    blocks: np.ndarray
+    means: dict
+
+
+def _feats(names: list) -> list[str]:
+    return [f"f{i}" for i in range(len(names))]
 
-    ``sample_rows`` bounds the donors that the cells are cut on; every donor
-    is searched.  A value without any donor at a known distance takes the
-    curve's mean, and stays missing if no donor has the curve.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    names, feats = list(features), [f"f{i}" for i in range(len(list(features)))]
-    width = len(names)
 
-    def tuples(d: DataFrame) -> DataFrame:
-        return d.select(*[F.col(c).cast("double").alias(f) for c, f in zip(names, feats)])
+def _tuples(d: DataFrame, names: list) -> DataFrame:
+    return d.select(*[F.col(c).cast("double").alias(f) for c, f in zip(names, _feats(names))])
 
+
+def index_donors(donors: DataFrame, features, k: int = 5, sample_rows: int = 200_000) -> DonorIndex:
+    """The donors' cells, for any number of ``knn_fill`` calls.
+
+    ``sample_rows`` bounds the donors that the cells are cut on; every donor
+    is searched.
+    """
+    ensure_checkpoint_dir(donors.sparkSession)
+    names = list(features)
+    feats, width = _feats(names), len(names)
     bits = sum((F.when(F.col(f).isNotNull(), 1 << i).otherwise(0) for i, f in enumerate(feats)), F.lit(0))
-    src = (tuples(donors if donors is not None else df).groupBy(*feats).count()
+    src = (_tuples(donors, names).groupBy(*feats).count()
            .withColumn("pattern", bits).where("pattern > 0").withColumn("copies", F.least("count", F.lit(k))))
     src = src.drop("count").checkpoint()
-    need = tuples(df).where(" or ".join(f"{f} is null" for f in feats)).distinct().checkpoint()
-    means = src_means(donors if donors is not None else df, names)
+    means = src_means(donors, names)
     counts = {r[0]: r[1] for r in src.groupBy("pattern").count().collect()}  # at most 2^curves rows
     if not counts:
-        return df
+        return DonorIndex(names, k, None, None, np.empty(0, np.int64), means)
     total = sum(counts.values())
     share = min(1.0, sample_rows / total)
     picked = src.where(F.pmod(F.xxhash64(*feats), F.lit(1_000_000)) < int(share * 1_000_000) + 1) if share < 1 else src
@@ -174,8 +189,33 @@ def knn_impute(df: DataFrame, features, k: int = 5, donors: DataFrame | None = N
     placed = src.mapInArrow(place, f"{fields}, pattern int, copies long, cell int").checkpoint()
     sizes = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}  # at most MAX_CELLS + patterns rows
     blocks = np.array([-(-sizes.get(i, 0) // BLOCK) for i in range(len(cells.pattern))], np.int64)
+    return DonorIndex(names, k, cells, placed, blocks, means)
+
+
+def knn_impute(df: DataFrame, features, k: int = 5, donors: DataFrame | None = None,
+               sample_rows: int = 200_000) -> DataFrame:
+    """``df`` with the missing values of ``features`` filled; rows and other
+    columns unchanged.  ``donors`` defaults to ``df`` itself.
+
+    ``sample_rows`` bounds the donors that the cells are cut on; every donor
+    is searched.  A value without any donor at a known distance takes the
+    curve's mean, and stays missing if no donor has the curve.
+    """
+    return knn_fill(df, index_donors(df if donors is None else donors, features, k, sample_rows))
+
+
+def knn_fill(df: DataFrame, index: DonorIndex) -> DataFrame:
+    """``df`` filled from indexed donors (see ``knn_impute``); what a row gets
+    does not depend on the other rows of ``df``."""
+    if index.cells is None:
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    names, k, cells, blocks, means = index.names, index.k, index.cells, index.blocks, index.means
+    feats, width = _feats(names), len(names)
+    fields = ", ".join(f"{f} double" for f in feats)
+    need = _tuples(df, names).where(" or ".join(f"{f} is null" for f in feats)).distinct().checkpoint()
     cell_blocks = F.element_at(F.array(*[F.lit(max(1, int(b))) for b in blocks]), F.col("cell") + 1)
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64(*feats), cell_blocks).cast("int"))
+    dealt = index.placed.withColumn("block", F.pmod(F.xxhash64(*feats), cell_blocks).cast("int"))
 
     def send(bounded: bool):  # noqa: ANN202
         """Rows ``(curves, want, cell, block)``; ``want`` has the missing

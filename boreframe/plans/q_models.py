@@ -13,6 +13,7 @@ learned numbers themselves do not.
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from .. import config as C
 from ..operators import evaluate as E
 from ..operators import prepare as I
 from ..operators import train as T
+from ..session import shared_dir
 from ..sources.testview import KEY, wells
 from . import oracle as O
 from .q_analytics import LABEL_MAP_SQL, labelled_normalized
@@ -227,6 +229,21 @@ def knn_impute(spark, sf_dir):
     return round_doubles(knn(lab, FEATS, k=5))
 
 
+@register("streaming_knn_fill", _knn_sql())
+def streaming_knn_fill(spark, sf_dir):
+    """R12 with KNN: the labelled view as a stream, each micro-batch filled from
+    the donors (all labelled rows), which are dealt to cells once."""
+    from ..operators.knn import index_donors, knn_fill
+    from ..streaming.scoring import batches_to_table
+    lab = labelled_normalized(spark, sf_dir).select(*KEY, *FEATS)
+    index = index_donors(lab, FEATS, k=5)
+    rows = f"{shared_dir(spark, f'knn-rows-{uuid.uuid4().hex[:12]}')}/rows"
+    lab.write.parquet(rows)
+    stream = spark.readStream.schema(lab.schema).parquet(rows)
+    path = batches_to_table(spark, stream, lambda batch: knn_fill(batch, index))
+    return round_doubles(spark.read.parquet(path).select(*KEY, *FEATS))
+
+
 @register("iterative_impute")
 def iterative_impute(spark, sf_dir):
     """I4: round-robin regression imputation of the labelled view."""
