@@ -313,8 +313,10 @@ def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = cut(rows.groupBy("fp", "id", "content").agg(F.count(F.lit(1)).alias("n"))
                .join(groups, F.col("fp") == F.col("class_fp"))
                .select("group_fp", F.struct(F.col("id").isNull().alias("none"), "id", "content").alias("key"), "n"))
-    first = keys.groupBy(F.col("group_fp").alias("g")).agg(F.min("key").alias("first"))
-    judged = cut(keys.join(first, F.col("group_fp") == F.col("g")).select("key", "n", (F.col("key") == F.col("first")).alias("stays")))
+    # joined back by key, not by group: a group may hold a third of all rows
+    first = keys.groupBy("group_fp").agg(F.min("key").alias("first")).select("first")
+    judged = cut(keys.join(first, F.col("key") == F.col("first"), "left")
+                 .select("key", "n", F.col("first").isNotNull().alias("stays")))
     row_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     at_id, at_content, content = fresh(docs, "near_id", "near_content", "content_hash")
 
