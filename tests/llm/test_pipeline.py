@@ -70,7 +70,7 @@ def test_entry_works_without_the_subpackage(monkeypatch):
     entry = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(entry)
     whole = set(entry.queries())
-    assert {"pipeline"} <= whole and sum(q.startswith("op") and q[2].isdigit() for q in whole) == 10
+    assert {"pipeline"} <= whole and sum(q.startswith("op") and q[2].isdigit() for q in whole) == 13
     find = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n == "boreframe.llm" else find(n, *a))
     assert not any(q == "pipeline" or (q.startswith("op") and q[2].isdigit()) for q in entry.queries())
