@@ -1,17 +1,24 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page is read once into text blocks.  A small linear classifier over each
-block's text and the elements around it gives the cost of calling it content
-or boilerplate; these costs are the capacities to the two terminals.  Blocks
-next to each other, and blocks of one parent element, are joined by edges
-whose capacity falls with their distance in the element tree.  The minimum
-cut labels all blocks of the page at once.  Pages are independent: Spark maps
-over batches of them and nothing is shuffled.
+A page is read once into text blocks.  A small classifier over each block's
+text and the elements around it gives the cost of calling it content or
+boilerplate; these costs are the capacities to the two terminals.  Blocks next
+to each other, and blocks of one parent element, are joined by edges whose
+capacity falls with their distance in the element tree.  The minimum cut labels
+all blocks of the page at once.  Pages are independent: Spark maps over batches
+of them and nothing is shuffled.
+
+No tag or class name decides alone.  Text evidence is bounded to two either
+way, what elements say to three, and two full edges weigh as much as a typical
+block, so an undecided block goes with its surroundings.  How far a boilerplate
+name is trusted depends on the text below the element: a form that holds the
+page's prose, or a "widget" with the title and most of the prose, says little.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import deque
 
@@ -20,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)"
+    r"((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>", re.S)  # a quote opens a value only after "="
 _ATTR = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
 # What elements and names mean.
 RAW = frozenset("script style noscript template textarea title iframe svg select option object head".split())
+#: elements that, left open, lose only their start tag: what follows is the page
+MAY_STAY_OPEN = frozenset("noscript template svg select option object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption "
@@ -43,59 +53,95 @@ BOILERPLATE_NAMES = frozenset(
 SOFT_NAMES = frozenset("header meta tags tag author date".split())
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_NAMES = frozenset("article articlebody body content entry main post story text".split())
-WRAPPER_WORDS = frozenset("has with no without page layout wrapper wrap container".split())
+WRAPPER_WORDS = frozenset(
+    "has with no without page layout wrapper wrap container open closed enabled disabled".split())
+CONTROLS = frozenset("input textarea select button".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+NONE, CONTENT, SOFT, BOILERPLATE, HIDDEN = range(5)
+
+
 class Element:
-    """An open element: what its ancestors and itself say about its text."""
+    """An element: what it says of the text below it, and what that text is."""
 
-    __slots__ = ("tag", "parent", "depth", "zone", "link", "head")
+    __slots__ = ("tag", "parent", "depth", "kind", "region", "doubt", "link", "head", "prose", "controls", "title")
 
     def __init__(self, tag: str, parent: "Element | None", attrs: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.zone = parent.zone if parent else 0  # -2 boilerplate, -1 soft, 0 none, 1 content
         self.link = tag == "a" or bool(parent and parent.link)
         self.head = tag in HEADINGS or bool(parent and parent.head)
-        if self.zone > -2:
-            self.zone = self._zone(attrs)
-
-    def _zone(self, attrs: str) -> int:
-        tag, zone = self.tag, self.zone
-        if tag in BOILERPLATE_TAGS:
-            return -2
-        names: list[str] = []
-        role = ""
+        self.prose = self.controls = 0  # below: characters outside links, form controls
+        self.title = tag in ("h1", "main")  # below or itself
+        self.kind = self._kind(attrs)
+        #: the nearest element that says something else than those around it
+        above = parent.region if parent else self
+        self.region = self if self.kind != NONE and self.kind != above.kind else above
+        self.doubt = 1.0  # 1 minus the trust in boilerplate around the element, set by ``weigh``
+
+    def _kind(self, attrs: str) -> int:
+        tag = self.tag
         if attrs and not attrs.isspace():
-            for key, a, b, c in _ATTR.findall(attrs):
-                key, value = key.lower(), a or b or c
-                if key in ("class", "id"):
-                    for name in value.split():
-                        parts = [p.lower() for p in _NAME_PART.findall(name)]
-                        if len(parts) == 1 or WRAPPER_WORDS.isdisjoint(parts):
-                            names += parts
-                elif key == "role":
-                    role = value.lower()
-                elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-                    return -2
-                elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    return -2
-                elif key == "itemprop" and value.lower() == "articlebody":
-                    names.append("articlebody")
-        if role in BOILERPLATE_ROLES:
-            return -2
+            names, role = self._names(attrs)
+            if names is None:
+                return HIDDEN
+        else:
+            names, role = [], ""
+        if tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES:
+            return BOILERPLATE
         if tag not in ("html", "body", "main") and not BOILERPLATE_NAMES.isdisjoint(names):
-            return -2
+            return BOILERPLATE
         if tag in CONTENT_TAGS or role in ("main", "article"):
-            return 1
-        if tag == "header" or role == "banner" or (tag not in ("html", "body") and not SOFT_NAMES.isdisjoint(names)):
-            return -1 if zone <= 0 else zone  # a header inside an article is part of it
-        if tag not in ("html", "body") and not CONTENT_NAMES.isdisjoint(names):
-            return 1
-        return zone
+            return CONTENT
+        if tag in ("html", "body"):
+            return NONE
+        if tag == "header" or role == "banner" or not SOFT_NAMES.isdisjoint(names):
+            # a header inside an article is part of it
+            return NONE if self.parent and self.parent.region.kind == CONTENT else SOFT
+        return NONE if CONTENT_NAMES.isdisjoint(names) else CONTENT
+
+    @staticmethod
+    def _names(attrs: str) -> tuple[list[str] | None, str]:
+        """Name parts of class and id, and the role; None for hidden elements."""
+        names: list[str] = []
+        role = ""
+        for key, a, b, c in _ATTR.findall(attrs):
+            key, value = key.lower(), a or b or c
+            if key in ("class", "id"):
+                for name in value.split():
+                    parts = [p.lower() for p in _NAME_PART.findall(name)]
+                    if len(parts) == 1 or WRAPPER_WORDS.isdisjoint(parts):
+                        names += parts
+            elif key == "role":
+                role = value.lower()
+            elif key == "hidden" or (key == "aria-hidden" and value == "true"):
+                return None, role
+            elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return None, role
+            elif key == "itemprop" and value.lower() == "articlebody":
+                names.append("articlebody")
+        return names, role
+
+
+def weigh(elements: list[Element]) -> None:
+    """Text counts of all elements (listed parents first), then how far the
+    boilerplate around each is to be doubted."""
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.prose += e.prose
+            e.parent.controls += e.controls
+            e.parent.title = e.parent.title or e.title
+    page = max(1, elements[0].prose)
+    for e in elements:
+        e.doubt = e.parent.doubt if e.parent else 1.0
+        if e.kind == BOILERPLATE:
+            trust = 1 - e.prose / page if e.title else 1.0
+            if e.tag == "form":
+                trust = min(trust, FORM_CHARS * max(e.controls, 1) / (e.prose + 1))
+            e.doubt = min(e.doubt, 1 - trust)
 
 
 class Block:
@@ -107,9 +153,15 @@ class Block:
 
 def read_blocks(page: str) -> list[Block]:
     """Text blocks of a page, in page order: character references decoded,
-    white space collapsed, empty blocks left out."""
+    white space collapsed, empty blocks left out.
+
+    Malformed pages: a quote opens a value only after ``=``; a tag without
+    ``>`` is text; an element of ``MAY_STAY_OPEN`` without an end tag before
+    the next of its kind loses its start tag alone, any other raw element
+    without one hides the rest of the page, as in a browser."""
     top = Element("html", None, "")
-    here, blocks = top, []
+    here, blocks, elements = top, [], [top]
+    last_tag_end, unclosed = page.rfind(">"), set()
     parts: list[str] = []
     linked = 0
     home = top
@@ -120,6 +172,7 @@ def read_blocks(page: str) -> list[Block]:
         parts.clear()
         if text:
             blocks.append(Block(text, home, min(linked, len(text))))
+            home.prose += len(text) - min(linked, len(text))
         linked = 0
 
     def say(raw: str) -> None:
@@ -136,7 +189,7 @@ def read_blocks(page: str) -> list[Block]:
 
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last_tag_end else None
         if m is None:
             say(page[at:])
             break
@@ -162,15 +215,21 @@ def read_blocks(page: str) -> list[Block]:
             if parts:
                 parts.append(" ")
             continue
+        if tag in CONTROLS and not re.search(r"type\s*=\s*[\"']?hidden", m.group(3), re.I):
+            here.controls += 1
         if tag in VOID:
             continue
         if tag in RAW:
-            if tag != "head" and not m.group(3).endswith("/"):
+            if tag != "head" and not m.group(3).endswith("/") and tag not in unclosed:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                if tag not in MAY_STAY_OPEN:
+                    at = end.end() if end else n
+                elif end is None:
+                    unclosed.add(tag)
+                elif not re.compile(rf"<{tag}[\s/>]", re.I).search(page, at, end.start()):
+                    at = end.end()
             continue
         if tag in ("html", "body") and here.parent is None:
-            here.zone = min(here.zone, 0)
             continue
         for closes in (CLOSES.get(tag, ()), ("p",) if tag in BLOCK else ()):
             e = here
@@ -179,16 +238,23 @@ def read_blocks(page: str) -> list[Block]:
             if e.parent and e.tag in closes:
                 here = e.parent
         e = Element(tag, here, m.group(3))
+        elements.append(e)
         if not m.group(3).endswith("/"):
             here = e
     close()
+    weigh(elements)
     return blocks
 
 
-#: weights of the linear classifier (positive: content)
+#: weights of the classifier (positive: content).  Chosen by hand so that prose
+#: of any length inside trusted boilerplate costs one (2 - 3), a link list inside
+#: an article stays just positive (2.2 - 2), and prose in unnamed elements two.
 WEIGHTS = {"bias": -1.2, "words": 0.55, "links": -4.5, "sentence": 0.7, "paragraph": 0.9, "heading": 0.6,
-           "item": -0.5, "content": 4.0, "soft": -1.8, "boilerplate": -9.0}
+           "item": -0.5, "content": 2.2, "soft": -2.2, "boilerplate": -3.0, "hidden": -9.0}
+TEXT_BOUND = 2.0
 NEAR = 0.9  # capacity between neighbours of one parent
+ACROSS = 0.25  # share of it left across the border of a region
+FORM_CHARS = 100  # prose a form may hold per control before its tag is doubted
 
 
 def content_score(b: Block) -> float:
@@ -204,7 +270,20 @@ def content_score(b: Block) -> float:
         s += w["heading"]
     if e.tag in ("li", "td", "th", "dt", "dd"):
         s += w["item"]
-    return s + (w["boilerplate"] if e.zone == -2 else w["soft"] if e.zone == -1 else w["content"] if e.zone == 1 else 0.0)
+    return TEXT_BOUND * math.tanh(s / TEXT_BOUND) + surroundings(e)
+
+
+def surroundings(e: Element) -> float:
+    """What the elements around a block say: boilerplate as far as it is
+    trusted, the nearest other region for the rest."""
+    w = WEIGHTS
+    region = e.region
+    while region.kind == BOILERPLATE and region.parent:
+        region = region.parent.region
+    if region.kind == HIDDEN:
+        return w["hidden"]
+    other = w["content"] if region.kind == CONTENT else w["soft"] if region.kind == SOFT else 0.0
+    return (1 - e.doubt) * w["boilerplate"] + e.doubt * other
 
 
 def tree_distance(a: Element, b: Element) -> int:
@@ -222,14 +301,19 @@ def tree_distance(a: Element, b: Element) -> int:
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: page neighbours, and the last earlier block of the
-    same parent element; weaker the further apart in the tree."""
+    same parent element; weaker the further apart in the tree, and across the
+    border of a region."""
+    def near(a: Element, b: Element) -> float:
+        return NEAR if a.region is b.region and a.doubt == b.doubt else NEAR * ACROSS
+
     out, last = [], {}
     for i, b in enumerate(blocks):
         parent = id(b.home.parent)
         if i:
-            out.append((i - 1, i, NEAR / (1 + 0.5 * max(0, tree_distance(blocks[i - 1].home, b.home) - 2))))
+            before = blocks[i - 1].home
+            out.append((i - 1, i, near(before, b.home) / (1 + 0.5 * max(0, tree_distance(before, b.home) - 2))))
         if parent in last and last[parent] != i - 1:
-            out.append((last[parent], i, NEAR / 2))
+            out.append((last[parent], i, near(blocks[last[parent]].home, b.home) / 2))
         last[parent] = i
     return out
 

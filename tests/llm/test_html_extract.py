@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from boreframe.llm.html_extract import extract_pages, main_text, min_cut, read_blocks
+from boreframe.llm.html_extract import content_score, edges_of, extract_pages, main_text, min_cut, read_blocks
 
 STORY = ["The river rose again in the night, and nobody in the village slept much.",
          "By morning the lower fields were gone; only the tops of the fence posts showed.",
@@ -71,6 +71,94 @@ def test_weak_blocks_follow_their_neighbours():
     assert min_cut([-2.0, 0.3, -2.0], [(0, 1, 0.9), (1, 2, 0.9)]) == [False, False, False]
 
 
+def test_the_cut_decides_where_a_block_alone_is_wrong():
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(4)) \
+        + "<li>Welcome to this site, dear reader.</li>" \
+        + "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(4)) + "</ul>"
+    planted = {  # page without names: text that must stay and must go
+        f"<div>{menu}</div><div><p>{STORY[0]}</p><div>3 May</div><p>{STORY[1]}</p></div>": "3 May",
+        f"<div>{menu}</div><div><p>{STORY[0]}</p><p><a href=/x>See the map</a> here.</p><p>{STORY[1]}</p></div>":
+            "See the map here.",
+    }
+    for page, kept in planted.items():
+        blocks = read_blocks(page)
+        costs = [content_score(b) for b in blocks]
+        alone = {b.text: c > 0 for b, c in zip(blocks, costs)}
+        cut = {b.text: x for b, x in zip(blocks, min_cut(costs, edges_of(blocks)))}
+        assert alone["Welcome to this site, dear reader."] and not cut["Welcome to this site, dear reader."]
+        assert not alone[kept] and cut[kept]
+        assert main_text(page) == "\n".join([STORY[0], kept, STORY[1]])
+
+
+def test_names_are_weighed_by_the_text_below():
+    search = "<input type=hidden name=state><input name=q><button>Find</button>"
+    long = PARAGRAPHS + f"<p>{STORY[1]}</p>" * 3
+    text = TEXT + f"\n{STORY[1]}" * 3
+    assert main_text(f"<form id=aspnetForm>{search}<nav>{MENU}</nav><h1>Flood</h1>{long}</form>") == "Flood\n" + text
+    assert main_text(f"<form id=aspnetForm>{search}{long}</form>") == text
+    assert main_text(f'<article class="post comments-open">{PARAGRAPHS}</article>') == TEXT
+    assert main_text(f"<div class='widget'><h1>Flood</h1>{PARAGRAPHS}</div>") == "Flood\n" + TEXT
+    for name in ("comments", "ad", "sidebar"):  # prose of that kind still goes, also where it is longer
+        page = f"<article><h1>Flood</h1>{PARAGRAPHS}<div class={name}>{long}{long}</div></article>"
+        assert main_text(page) == "Flood\n" + TEXT
+    form = "<form><p>Our newsletter reaches ten thousand readers every day.</p><input><button>Join</button></form>"
+    assert main_text(f"<article>{PARAGRAPHS}{form}</article>") == TEXT
+
+
+def test_malformed_pages_keep_their_text():
+    assert main_text("<p title=it's>One is here, they said.</p><p>This isn't lost, as they said.</p>") \
+        == "One is here, they said.\nThis isn't lost, as they said."
+    for tag in ("svg", "object", "select", "noscript", "template"):
+        open_ = f"<article>{PARAGRAPHS}<{tag}><p>{STORY[1]}</p></article>"
+        assert main_text(open_) == f"{TEXT}\n{STORY[1]}"
+        assert main_text(f"{open_}<footer><{tag}>x</{tag}></footer>") == f"{TEXT}\n{STORY[1]}"
+        assert main_text(f"<article>{PARAGRAPHS}<{tag}><p>no</p></{tag}></article>") == TEXT
+    assert main_text(f"<article>{PARAGRAPHS}</article><script>var a;") == TEXT
+    assert main_text(f"<article>{PARAGRAPHS}</article>" + "<a x='1' y=\"2\" " * 20_000).startswith(TEXT)
+    assert [b.text for b in read_blocks("<p a='1>2' b=\"it's\">x</p><p>y")] == ["x", "y"]
+
+
+def test_blocks_of_random_trees():
+    rnd = random.Random(7)
+
+    def grow(depth, out, parts):
+        """Random element content as html; texts go to ``parts``, blocks to ``out``."""
+        page = ""
+        for _ in range(rnd.randint(0, 4)):
+            kind = rnd.choice(["text", "inline", "block", "raw", "comment", "br"])
+            if kind == "text":
+                text = rnd.choice(["a", " b ", "c &amp; d", "\n", "é", "x  y"])
+                parts.append(text.replace("&amp;", "&"))
+                page += text
+            elif kind == "br":
+                parts.append(" ")
+                page += "<br>"
+            elif kind == "raw":
+                page += rnd.choice(["<script>if (a<b) '<p>'</script>", "<style>p{}</style>"])
+            elif kind == "comment":
+                page += "<!-- <p>no</p> -->"
+            elif depth and kind == "inline":
+                page += f"<b class='x>y'>{grow(depth - 1, out, parts)}</b>"
+            elif depth:
+                flush(out, parts)
+                inner = grow(depth - 1, out, parts)
+                flush(out, parts)
+                page += f"<div>{inner}</div>"
+        return page
+
+    def flush(out, parts):
+        text = " ".join("".join(parts).split())
+        parts.clear()
+        if text:
+            out.append(text)
+
+    for _ in range(300):
+        out, parts = [], []
+        page = grow(4, out, parts)
+        flush(out, parts)
+        assert [b.text for b in read_blocks(page)] == out, page
+
+
 def test_pages_table(spark):
     rows = [(1, "u", FRAMES[0].format(menu=MENU, body=PARAGRAPHS), "x"), (2, None, None, "x"), (None, "u", "", "x"),
             (1, "u", FRAMES[0].format(menu=MENU, body=PARAGRAPHS), "x")]
