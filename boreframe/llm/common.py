@@ -37,10 +37,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RE), "")
 
 
-def sized(df: DataFrame, max_rows: int) -> DataFrame:
+def sized(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
     """Broadcast hint for a materialised side whose counted rows stay within
-    ``max_rows``; beyond it Spark's shuffled, skew-splitting join is used."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    ``max_rows`` and its bytes (of its JSON form) within ``max_bytes``; beyond
+    either Spark's shuffled, skew-splitting join is used."""
+    rows, size = df.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -3,13 +3,16 @@
 Lines are normalised (lower case, white space collapsed) and hashed.  Per host
 the number of distinct documents that hold a line is counted; equal texts
 count once, so a page is not boilerplate because it was crawled many times.
-Lines above the limits (a share of the host's documents, and a least number)
-are removed, and documents that lose more than a share of their words are
-rejected, as are those that fail the base rules.
-
-A host has at most (mean lines per document / share) lines above the limit,
-so they travel to its documents as one short array: the second pass over the
-texts is a projection, and no line is shuffled there.
+Lines above a limit (a share of the host's documents, or a number of them that
+is enough at any host) are removed, and documents that lose more than a share
+of their words are rejected, as are those that fail the base rules.
+
+The distinct documents of a host are kept once as arrays of line hashes, eight
+bytes a line, for all that is counted.  A host has at most (mean lines per
+document / share) lines above the share, so they travel to its documents as one
+short array.  Lines above the number alone may be many at a large host: they
+are joined as rows to the line hashes, and only what a document holds itself
+travels to it.  Lines are never shuffled as text.
 """
 
 from __future__ import annotations
@@ -69,42 +72,56 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
-def common_lines(docs: DataFrame, host_col: str, text_col: str, min_docs: int,
-                 max_share: float) -> DataFrame:
-    """``(host, common)``: per host the hashes of the lines above the limits."""
-    d = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"),
-                    F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("content"),
-                    F.array_distinct(line_hashes(F.col(text_col))).alias("lines"))
-    seen = (d.select("host", "content", F.explode("lines").alias("line"))
-            .groupBy("host", "line").agg(F.countDistinct("content").alias("n"))
-            .where(F.col("n") >= min_docs))
-    sizes = d.groupBy("host").agg(F.countDistinct("content").alias("docs"))
-    return cut(seen.join(sizes, "host").where(F.col("n") > max_share * F.col("docs"))
-               .groupBy("host").agg(F.collect_list("line").alias("common")))
+def content_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def common_lines(docs: DataFrame, host_col: str, text_col: str, min_docs: int, max_share: float,
+                 max_docs: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(host, common)``, per host the hashes of the lines above the share,
+    and ``(host, content, own)``, per text the hashes of its lines that are
+    above the number alone."""
+    d = cut(docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"),
+                        content_hash(F.col(text_col)).alias("content"),
+                        F.array_distinct(line_hashes(F.col(text_col))).alias("lines"))
+            .dropDuplicates(["host", "content"]))
+    lines = d.select("host", "content", F.explode("lines").alias("line"))
+    seen = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    sizes = d.groupBy("host").agg(F.count("*").alias("docs"))
+    over = cut(seen.join(sizes, "host").select("host", "line", "n", (F.col("n") > max_share * F.col("docs")).alias("share"))
+               .where(F.col("share") | (F.col("n") >= max_docs)))
+    common = over.where("share").groupBy("host").agg(F.collect_list("line").alias("common"))
+    rest = sized(over.where("not share").select("host", "line"), broadcast_rows)
+    own = lines.join(rest, ["host", "line"]).groupBy("host", "content").agg(F.collect_list("line").alias("own"))
+    return cut(common), cut(own)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   host_col: str = "source", min_docs: int = 10, max_share: float = 0.05,
-                  max_removed: float = 0.5, broadcast_hosts: int = 100_000) -> DataFrame:
+                  max_removed: float = 0.5, broadcast_hosts: int = 100_000,
+                  max_docs: int = 1000) -> DataFrame:
     """One row per document: ``id_col``, the base columns ``n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``, then
     ``n_common_lines``, ``n_common_words`` (what the line limits remove),
     ``kept`` and ``clean_text`` (the text without those lines).
 
     A line goes if at least ``min_docs`` distinct documents of the host, and
-    more than ``max_share`` of them, hold it; a document is rejected if it
-    loses more than ``max_removed`` of its words.
+    more than ``max_share`` of them, hold it, or if ``max_docs`` do, whatever
+    the host's size; a document is rejected if it loses more than
+    ``max_removed`` of its words.
 
     Null or empty text: no words, so base_failed.  Null host: a host of its
     own.  Null ids and repeated rows: judged like any row; equal texts of a
     host count as one document.  Empty table: no rows.
     """
-    common = sized(common_lines(docs, host_col, text_col, min_docs, max_share), broadcast_hosts)
+    common, own = (sized(x, broadcast_hosts)
+                   for x in common_lines(docs, host_col, text_col, min_docs, max_share, max_docs, broadcast_hosts))
     text = F.col("text")
+    none = F.array().cast("array<bigint>")
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"),
-                    F.col(text_col).alias("text"))
-    marked = d.join(common, "host", "left").select(
-        "id", "text", F.coalesce("common", F.array().cast("array<bigint>")).alias("common"))
+                    F.col(text_col).alias("text"), content_hash(F.col(text_col)).alias("content"))
+    marked = d.join(common, "host", "left").join(own, ["host", "content"], "left").select(
+        "id", "text", F.concat(F.coalesce("common", none), F.coalesce("own", none)).alias("common"))
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     gone = F.when(F.size("common") == 0, F.array().cast("array<string>")).otherwise(F.filter(
         lines, lambda x: (F.translate(x, _SPACES, "") != "")

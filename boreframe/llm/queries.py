@@ -73,7 +73,7 @@ norm as (select rid, host, t, line, lower(trim(regexp_replace(line, '[\x20\x09-\
          from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
 sizes as (select host, count(distinct t) as docs from d group by host),
 freq as (select host, k, count(distinct t) as n from norm group by host, k),
-common as (select host, k from freq join sizes using (host) where n >= 10 and n > 0.05 * docs),
+common as (select host, k from freq join sizes using (host) where n >= 10 and (n > 0.05 * docs or n >= 1000)),
 gone as (select rid, count(*) as n_common_lines, sum(lw) as n_common_words
          from norm join common using (host, k) group by rid),
 dup as (select rid, count(*) - count(distinct line) as n_dup_lines from norm group by rid),

@@ -109,6 +109,20 @@ def test_quality_rules(spark):
     assert same == {i: r.kept for i, r in got.items()}
 
 
+def test_line_limit_that_does_not_grow_with_the_host(spark):
+    rows = [(i, "h", f"u{i} a b c d e f g h i\nshort tail" + ("\nseen by twenty" if i < 20 else "")
+             + ("\nseen by nineteen" if 20 <= i < 39 else "")) for i in range(1000)]
+    rows += [(2000 + i, "h", rows[0][2]) for i in range(50)]  # copies count once
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for limit in (100_000, 0):  # broadcast or not
+        got = {r.doc_id: r for r in quality_rules(d, max_docs=20, broadcast_hosts=limit).collect()}
+        assert len(got) == len(rows)
+        for i, _, t in rows:
+            gone = [x for x in t.split("\n") if x in ("short tail", "seen by twenty")]
+            assert (got[i].n_common_lines, got[i].n_common_words) == (len(gone), sum(len(x.split()) for x in gone))
+            assert got[i].clean_text == "\n".join(x for x in t.split("\n") if x not in gone) and got[i].kept
+
+
 # ---------------------------------------------------------------- license scans
 
 def test_license_scan(spark):
