@@ -3,10 +3,13 @@ parameters, and the DuckDB text of those that SQL can express."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boreframe.llm.common import load
+from boreframe.session import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -170,9 +173,12 @@ from d left join agg using (rid)"""
 
 @register("op9_secret_scan", _secret_oracle())
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from boreframe.llm.secret_scan import secret_scan, span_text
-    found, _ = secret_scan(load(spark, sf_dir, "documents"))
-    spans = F.col("spans")
+    from boreframe.llm.secret_scan import BlobLedger, span_text
+    docs, english = load(spark, sf_dir, "documents"), F.coalesce(F.col("lang") == "en", F.lit(False))
+    ledger = BlobLedger(spark, shared_dir(spark, f"secret-ledger-{uuid.uuid4().hex}"))
+    ledger.scan(docs.where(english), "english")  # the table comes in two arrivals; the second
+    ledger.scan(docs.where(~english), "other")  # scans only blobs that the first did not hold
+    found, spans = ledger.history(), F.col("spans")
 
     def kind(n: int):
         return F.size(F.filter(spans, lambda x: x["rank"] == n)).cast("long")

@@ -4,14 +4,16 @@ Every version of every path is addressed by the SHA-256 of its content.  A
 ledger holds, per blob and rule version, the findings of blobs scanned so far.
 A run scans each blob once, and only those (blob, rule version) pairs that the
 ledger lacks; the new rows extend the ledger, and findings join back to every
-path and version that holds the blob.
+path and version that holds the blob.  ``BlobLedger`` keeps both the findings
+and the paths as tables in a shared folder, from one run to the next.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boreframe.llm.common import cut, fresh, let, sized
@@ -150,6 +152,53 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str =
     return findings(d, full, id_col, text_col, rule_version), full
 
 
+class BlobLedger:
+    """A ledger in the folder ``path`` (shared by driver and executors).
+
+    ``found`` holds (blob, rule_version, spans), appended to by every scan;
+    ``paths`` holds (path, blob) of every row of every arrival, one partition
+    an arrival.  An arrival is any set of rows that came together: a crawl, a
+    commit, a day.  A scan that died may be repeated: its arrival is written
+    anew, and blobs it had appended are not scanned again.  Two scans at once
+    may both scan a blob; its equal findings count once.  Change
+    ``rule_version`` with the rules: older findings stay under their own.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, rules: list[Rule] | None = None,
+                 rule_version: str = RULE_VERSION):
+        self.spark, self.rules, self.rule_version = spark, rules, rule_version
+        self._found, self._paths = f"{path}/found", f"{path}/paths"
+        empty_ledger(spark).write.mode("ignore").parquet(self._found)
+
+    def found(self) -> DataFrame:
+        """``(blob, rule_version, spans)`` of all blobs scanned so far."""
+        kept = self.spark.read.schema(f"blob binary, rule_version string, spans {SPANS}").parquet(self._found)
+        return kept.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
+
+    def scan(self, versions: DataFrame, arrival: str, path_col: str = "doc_id", text_col: str = "text") -> None:
+        """Scans the blobs of ``versions`` that the ledger lacks under its
+        rule version, and keeps their findings and all paths.
+
+        Null or empty text: the blob of the empty text.  Null paths and
+        repeated rows: kept as they are.  Empty table: an arrival of no rows.
+        """
+        if not re.fullmatch(r"[A-Za-z]\w*", arrival):
+            raise ValueError(f"the name of an arrival is a word, not {arrival!r}")
+        d = versions.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+        (d.select("path", _blob(F.col("text")).alias("blob"))
+         .write.mode("overwrite").parquet(f"{self._paths}/arrival={arrival}"))
+        (scan_versions(d, self.found(), "text", self.rules, self.rule_version)
+         .write.mode("append").parquet(self._found))
+
+    def history(self, path_col: str = "doc_id") -> DataFrame:
+        """``(arrival, path_col, spans)`` of every row that ever arrived
+        (spans null: not yet scanned under this rule version)."""
+        held = self.found().where(F.col("rule_version") == self.rule_version).select("blob", "spans")
+        return (self.spark.read.option("basePath", self._paths).parquet(f"{self._paths}/arrival=*")
+                .join(held, "blob", "left")
+                .select(F.col("arrival").cast("string").alias("arrival"), F.col("path").alias(path_col), "spans"))
+
+
 def _pem_rest(rest: Column) -> Column:
     """Length of the key block whose BEGIN line ends where ``rest`` starts:
     through its END line, or without one the base64 lines that follow.  Line

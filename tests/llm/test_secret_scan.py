@@ -96,6 +96,37 @@ def test_redact_leaves_nothing_of_a_private_key(spark):
         assert got.text == texts[t], t[:40]
 
 
+def test_kept_ledger(spark, tmp_path):
+    at = str(tmp_path / "ledger")
+    S.BlobLedger(spark, at).scan(docs(spark, ["token=abcdefg", "clean", None]), "first")
+    assert S.BlobLedger(spark, at).found().count() == 3
+    ledger = S.BlobLedger(spark, at)  # another session opens what the last one kept
+    before = {bytes(r.blob) for r in ledger.found().collect()}
+    later = docs(spark, ["token=abcdefg", "", "password=hunter22", "password=hunter22"])
+    later = later.unionByName(spark.createDataFrame([(None, "token=abcdefg", "c")], later.schema))
+    for _ in range(2):  # repeating an arrival changes nothing
+        ledger.scan(later, "second")
+        assert {bytes(r.blob) for r in ledger.found().collect()} - before \
+            == {hashlib.sha256(b"password=hunter22").digest()}
+        got = sorted(((r.arrival, r.doc_id is None, r.doc_id or 0, len(r.spans)) for r in ledger.history().collect()))
+        assert got == [("first", False, 0, 1), ("first", False, 1, 0), ("first", False, 2, 0),
+                       ("second", False, 0, 1), ("second", False, 1, 0), ("second", False, 2, 1),
+                       ("second", False, 3, 1), ("second", True, 0, 1)]
+    assert spark.read.parquet(at + "/found").count() == 4  # no blob was scanned twice
+    # what is known comes from the kept table, not from another scan
+    spark.createDataFrame([(hashlib.sha256(b"planted").digest(), S.RULE_VERSION, [(0, 0, 3, "kept")])],
+                          ledger.found().schema).write.mode("append").parquet(at + "/found")
+    ledger.scan(docs(spark, ["planted"]), "third")
+    assert [r.spans[0].kind for r in ledger.history().where("arrival = 'third'").collect()] == ["kept"]
+    newer = S.BlobLedger(spark, at, S.BASE_RULES[:1], "2")
+    assert newer.history().where("spans is not null").count() == 0
+    newer.scan(later, "second")
+    assert newer.history().where("arrival = 'second' and spans is null").count() == 0
+    assert ledger.found().where("rule_version = '1'").count() == 5
+    newer.scan(later.limit(0), "none")
+    assert newer.history().where("arrival = 'none'").count() == 0
+
+
 def test_empty_table_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     found, ledger = S.secret_scan(spark.createDataFrame([], schema))
