@@ -17,7 +17,7 @@ from boreframe.llm.common import fresh, load
 from boreframe.llm.decontaminate import decontaminate
 from boreframe.llm.packing import pack
 from boreframe.llm.quality_classifier import keep_quality
-from boreframe.llm.secret_scan import redact, secret_scan
+from boreframe.llm.secret_scan import BlobLedger, redact
 from boreframe.llm.simhash import drop_near_dups
 from boreframe.session import shared_dir
 
@@ -39,10 +39,16 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by a mark; ``n_chars`` follows the text."""
-    _, ledger = secret_scan(docs)
+    """Replaces every secret by a mark; ``n_chars`` follows the text.
+
+    The ledger is kept where the session setting ``boreframe.secrets.ledger``
+    says, so that a later run scans only texts it has not seen; without it
+    each run has one of its own."""
+    ledger = BlobLedger(spark, spark.conf.get("boreframe.secrets.ledger", None)
+                        or shared_dir(spark, f"secret-ledger-{uuid.uuid4().hex}"))
+    ledger.scan(docs, "documents")
     before, = fresh(docs, "before")
-    clean = redact(docs.withColumn(before, F.length("text")), ledger)
+    clean = redact(docs.withColumn(before, F.length("text")), ledger.found())
     changed = F.length("text") != F.col(before)
     return (clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
             .select(*docs.columns))
