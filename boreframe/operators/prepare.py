@@ -265,10 +265,10 @@ def label_index(df: DataFrame, label: str) -> DataFrame:
 
 
 def decode_index(idx: Column, labels, unknown_prefix: str = "Unknown_Class_") -> Column:
-    """Index -> name; out-of-range -> ``Unknown_Class_<i>``."""
+    """Index -> name; out-of-range, negative too -> ``Unknown_Class_<i>``; null -> null."""
     arr = F.array(*[F.lit(x) for x in labels])
     i = idx.cast("int")
-    return F.coalesce(F.try_element_at(arr, i + 1), F.concat(F.lit(unknown_prefix), i.cast("string")))
+    return F.coalesce(F.get(arr, i), F.concat(F.lit(unknown_prefix), i.cast("string")))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..config import LogConfig
 from ..operators import charts as V
 from ..operators import conform as P
 from ..operators import prepare as I
@@ -63,6 +64,35 @@ def label_index(spark, sf_dir):
     return I.label_index(labelled_normalized(spark, sf_dir), "LABEL")
 
 
+_SHIFT_SQL = "case when l_orderkey % 9 = 0 then 100 when l_orderkey % 11 = 0 then -100 when l_orderkey % 13 = 0 then null else 0 end"
+
+
+@register("label_decode", O.with_wells(f"""
+, t as (select *, {LABEL_MAP_SQL} as label from wells where LITH is not null)
+, i as (select label, row_number() over (order by label) - 1 as ix from t group by label)
+, s as (select {O.KEY_SQL}, cast(ix + {_SHIFT_SQL} as integer) as class_index from t join i using (label))
+select s.*, case when class_index is null then null
+  else coalesce(label, 'Unknown_Class_' || class_index) end as decoded from s left join i on ix = class_index"""))
+def label_decode(spark, sf_dir):
+    """Labels to indexes, some shifted out of range, and back to names."""
+    rows = labelled_normalized(spark, sf_dir)
+    names = [r.label for r in I.label_index(rows, "LABEL").orderBy("index").collect()]  # one per class
+    at = F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]), F.col("LABEL"))
+    return (rows.select(*KEY, (at + F.expr(_SHIFT_SQL)).cast("int").alias("class_index"))
+            .withColumn("decoded", I.decode_index(F.col("class_index"), names)))
+
+
+@register("feature_select", O.with_wells(" union all ".join(
+    f"select '{f}' as feature, {i} as position, count({f}) as present from wells" for i, f in enumerate(FEATS))))
+def feature_select(spark, sf_dir):
+    """The configured curves that the table has, in order, with their readings."""
+    df = wells(spark, sf_dir)
+    found = P.select_features(df, LogConfig(target=TARGET))
+    counts = F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("position"), F.col(f).alias("present"))
+                                for i, f in enumerate(found)]))
+    return df.agg(*[F.count(f).alias(f) for f in found]).select(counts)
+
+
 @register("class_weights", O.with_wells(f"""
 , t as (select {LABEL_MAP_SQL} as label from wells where LITH is not null)
 , c as (select label, count(*) as count from t group by label)

@@ -10,12 +10,16 @@ The same operators run on real model output in the ML queries.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import evaluate as E
 from ..operators import score as R
 from ..operators import charts as V
+from ..session import shared_dir
+from ..sources.sinks import run_summary, write_json_rows
 from ..sources.testview import KEY, wells
 from . import oracle as O
 from .q_analytics import LABEL_MAP_SQL, labelled_normalized
@@ -155,6 +159,41 @@ def compare_models(spark, sf_dir):
     return round_doubles(E.compare_models(scored(spark, sf_dir), "ACTUAL", {"random_forest": "PREDICTED", "xgboost": "PREDICTED2"}))
 
 
+@register("accuracy_pick", BEST_SQL.replace("order by f1_score desc, model_order asc",
+                                            "order by accuracy desc, model <> 'random_forest', model"))
+def accuracy_pick(spark, sf_dir):
+    """The better of both rule-based predictions by accuracy."""
+    return round_doubles(E.pick_by_accuracy(
+        E.compare_models(scored(spark, sf_dir), "ACTUAL", {"random_forest": "PREDICTED", "xgboost": "PREDICTED2"})))
+
+
+@register("metrics_json", COMPARE_SQL)
+def metrics_json(spark, sf_dir):
+    """Both models' metrics written as JSON rows and read back."""
+    rows = compare_models(spark, sf_dir)
+    path = write_json_rows(rows, shared_dir(spark, f"metrics-{uuid.uuid4().hex[:12]}"))
+    return spark.read.schema(rows.schema).json(path)
+
+
+@register("run_summary_facts", BEST_SQL.replace("select model, round(accuracy, 6)", """
+, best as (select model, round(accuracy, 6)""") + """)
+, names as (select list(distinct ACTUAL order by ACTUAL) as c from scored)
+select (select count(*) from scored) as total_samples, """ + str(len(C.FEATURES)) + """ as features, cast(len(c) as integer) as classes,
+  array_to_string(c, ',') as class_names, model as best_model, f1_score as best_f1_score,
+  2 as models, (select round(accuracy, 6) from ma) as forest_accuracy from best, names""")
+def run_summary_facts(spark, sf_dir):
+    """The summary of a run over both rule-based predictions."""
+    sc = scored(spark, sf_dir)
+    metrics = E.compare_models(sc, "ACTUAL", {"random_forest": "PREDICTED", "xgboost": "PREDICTED2"}).collect()
+    about = sc.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("ACTUAL")).alias("names")).first()
+    s = run_summary(spark, about.n, len(C.FEATURES), about.names, [r.asDict() for r in metrics])
+    return round_doubles(s.select(
+        "dataset_info.total_samples", "dataset_info.features", "dataset_info.classes",
+        F.array_join("dataset_info.class_names", ",").alias("class_names"), "best_model", "best_f1_score",
+        F.size("all_model_results").alias("models"),
+        F.col("all_model_results")["random_forest"]["accuracy"].alias("forest_accuracy")))
+
+
 # ---------------------------------------------------------------------------
 # R3, R5-R11, V6, V7 on the scored view
 # ---------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -356,6 +357,60 @@ def model_roundtrip_batch_score(spark, sf_dir):
     return spark.read.parquet(out).select(*KEY, "WELL", "Predicted_Lithology", "Prediction_Confidence")
 
 
+_KEYS = ", ".join(KEY)
+
+
+@register("score_names", O.with_wells(f"select {_KEYS}, true as known_class, true as sure, 0 as probability_columns from wells"))
+def score_names(spark, sf_dir):
+    """R2: names and confidence alone, without a column per class."""
+    train, _ = _split(spark, sf_dir)
+    model = T.fit(train, FEATS, LABEL, _forest())
+    sc = T.score_table(model, wells(spark, sf_dir), prob_prefix=None)
+    sure, n = F.col("Prediction_Confidence"), len(T.class_labels(model))
+    return sc.select(*KEY, F.col("Predicted_Lithology").isin(T.class_labels(model)).alias("known_class"),
+                     ((sure >= 1 / n - 1e-9) & (sure <= 1 + 1e-9)).alias("sure"),
+                     F.lit(sum(c.startswith("Prob_") for c in sc.columns)).alias("probability_columns"))
+
+
+@register("importance_checks", O.with_wells(" union all ".join(
+    f"select '{f}' as feature, count({f}) > 0 as in_range, true as in_order, true as sums_to_one from wells" for f in FEATS)))
+def importance_checks(spark, sf_dir):
+    """E5: every curve once, falling importances, sum 1."""
+    imp = feature_importance(spark, sf_dir)
+    before = F.lag("importance").over(Window.partitionBy(F.lit(1)).orderBy("rank"))  # one row per curve
+    total = F.sum("importance").over(Window.partitionBy(F.lit(1)))
+    v = F.col("importance")
+    return imp.select("feature", v.between(0, 1).alias("in_range"), (v <= F.coalesce(before, v)).alias("in_order"),
+                      (F.abs(total - 1) < 1e-5).alias("sums_to_one"))
+
+
+@register("saved_run_checks", O.with_wells(f"""
+select {_KEYS}, true as same_label, true as same_confidence, true as newest, true as same_metrics from wells"""))
+def saved_run_checks(spark, sf_dir):
+    """Of two saved runs the newest is loaded, with its metrics, and scores as it did before."""
+    base = shared_dir(spark, f"runs-{uuid.uuid4().hex[:12]}")
+    train, test = _split(spark, sf_dir)
+    older = T.fit(train, FEATS, LABEL, T.random_forest(num_trees=5, max_depth=3))
+    model = T.fit(train, FEATS, LABEL, _forest())
+    T.save_run(spark, base, {"random_forest": older})
+    metrics = round_doubles(_metrics(model, test, "random_forest")).cache()
+    run = T.save_run(spark, base, {"random_forest": model}, metrics)
+    models, found = T.load_latest(spark, base)
+    kept = T.load_metrics(spark, base).select(*metrics.columns).collect()
+    df = T.score_table(model, wells(spark, sf_dir), label_out="A", conf_out="CA", prob_prefix=None)
+    df = T.score_table(models["random_forest"], df, label_out="B", conf_out="CB", prob_prefix=None)
+    return df.select(*KEY, (F.col("A") == F.col("B")).alias("same_label"),
+                     (F.abs(F.col("CA") - F.col("CB")) < 1e-12).alias("same_confidence"),
+                     F.lit(found == run).alias("newest"), F.lit(kept == metrics.collect()).alias("same_metrics"))
+
+
+@register("batch_score_counts", O.with_wells("select WELL, count(*) as rows, count(*) as scored from wells group by WELL"))
+def batch_score_counts(spark, sf_dir):
+    """Rows and scored rows per well of the files that a batch run wrote."""
+    rows = model_roundtrip_batch_score(spark, sf_dir)
+    return rows.groupBy("WELL").agg(F.count("*").alias("rows"), F.count("Predicted_Lithology").alias("scored"))
+
+
 @register("complete_training_run")
 def complete_training_run(spark, sf_dir):
     """The whole training flow (plans.training_run): profile, annotate,

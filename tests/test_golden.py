@@ -140,3 +140,10 @@ def test_py_format_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r[0] for r in df.select(py_format("v", ".1f")).collect()]
     assert got == [None if v is None else format(v, ".1f") for v in vals]
+
+
+def test_decode_index_out_of_range(spark):
+    from boreframe.operators.prepare import decode_index
+    d = spark.createDataFrame([(0,), (1,), (2,), (-1,), (-2,), (None,)], "i int")
+    got = [r[0] for r in d.select(decode_index(F.col("i"), ["A", "B"])).collect()]
+    assert got == ["A", "B", "Unknown_Class_2", "Unknown_Class_-1", "Unknown_Class_-2", None]
