@@ -236,3 +236,21 @@ def test_twenty_incomplete_curves_and_new_masks(spark):
         for i, n in enumerate(names[:15]):
             const, coef = forms[n]
             assert abs(got[i] - (const + sum(w * row[h] for h, w in coef.items()))) < 1e-9
+
+
+def test_knn_search_sends_the_bound_along_and_keeps_only_what_lies_within(spark, monkeypatch):
+    """The cells' answers stay small: a cell beyond the k nearest adds no row."""
+    from boreframe.operators import knn
+    rows = [(i, float(i * 7 % 101), float(i * 13 % 89) if i % 5 else None, float(i % 3)) for i in range(150)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double")
+    DataFrame = type(df)
+    schemas, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(knn, "CELL", 8)
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, schema, *a, **o: schemas.append(schema) or plain(self, f, schema, *a, **o))
+    got = {r["k"]: r["b"] for r in knn.knn_impute(df, ["a", "b", "c"], k=3).collect()}
+    assert any("bound double" in s and "cell int" in s for s in schemas)
+    have = [r for r in rows if r[2] is not None]
+    for k, a, b, c in rows:
+        if b is None:
+            best = sorted((((x[1] - a) ** 2 + (x[3] - c) ** 2) * 3 / 2, x[2]) for x in have)[:3]
+            assert abs(got[k] - sum(v for _, v in best) / 3) < 1e-9
