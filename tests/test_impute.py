@@ -254,3 +254,30 @@ def test_knn_search_sends_the_bound_along_and_keeps_only_what_lies_within(spark,
         if b is None:
             best = sorted((((x[1] - a) ** 2 + (x[3] - c) ** 2) * 3 / 2, x[2]) for x in have)[:3]
             assert abs(got[k] - sum(v for _, v in best) / 3) < 1e-9
+
+
+def test_knn_cells_are_found_by_descent_and_donors_by_boxes():
+    import numpy as np
+
+    from boreframe.operators import knn
+    rng = np.random.default_rng(5)
+    y = np.round(rng.normal(size=(700, 3)), 2)
+    part = np.c_[y[:, 0], np.full(700, np.nan), y[:, 2]]
+    cells = knn._Cells({7: 40_000, 5: 20_000}, {7: y, 5: part}, 3)
+    x = np.round(rng.normal(size=(60, 3)), 2)
+    x[:20, 1], x[20:40, 0], x[55:, :] = np.nan, np.nan, [np.nan, 1.0, np.nan]
+    limit = rng.uniform(0, 2, 60)
+    limit[50:] = np.inf
+    want = np.array([sum(1 << d for d in range(3) if np.isnan(v[d])) or 1 for v in x])
+    got = set(zip(*(a.tolist() for a in cells.within(x, want, limit))))
+    exp = set()
+    for i, v in enumerate(x):
+        for c, p in enumerate(cells.pattern):
+            both = [d for d in range(3) if p >> d & 1 and not np.isnan(v[d])]
+            gap = [max(0.0, cells.low[c, d] - v[d], v[d] - cells.high[c, d]) for d in both]
+            if both and p & want[i] and sum(g * g for g in gap) * 3 / len(both) * (1 - 1e-12) <= limit[i]:
+                exp.add((i, c))
+    assert got == exp and len(exp) < 60 * len(cells.pattern)
+    boxes = knn._boxes(np.concatenate([y, np.zeros((200, 3))]), 32)
+    assert sorted(np.concatenate([b[0] for b in boxes])) == list(range(900))
+    assert all(len(ix) <= 32 or (lo == hi).all() for ix, lo, hi in boxes)
