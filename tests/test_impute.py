@@ -281,3 +281,28 @@ def test_knn_cells_are_found_by_descent_and_donors_by_boxes():
     boxes = knn._boxes(np.concatenate([y, np.zeros((200, 3))]), 32)
     assert sorted(np.concatenate([b[0] for b in boxes])) == list(range(900))
     assert all(len(ix) <= 32 or (lo == hi).all() for ix, lo, hi in boxes)
+
+
+def test_knn_in_slices_and_small_tables_in_the_shared_folder(spark, monkeypatch):
+    """Slices of the search change nothing; donors and masked rows take a few bytes a value."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from boreframe.operators import knn
+    from boreframe.session import ensure_checkpoint_dir
+    df = spark.range(0, 8000, numPartitions=4).select("id", *[F.when(F.col("id") % p != 3, F.expr(f"pmod(id * {q}, {m}) / 4D")).alias(c) for c, p, q, m in
+                                                              (("a", 31, 7919, 211), ("b", 37, 104729, 1009), ("c", 41, 611953, 97))])
+
+    def size() -> int:
+        top = ensure_checkpoint_dir(spark).removeprefix("file:")
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
+    before = size()
+    placed = knn.index_donors(df, ["a", "b", "c"]).placed
+    assert size() - before < 25 * 8000 and placed.count() < 200
+    whole = sorted(map(tuple, knn.knn_impute(df, ["a", "b", "c"]).collect()))
+    monkeypatch.setattr(knn, "SENT", 200)
+    assert sorted(map(tuple, knn.knn_impute(df, ["a", "b", "c"]).collect())) == whole
+    before = size()
+    imputation_bakeoff(df, ["a", "b", "c"], ["id"], techniques=["median", "mean"])
+    assert size() - before < 25 * 8000
